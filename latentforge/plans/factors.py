@@ -102,7 +102,7 @@ def gradient_step(joined: DataFrame, mu: float, p: SgdParams) -> DataFrame:
     e = F.col("rating") - prediction(mu, p.biased)
     j = joined.withColumn("err", e)
     gu = F.zip_with("fu", "fi", lambda a, b: F.col("err") * b - lam * a)
-    gi = F.zip_with("fi", "fu", lambda a, b: F.col("err") * a - lam * b)
+    gi = F.zip_with("fi", "fu", lambda a, b: F.col("err") * b - lam * a)
     breg = F.lit(p.bias_reg * p.lam)
     user_rows = j.select(F.lit("user").alias("side"), F.col("user_id").alias("id"),
                          F.posexplode(F.concat(F.array(F.col("err") - breg * F.col("bu")), gu)))
