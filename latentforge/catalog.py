@@ -546,7 +546,8 @@ WHERE position < (SELECT count(DISTINCT user_id) FROM dedup)"""
 
 @query("sampled_pairs", _sampled_sql())
 def q_sampled_pairs(spark, sf):
-    return sgd.sampled_pairs(_dedup(spark, sf).select("user_id", "item_id"), seed=SEED, epoch=0)
+    return sgd.sampled_pairs(_dedup(spark, sf).select("user_id", "item_id"), seed=SEED,
+                             epoch=0).drop("sample_key")
 
 
 # ---- model fitting (no SQL twin; checked by invariants) -------------------
@@ -606,8 +607,7 @@ def q_fit_sgd_sampled(spark, sf):
     pairs = d.select("user_id", "item_id")
     n_users = d.select("user_id").distinct().count()
     p = fac.SgdParams(k=10, epochs=FIT_EPOCHS, decay=1.0)
-    m = sgd.fit_sgd(train, p, blocks=FIT_BLOCKS,
-                    sample_fn=lambda e: sgd.sampled_pairs(pairs, n_users, seed=SEED, epoch=e))
+    m = sgd.fit_sgd(train, p, blocks=FIT_BLOCKS, sample_from=pairs, sample_n=n_users)
     return _fit_frame(m)
 
 

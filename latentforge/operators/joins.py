@@ -1,11 +1,18 @@
 """Joins of rating rows to per-id tables (factors, items).
 
-A per-id table (one row per user or item) is broadcast only after its row
-count is checked against a byte budget. Beyond the budget the join is a
-shuffle join in which the rating side is salted: each id of the small
-side is replicated into ``salt`` copies and each rating picks one copy by
-hash, so an item holding a third of all ratings is spread over ``salt``
-tasks instead of one. The result is exact (one partner per rating).
+When the caller knows the row count of the per-id table (one row per user
+or item), it is broadcast only if that count times the row width fits a
+byte budget. Beyond the budget the join is a shuffle join in which the
+rating side is salted: each id of the small side is replicated into
+``salt`` copies and each rating picks one copy by hash, so an item holding
+a third of all ratings is spread over ``salt`` tasks instead of one. The
+result is exact (one partner per rating).
+
+When the count is not known, no extra job is run to get it: the join is
+left to adaptive execution, which measures both sides at run time and
+turns the shuffle join into a broadcast only if the measured side is under
+``spark.sql.adaptive.autoBroadcastJoinThreshold``, and splits skewed
+partitions of the rating side (``spark.sql.adaptive.skewJoin.enabled``).
 """
 
 from __future__ import annotations
@@ -24,15 +31,18 @@ def factor_row_bytes(k: int) -> int:
     return 8 + 8 + 16 + 8 * k + 32
 
 
-def join_per_id(big: DataFrame, small: DataFrame, on: str, *, n_small: int,
+def join_per_id(big: DataFrame, small: DataFrame, on: str, *, n_small: int | None,
                 row_bytes: int, how: str = "inner",
                 broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
                 salt: int = DEFAULT_SALT, salt_cols: list[str] | None = None) -> DataFrame:
     """Join ``big`` to ``small`` (unique on ``on``), size-checked.
 
     ``n_small`` is the known row count of ``small`` (the caller counts it
-    once, e.g. on a cached factor table).
+    once, e.g. on a cached factor table); ``None`` leaves the choice to
+    adaptive execution.
     """
+    if n_small is None:
+        return big.join(small, on, how)
     if n_small * row_bytes <= broadcast_bytes:
         return big.join(F.broadcast(small), on, how)
     salt_cols = salt_cols or [c for c in big.columns if c != on][:2] or [on]
@@ -54,8 +64,6 @@ def join_factors(ratings: DataFrame, user_f: DataFrame, item_f: DataFrame, k: in
                       F.col("factors").alias("fu"))
     i = item_f.select(F.col("id").alias("item_id"), F.col("bias").alias("bi"),
                       F.col("factors").alias("fi"))
-    n_users = user_f.count() if n_users is None else n_users
-    n_items = item_f.count() if n_items is None else n_items
     rb = factor_row_bytes(k)
     j = join_per_id(ratings, u, "user_id", n_small=n_users, row_bytes=rb, how=how,
                     broadcast_bytes=broadcast_bytes, salt=salt,

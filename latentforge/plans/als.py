@@ -65,7 +65,6 @@ def normal_equations(ratings: DataFrame, other: DataFrame, solve_for: str, k: in
     """
     other_col = "item_id" if solve_for == "user_id" else "user_id"
     o = other.select(F.col("id").alias(other_col), F.col("factors").alias("v"))
-    n_other = o.count() if n_other is None else n_other
     j = join_per_id(ratings.select("user_id", "item_id", "rating"), o, other_col,
                     n_small=n_other, row_bytes=factor_row_bytes(k),
                     salt_cols=["user_id", "item_id"])

@@ -197,9 +197,11 @@ def _expand_replicas(f: DataFrame, hot: DataFrame, kind: str, n_blocks: int,
                     hash_bucket(key(tag, seed, tid), n_blocks).cast("int").alias("hblk"))
 
 
-def _collapse(trained: DataFrame, kind: str, k: int) -> DataFrame:
-    """Average replicas back into one row per original id."""
-    t = trained.where(F.col("kind") == kind)
+def _collapse(fac: DataFrame, kind: str, k: int, has_replicas: bool) -> DataFrame:
+    """(id, bias, factors) of one side; replicas averaged into their id."""
+    t = fac.where(F.col("kind") == kind)
+    if not has_replicas:
+        return t.select("id", "bias", "factors")
     orig = F.when(F.col("id") >= 0, F.col("id")).otherwise(
         F.floor((-(F.col("id") + 1)) / F.lit(REP_MUL)).cast("long"))
     t = t.withColumn("oid", orig)
@@ -213,15 +215,25 @@ def _collapse(trained: DataFrame, kind: str, k: int) -> DataFrame:
 def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int = 8,
             mu: float | None = None, eval_sets: dict[str, DataFrame] | None = None,
             trace_every: int = 5, split_threshold: int | None = 200_000,
-            checkpoint_every: int = 1, sample_fn=None) -> SgdModel:
+            checkpoint_every: int = 5, sample_from: DataFrame | None = None,
+            sample_n: int | None = None) -> SgdModel:
     """Fit the (biased or unbiased) factor model by block-stratified SGD.
 
     ``train``: (user_id, item_id, rating). ``blocks=1`` gives one task and
     the serial visiting order. ``eval_sets`` (name -> ratings) adds an RMSE
     trace every ``trace_every`` epochs before that epoch's updates and after
-    the last one. ``sample_fn(epoch) -> DataFrame`` replaces the training
-    ratings of an epoch by a sample (sampled-pair SGD).
+    the last one. With ``sample_from`` (all pairs) each epoch trains only on
+    the training ratings among the first ``sample_n`` pairs of that epoch's
+    seeded order (sampled-pair SGD).
+
+    Per epoch: one job of B chained cogroup stages. The rating side is
+    hash-partitioned by block label and sorted by stratum inside each
+    partition, so the stratum filter skips cached batches of other strata
+    and no stage re-shuffles ratings. Factor lineage is cut with a
+    reliable checkpoint every ``checkpoint_every`` epochs.
     """
+    from pyspark import StorageLevel
+
     from .evaluate import rmse, score
 
     spark = train.sparkSession
@@ -231,22 +243,36 @@ def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int = 8,
     labels = block_labels(spark, B)
     prev_parts = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(B))
+    cached = []
     try:
         ratings, hot_u, hot_i = prepare_ratings(train, p, B, labels, split_threshold)
-        ratings = cut_lineage(ratings.repartition(B, "label"))
-        hot_u = cut_lineage(hot_u)
-        hot_i = cut_lineage(hot_i)
-        uf = init_factors(train.select("user_id").distinct(), "user_id", "u", p.k,
-                          seed=p.seed, noise=p.noise, gaussian=p.gaussian_init)
-        itf = init_factors(train.select("item_id").distinct(), "item_id", "i", p.k,
+        hot_u, hot_i = cut_lineage(hot_u), cut_lineage(hot_i)
+        has_rep = (hot_u.count() + hot_i.count()) > 0
+        ratings = (ratings.withColumn("stratum", F.pmod(F.col("iblk") - F.col("ublk"), F.lit(B)))
+                          .select("label", "stratum", "uid", "iid", "rating", "ord",
+                                  "user_id", "item_id", "ublk", "iblk")
+                          .repartition(B, "label")
+                          .sortWithinPartitions("stratum")
+                          .persist(StorageLevel.MEMORY_AND_DISK))
+        cached.append(ratings)
+        ratings.count()
+        uf0 = init_factors(train.select("user_id").distinct(), "user_id", "u", p.k,
+                           seed=p.seed, noise=p.noise, gaussian=p.gaussian_init)
+        if0 = init_factors(train.select("item_id").distinct(), "item_id", "i", p.k,
                            seed=p.seed, noise=p.noise, gaussian=p.gaussian_init)
-        uf, itf = cut_lineage(uf), cut_lineage(itf)
-        n_users, n_items = uf.count(), itf.count()
-        block_sizes = (ratings.groupBy("ublk", "iblk").agg(F.count(F.lit(1)).alias("n_ratings")))
+        fac = cut_lineage(_expand_replicas(uf0, hot_u, "u", B, p.seed)
+                          .unionByName(_expand_replicas(if0, hot_i, "i", B, p.seed)))
+        n_users = fac.where(F.col("kind") == "u").count() if not has_rep else None
+        n_items = fac.where(F.col("kind") == "i").count() if not has_rep else None
+        block_sizes = ratings.groupBy("ublk", "iblk").agg(F.count(F.lit(1)).alias("n_ratings"))
         trace = []
         t0 = time.time()
 
-        def record(epoch):
+        def sides(f):
+            return _collapse(f, "u", p.k, has_rep), _collapse(f, "i", p.k, has_rep)
+
+        def record(epoch, f):
+            uf, itf = sides(f)
             for name, df in (eval_sets or {}).items():
                 s = score(df, uf, itf, mu, p.k, biased=p.biased, n_users=n_users,
                           n_items=n_items)
@@ -256,43 +282,56 @@ def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int = 8,
 
         for epoch in range(p.epochs):
             if eval_sets and epoch % trace_every == 0:
-                record(epoch)
+                record(epoch, fac)
             lr = p.lr * (p.decay ** epoch)
             step = _make_step(mu, p, lr, epoch)
-            fac = (_expand_replicas(uf, hot_u, "u", B, p.seed)
-                   .unionByName(_expand_replicas(itf, hot_i, "i", B, p.seed)))
-            fac = fac.persist()
             epoch_ratings = ratings
-            if sample_fn is not None:
-                smp = sample_fn(epoch).select("user_id", "item_id")
-                epoch_ratings = ratings.join(smp, ["user_id", "item_id"], "left_semi")
+            if sample_from is not None:
+                epoch_ratings = ratings.where(_sample_filter(sample_from, sample_n, p.seed, epoch))
+            cur = fac
             for g in range(B):
-                r_g = epoch_ratings.where(
-                    F.pmod(F.col("ublk") + F.lit(g), F.lit(B)) == F.col("iblk")) \
-                    .select("label", "uid", "iid", "rating", "ord")
+                r_g = (epoch_ratings.where(F.col("stratum") == F.lit(g))
+                       .select("label", "uid", "iid", "rating", "ord"))
                 blk = F.when(F.col("kind") == "u", F.col("hblk")).otherwise(
                     F.pmod(F.col("hblk") - F.lit(g), F.lit(B)))
-                f_g = fac.withColumn("label", _label_col(blk, labels))
-                out = (r_g.groupBy("label").cogroup(f_g.groupBy("label"))
+                f_g = cur.withColumn("label", _label_col(blk, labels))
+                cur = (r_g.groupBy("label").cogroup(f_g.groupBy("label"))
                           .applyInPandas(step, FACTORS_OUT))
-                new = out.persist()
-                new.count()
-                fac.unpersist()
-                fac = new
-            uf = _collapse(fac, "u", p.k)
-            itf = _collapse(fac, "i", p.k)
+            if has_rep:
+                uf, itf = sides(cur)
+                cur = (_expand_replicas(uf, hot_u, "u", B, p.seed)
+                       .unionByName(_expand_replicas(itf, hot_i, "i", B, p.seed)))
             if checkpoint_every and (epoch + 1) % checkpoint_every == 0:
-                uf, itf = cut_lineage(uf), cut_lineage(itf)
+                new = cut_lineage(cur)
             else:
-                uf, itf = uf.persist(), itf.persist()
+                new = cur.persist(StorageLevel.MEMORY_AND_DISK)
+                new.count()
             fac.unpersist()
+            fac = new
         if eval_sets:
-            record(p.epochs)
+            record(p.epochs, fac)
+        uf, itf = sides(fac)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", prev_parts)
     return SgdModel(uf, itf, mu, p, trace, block_sizes)
 
 
+def _sample_filter(pairs: DataFrame, n: int | None, seed: int, epoch: int):
+    """Rows among the first ``n`` pairs of the epoch's order, as a predicate.
+
+    The cut-off (largest sampled sort key) is one row; the training ratings
+    are then filtered in place, keeping their partitioning.
+    """
+    s = sampled_pairs(pairs, n, seed=seed, epoch=epoch)
+    last = s.agg(F.max(F.struct("sample_key", "user_id", "item_id")).alias("m")).first()["m"]
+    h = hash_int(key("sample", seed, epoch, "@user_id", "@item_id"))
+    if last is None:
+        return F.lit(False)
+    return F.struct(h.alias("sample_key"), F.col("user_id"), F.col("item_id")) <= F.struct(
+        F.lit(int(last[0])).alias("sample_key"), F.lit(int(last[1])).alias("user_id"),
+        F.lit(int(last[2])).alias("item_id"))
+
+
 def trace_frame(spark: SparkSession, model: SgdModel, config: str = "") -> DataFrame:
     """RMSE trace as a DataFrame (epoch, split, rmse, n, seconds)."""
     rows = [(config, e, s, r, n, sec) for (e, s, r, n, sec) in model.trace]
@@ -313,7 +352,8 @@ def sampled_pairs(pairs: DataFrame, n: int | None = None, *, seed: int = 0,
     if n is None:
         n = pairs.select("user_id").distinct().count()
     pos = global_position(p, ["_h", "user_id", "item_id"], "position")
-    return pos.where(F.col("position") < F.lit(n)).select("user_id", "item_id", "position")
+    return pos.where(F.col("position") < F.lit(n)).select(
+        "user_id", "item_id", "position", F.col("_h").alias("sample_key"))
 
 
 def with_params(p: SgdParams, **kw) -> SgdParams:
