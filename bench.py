@@ -57,7 +57,10 @@ def main() -> None:
 
     p = fac.SgdParams(k=20, epochs=epochs, lr=0.1, lr_bias=0.5, lam=0.1, bias_reg=0.1,
                       decay=0.9)
-    model = timed("fit_sgd_26_epochs", lambda: sgd.fit_sgd(train, p, blocks=cpus))
+    blocks = int(os.environ.get("BENCH_BLOCKS", str(max(2, cpus // 2))))
+    model = timed("fit_sgd_26_epochs", lambda: sgd.fit_sgd(train, p, blocks=blocks))
+    extra["sgd_blocks"] = blocks
+    extra["sgd_epoch_seconds"] = model.epoch_seconds
     r = timed("sgd_test_rmse", lambda: ev.rmse(ev.score(
         test, model.user_factors, model.item_factors, model.mu, p.k)).first())
     extra["sgd_test_rmse"] = round(float(r["rmse"]), 5)

@@ -15,25 +15,30 @@ def dot(a: Column, b: Column) -> Column:
                        lambda acc, v: acc + v)
 
 
-def scale(a: Column, s: Column) -> Column:
-    return F.transform(a, lambda x: x * s)
+def elementwise(k: int, fn) -> Column:
+    """array(fn(0), ..., fn(k-1)) for a known length k.
 
+    Used instead of a lambda whenever the element expression refers to
+    other columns of the row: explicit elements keep every column
+    reference visible to the analyser (also across self-joins) and give
+    whole-stage codegen straight-line code.
+    """
+    return F.array(*[fn(j) for j in range(k)])
 
-def axpy(alpha: Column, x: Column, y: Column) -> Column:
-    """alpha * x + y, element-wise."""
-    return F.zip_with(x, y, lambda xi, yi: alpha * xi + yi)
+
+def at(a: Column, j: int) -> Column:
+    return F.element_at(a, j + 1)
 
 
 def sgd_feature_step(own: Column, other: Column, err: Column, lr: Column,
-                     lam: Column, train_dims: int | None = None) -> Column:
+                     lam: Column, k: int, train_dims: int | None = None) -> Column:
     """own + lr * (err * other - lam * own); dims >= train_dims stay put."""
-    def step(o, i):
-        t = F.element_at(other, i + 1)
-        upd = o + lr * (err * t - lam * o)
-        if train_dims is None:
-            return upd
-        return F.when(i < F.lit(train_dims), upd).otherwise(o)
-    return F.transform(own, step)
+    def step(j):
+        o = at(own, j)
+        if train_dims is not None and j >= train_dims:
+            return o
+        return o + lr * (err * at(other, j) - lam * o)
+    return elementwise(k, step)
 
 
 def sum_arrays(col: Column, k: int) -> Column:

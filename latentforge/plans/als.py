@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import at, elementwise
 from ..operators.joins import factor_row_bytes, join_per_id
 from ..session import cut_lineage, ensure_checkpoint_dir
 from .factors import init_factors
@@ -68,8 +69,9 @@ def normal_equations(ratings: DataFrame, other: DataFrame, solve_for: str, k: in
     j = join_per_id(ratings.select("user_id", "item_id", "rating"), o, other_col,
                     n_small=n_other, row_bytes=factor_row_bytes(k),
                     salt_cols=["user_id", "item_id"])
-    outer = F.flatten(F.transform("v", lambda a: F.transform("v", lambda b: a * b)))
-    rv = F.transform("v", lambda a: a * F.col("rating"))
+    v, rating = F.col("v"), F.col("rating")
+    outer = elementwise(k * k, lambda q: at(v, q // k) * at(v, q % k))
+    rv = elementwise(k, lambda q: at(v, q) * rating)
     j = j.select(F.col(solve_for).alias("id"), outer.alias("o"), rv.alias("rv"))
     aggs = ([F.count(F.lit(1)).alias("n")] +
             [F.sum(F.element_at("o", i + 1)).alias(f"_g{i}") for i in range(k * k)] +

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_gaussian, hash_uniform, key
-from ..functions.vectors import dot, sgd_feature_step
+from ..functions.vectors import at, dot, elementwise, sgd_feature_step
 
 FACTOR_SCHEMA = "id long, bias double, factors array<double>"
 
@@ -43,8 +43,7 @@ def init_factors(ids: DataFrame, id_col: str, side: str, k: int, *, seed: int =
     """(id, bias=0, factors) with factors[k] = noise * U[0,1) (or N(0,1))."""
     gen = hash_gaussian if gaussian else hash_uniform
     tag = "gauss" if gaussian else "init"
-    vec = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                      lambda j: gen(key(tag, seed, side, F.col(id_col), j)) * F.lit(noise))
+    vec = elementwise(k, lambda j: gen(key(tag, seed, side, F.col(id_col), j)) * F.lit(noise))
     return ids.select(F.col(id_col).cast("long").alias("id"), F.lit(0.0).alias("bias"),
                       vec.alias("factors"))
 
@@ -85,9 +84,9 @@ def sgd_deltas(joined: DataFrame, mu: float, p: SgdParams, lr: float | None = No
     else:
         out = out.withColumn("new_bu", F.col("bu")).withColumn("new_bi", F.col("bi"))
     return (out.withColumn("new_fu", sgd_feature_step(F.col("fu"), F.col("fi"), F.col("err"),
-                                                      lr_c, lam, p.train_dims))
+                                                      lr_c, lam, p.k, p.train_dims))
                .withColumn("new_fi", sgd_feature_step(F.col("fi"), F.col("fu"), F.col("err"),
-                                                      lr_c, lam, p.train_dims)))
+                                                      lr_c, lam, p.k, p.train_dims)))
 
 
 def gradient_step(joined: DataFrame, mu: float, p: SgdParams) -> DataFrame:
@@ -101,8 +100,9 @@ def gradient_step(joined: DataFrame, mu: float, p: SgdParams) -> DataFrame:
     lam = F.lit(p.lam)
     e = F.col("rating") - prediction(mu, p.biased)
     j = joined.withColumn("err", e)
-    gu = F.zip_with("fu", "fi", lambda a, b: F.col("err") * b - lam * a)
-    gi = F.zip_with("fi", "fu", lambda a, b: F.col("err") * b - lam * a)
+    fu, fi, err = F.col("fu"), F.col("fi"), F.col("err")
+    gu = elementwise(p.k, lambda q: err * at(fi, q) - lam * at(fu, q))
+    gi = elementwise(p.k, lambda q: err * at(fu, q) - lam * at(fi, q))
     breg = F.lit(p.bias_reg * p.lam)
     user_rows = j.select(F.lit("user").alias("side"), F.col("user_id").alias("id"),
                          F.posexplode(F.concat(F.array(F.col("err") - breg * F.col("bu")), gu)))

@@ -56,6 +56,7 @@ class SgdModel:
     params: SgdParams
     trace: list = field(default_factory=list)
     block_sizes: DataFrame | None = None
+    epoch_seconds: list = field(default_factory=list)
 
 
 def block_labels(spark: SparkSession, n_blocks: int) -> list[int]:
@@ -81,6 +82,36 @@ def _label_col(expr, labels: list[int]):
     return F.element_at(F.array(*[F.lit(x) for x in labels]), expr + 1)
 
 
+def conflict_free_rounds(users: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Round of each update, in the given order, so that no round repeats a
+    user or an item and every user's (item's) updates keep their order.
+
+    Applying the rounds one after another, each as one vectorised update,
+    is then exactly the serial SGD pass over the permutation sorted by
+    (round, position). Scalar pass; the vector work happens per round.
+    """
+    n = len(users)
+    out = np.empty(n, dtype=np.int64)
+    if n == 0:
+        return out
+    _, uc = np.unique(users, return_inverse=True)
+    _, ic = np.unique(items, return_inverse=True)
+    nu = [0] * (int(uc.max()) + 1)
+    ni = [0] * (int(ic.max()) + 1)
+    ucl = uc.tolist()
+    icl = ic.tolist()
+    for t in range(n):
+        a = ucl[t]
+        b = icl[t]
+        x = nu[a]
+        y = ni[b]
+        rd = x if x > y else y
+        out[t] = rd
+        nu[a] = rd + 1
+        ni[b] = rd + 1
+    return out
+
+
 def _make_step(mu: float, p: SgdParams, lr: float, epoch: int):
     biased = p.biased
     lam = p.lam
@@ -110,26 +141,32 @@ def _make_step(mu: float, p: SgdParams, lr: float, epoch: int):
         mixed = (h * np.uint64(0x9E3779B1) + np.uint64(epoch + 1) * np.uint64(0x85EBCA77)) \
             & np.uint64(0xFFFFFFFF)
         order = np.lexsort((ratings["iid"].to_numpy(), ratings["uid"].to_numpy(), mixed))
-        rate = lr
         kk = U.shape[1] if td is None else min(td, U.shape[1])
-        for t in order:
+        ok = (ui >= 0) & (ii >= 0)
+        order = order[ok[order]]
+        rounds = conflict_free_rounds(ui[order], ii[order])
+        # serial order: by round, then by the hash order inside a round
+        seq = order[np.lexsort((np.arange(len(order)), rounds))]
+        rs = np.sort(rounds)
+        rate = lr * decay_per_step ** np.arange(len(seq), dtype=np.float64)
+        bounds = np.flatnonzero(np.diff(rs)) + 1
+        for sl in np.split(np.arange(len(seq)), bounds):
+            t = seq[sl]
             a = ui[t]
             b = ii[t]
-            if a < 0 or b < 0:
-                continue
             fu = U[a]
             fi = V[b]
-            pred = float(fu @ fi)
+            pred = np.einsum("ij,ij->i", fu, fi)
             if biased:
-                pred += mu + bu[a] + bi[b]
+                pred = pred + mu + bu[a] + bi[b]
             e = r[t] - pred
             if biased:
-                bu[a] += lb * (e - breg * bu[a])
-                bi[b] += lb * (e - breg * bi[b])
-            old_u = fu[:kk].copy()
-            fu[:kk] += rate * (e * fi[:kk] - lam * fu[:kk])
-            fi[:kk] += rate * (e * old_u - lam * fi[:kk])
-            rate *= decay_per_step
+                bu[a] = bu[a] + lb * (e - breg * bu[a])
+                bi[b] = bi[b] + lb * (e - breg * bi[b])
+            lr_t = rate[sl][:, None]
+            e2 = e[:, None]
+            U[a, :kk] = fu[:, :kk] + lr_t * (e2 * fi[:, :kk] - lam * fu[:, :kk])
+            V[b, :kk] = fi[:, :kk] + lr_t * (e2 * fu[:, :kk] - lam * fi[:, :kk])
         out_u = pd.DataFrame({"kind": "u", "id": users["id"], "bias": bu,
                               "factors": list(U), "hblk": users["hblk"]})
         out_i = pd.DataFrame({"kind": "i", "id": items["id"], "bias": bi,
@@ -215,7 +252,7 @@ def _collapse(fac: DataFrame, kind: str, k: int, has_replicas: bool) -> DataFram
 def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int = 8,
             mu: float | None = None, eval_sets: dict[str, DataFrame] | None = None,
             trace_every: int = 5, split_threshold: int | None = 200_000,
-            checkpoint_every: int = 5, sample_from: DataFrame | None = None,
+            checkpoint_every: int = 1, sample_from: DataFrame | None = None,
             sample_n: int | None = None) -> SgdModel:
     """Fit the (biased or unbiased) factor model by block-stratified SGD.
 
@@ -242,6 +279,7 @@ def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int = 8,
         mu = float(train.agg(F.avg("rating")).first()[0]) if p.biased else 0.0
     labels = block_labels(spark, B)
     prev_parts = spark.conf.get("spark.sql.shuffle.partitions")
+    prev_aqe = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.shuffle.partitions", str(B))
     cached = []
     try:
@@ -256,6 +294,9 @@ def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int = 8,
                           .persist(StorageLevel.MEMORY_AND_DISK))
         cached.append(ratings)
         ratings.count()
+        # The strata chain has a fixed layout (B partitions on both sides);
+        # adaptive re-planning after each of its B stages only adds latency.
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
         uf0 = init_factors(train.select("user_id").distinct(), "user_id", "u", p.k,
                            seed=p.seed, noise=p.noise, gaussian=p.gaussian_init)
         if0 = init_factors(train.select("item_id").distinct(), "item_id", "i", p.k,
@@ -280,9 +321,11 @@ def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int = 8,
                 trace.append((epoch, name, float(row["rmse"]) if row["rmse"] is not None
                               else None, int(row["n"]), time.time() - t0))
 
+        epoch_seconds = []
         for epoch in range(p.epochs):
             if eval_sets and epoch % trace_every == 0:
                 record(epoch, fac)
+            te = time.time()
             lr = p.lr * (p.decay ** epoch)
             step = _make_step(mu, p, lr, epoch)
             epoch_ratings = ratings
@@ -308,12 +351,14 @@ def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int = 8,
                 new.count()
             fac.unpersist()
             fac = new
+            epoch_seconds.append(round(time.time() - te, 3))
         if eval_sets:
             record(p.epochs, fac)
         uf, itf = sides(fac)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", prev_parts)
-    return SgdModel(uf, itf, mu, p, trace, block_sizes)
+        spark.conf.set("spark.sql.adaptive.enabled", prev_aqe)
+    return SgdModel(uf, itf, mu, p, trace, block_sizes, epoch_seconds)
 
 
 def _sample_filter(pairs: DataFrame, n: int | None, seed: int, epoch: int):
