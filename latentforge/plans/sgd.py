@@ -46,6 +46,9 @@ FACTORS_OUT = "kind string, id long, bias double, factors array<double>, hblk in
 # below 2^43 and a hot id has at most 2^REP_BITS replicas.
 REP_BITS = 20
 REP_MUL = 1 << REP_BITS
+# At most this many hot ids per side, so the broadcast replica maps have a
+# proven size bound: the split threshold is raised to n_train / MAX_HOT_IDS.
+MAX_HOT_IDS = 100_000
 
 
 @dataclass
@@ -196,7 +199,8 @@ def prepare_ratings(train: DataFrame, p: SgdParams, n_blocks: int, labels: list[
         spark = train.sparkSession
         hot_u = spark.createDataFrame([], "id long, n_rep int")
         hot_i = spark.createDataFrame([], "id long, n_rep int")
-    # replica number by hash of the partner id
+    # replica number by hash of the partner id; the hot maps hold at most
+    # MAX_HOT_IDS rows each (see fit_sgd), so broadcasting them is bounded
     r = (r.join(F.broadcast(hot_u.withColumnRenamed("id", "user_id")
                             .withColumnRenamed("n_rep", "u_rep")), "user_id", "left")
           .join(F.broadcast(hot_i.withColumnRenamed("id", "item_id")
@@ -275,8 +279,11 @@ def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int = 8,
 
     spark = train.sparkSession
     B = int(blocks)
+    st = train.agg(F.avg("rating").alias("mu"), F.count(F.lit(1)).alias("n")).first()
     if mu is None:
-        mu = float(train.agg(F.avg("rating")).first()[0]) if p.biased else 0.0
+        mu = float(st["mu"]) if p.biased and st["mu"] is not None else 0.0
+    if split_threshold:
+        split_threshold = max(int(split_threshold), -(-int(st["n"]) // MAX_HOT_IDS))
     labels = block_labels(spark, B)
     prev_parts = spark.conf.get("spark.sql.shuffle.partitions")
     prev_aqe = spark.conf.get("spark.sql.adaptive.enabled")
