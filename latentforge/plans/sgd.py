@@ -329,6 +329,7 @@ def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int = 8,
                               else None, int(row["n"]), time.time() - t0))
 
         epoch_seconds = []
+        sample_total = None
         for epoch in range(p.epochs):
             if eval_sets and epoch % trace_every == 0:
                 record(epoch, fac)
@@ -337,7 +338,13 @@ def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int = 8,
             step = _make_step(mu, p, lr, epoch)
             epoch_ratings = ratings
             if sample_from is not None:
-                epoch_ratings = ratings.where(_sample_filter(sample_from, sample_n, p.seed, epoch))
+                if sample_total is None:
+                    st2 = sample_from.agg(F.count(F.lit(1)).alias("N"),
+                                          F.countDistinct("user_id").alias("U")).first()
+                    sample_total = int(st2["N"])
+                    sample_n = int(st2["U"]) if sample_n is None else sample_n
+                epoch_ratings = ratings.where(_sample_filter(sample_from, sample_n, p.seed, epoch,
+                                                             sample_total))
             cur = fac
             for g in range(B):
                 r_g = (epoch_ratings.where(F.col("stratum") == F.lit(g))
@@ -368,13 +375,14 @@ def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int = 8,
     return SgdModel(uf, itf, mu, p, trace, block_sizes, epoch_seconds)
 
 
-def _sample_filter(pairs: DataFrame, n: int | None, seed: int, epoch: int):
+def _sample_filter(pairs: DataFrame, n: int | None, seed: int, epoch: int,
+                   total: int | None = None):
     """Rows among the first ``n`` pairs of the epoch's order, as a predicate.
 
     The cut-off (largest sampled sort key) is one row; the training ratings
     are then filtered in place, keeping their partitioning.
     """
-    s = sampled_pairs(pairs, n, seed=seed, epoch=epoch)
+    s = sampled_pairs(pairs, n, seed=seed, epoch=epoch, total=total)
     last = s.agg(F.max(F.struct("sample_key", "user_id", "item_id")).alias("m")).first()["m"]
     h = hash_int(key("sample", seed, epoch, "@user_id", "@item_id"))
     if last is None:
@@ -392,18 +400,39 @@ def trace_frame(spark: SparkSession, model: SgdModel, config: str = "") -> DataF
 
 
 def sampled_pairs(pairs: DataFrame, n: int | None = None, *, seed: int = 0,
-                  epoch: int = 0) -> DataFrame:
-    """One epoch's sample: the first ``n`` interactions of a seeded order.
+                  epoch: int = 0, total: int | None = None) -> DataFrame:
+    """One epoch's sample: the first ``n`` pairs of a seeded order.
 
     With ``n`` the number of users this is one drawn rating per user
-    position per pass. Distributed: positions come from a range sort.
+    position per pass. Exact and distributed without sorting every pair:
+    an approximate quantile of the 28-bit sort hash (one mergeable
+    aggregate) gives a cut-off whose candidate set holds at least ``n``
+    pairs; only the candidates are range-sorted. If the estimate falls
+    short, the cut-off is widened until it does not.
     """
     from ..functions.ranking import global_position
     p = pairs.select("user_id", "item_id").withColumn(
         "_h", hash_int(key("sample", seed, epoch, "@user_id", "@item_id")))
-    if n is None:
-        n = pairs.select("user_id").distinct().count()
-    pos = global_position(p, ["_h", "user_id", "item_id"], "position")
+    if total is None or n is None:
+        stats = p.agg(F.count(F.lit(1)).alias("N"),
+                      F.countDistinct("user_id").alias("U")).first()
+        total = int(stats["N"])
+        n = int(stats["U"]) if n is None else int(n)
+    n = int(n)
+    if n <= 0 or total == 0:
+        return p.limit(0).select("user_id", "item_id", F.lit(0).cast("long").alias("position"),
+                                 F.col("_h").alias("sample_key"))
+    frac = min(1.0, 1.05 * n / total + 1e-4)
+    while True:
+        if frac >= 1.0:
+            cand = p
+            break
+        cut = p.agg(F.percentile_approx("_h", frac, 10_000).alias("c")).first()["c"]
+        cand = p.where(F.col("_h") <= F.lit(int(cut)))
+        if cand.count() >= n:
+            break
+        frac = min(1.0, frac * 2)
+    pos = global_position(cand, ["_h", "user_id", "item_id"], "position")
     return pos.where(F.col("position") < F.lit(n)).select(
         "user_id", "item_id", "position", F.col("_h").alias("sample_key"))
 
