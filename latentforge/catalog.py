@@ -42,11 +42,37 @@ CHECK_PARAMS = fac.SgdParams(k=K_CHECK, lr=0.1, lr_bias=0.5, lam=0.1, bias_reg=0
                              noise=NOISE, seed=SEED)
 
 
+def _positive_zero_rounds(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)``.
+
+    DuckDB rounds a tiny negative to -0.0 where Spark gives 0.0; adding
+    +0.0 turns -0.0 into 0.0 and leaves every other value unchanged.
+    """
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len("round")
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _positive_zero_rounds(sql[j + len("round("):k])
+        out.append(sql[i:j] + "(round(" + inner + ") + 0.0)")
+        i = k + 1
+
+
 def query(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            SQL[name] = sql.strip()
+            SQL[name] = _positive_zero_rounds(sql.strip())
         return fn
     return deco
 
