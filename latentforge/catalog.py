@@ -658,6 +658,13 @@ def q_best_config(spark, sf):
     return tuning.best_config(q_sweep(spark, sf))
 
 
+@query("als_sweep")
+def q_als_sweep(spark, sf):
+    train, _ = _split(spark, sf)
+    return tuning.als_sweep(train, ranks=(5, 10), regs=(0.05, 0.1), max_iter=3, blocks=4) \
+        .select("rank", "reg", r6(F.col("rmse")).alias("rmse"), "is_best")
+
+
 @query("fit_als")
 def q_fit_als(spark, sf):
     train, test = _split(spark, sf)

@@ -42,6 +42,23 @@ def rmse(pred: DataFrame, label: str = "rating", col: str = "prediction") -> Dat
                     F.sqrt(F.avg(F.pow(F.col(label) - F.col(col), 2))).alias("rmse"))
 
 
+def rmse_evaluator(pred: DataFrame, label: str = "rating", col: str = "prediction") -> float:
+    """The same RMSE through ``RegressionEvaluator`` (NaN rows dropped first)."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    ok = pred.where(F.col(col).isNotNull() & ~F.isnan(F.col(col)))
+    return RegressionEvaluator(metricName="rmse", labelCol=label,
+                               predictionCol=col).evaluate(ok)
+
+
+def auroc_evaluator(scored: DataFrame, score_col: str = "score",
+                    label_col: str = "label") -> float:
+    """AUROC through ``BinaryClassificationEvaluator`` (cross-check)."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    return BinaryClassificationEvaluator(rawPredictionCol=score_col, labelCol=label_col,
+                                         metricName="areaUnderROC").evaluate(
+        scored.select(F.col(score_col).cast("double"), F.col(label_col).cast("double")))
+
+
 def rmse_subset(pred: DataFrame, max_user: int) -> DataFrame:
     """RMSE over users with id <= max_user, with its own count."""
     return rmse(pred.where(F.col("user_id") <= F.lit(max_user)))

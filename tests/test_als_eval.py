@@ -75,3 +75,21 @@ def test_auroc_with_ties_matches_rank_formula(spark):
     n = len(pdf) - p
     ref = (ranks[pdf.label == 1].sum() - p * (p + 1) / 2) / (p * n)
     assert np.isclose(got, ref)
+
+
+def test_evaluators_agree(spark):
+    from latentforge.plans import linear
+    pdf = pd.DataFrame({"rating": [1.0, 2.0, 3.0, 4.0], "prediction": [1.5, float("nan"), 2.0, 4.5]})
+    pred = spark.createDataFrame(pdf)
+    assert np.isclose(ev.rmse_evaluator(pred), ev.rmse_nan_safe(pred).first().rmse)
+    rows = linear.embedding_rows(tables.table(spark, SF_SMALL, "embeddings"), 0)
+    scored = linear.svm_scores(linear.fit_svm(rows, max_iter=10), rows)
+    assert np.isclose(ev.auroc(scored).first().auroc, ev.auroc_evaluator(scored))
+
+
+def test_als_sweep_picks_min(spark):
+    from latentforge.plans import tuning
+    r = tables.ratings_view(spark, SF_SMALL).select("user_id", "item_id", "rating")
+    out = tuning.als_sweep(r, ranks=(2, 4), regs=(0.1,), max_iter=2, blocks=2).toPandas()
+    assert len(out) == 2 and out.is_best.sum() == 1
+    assert out.loc[out.is_best, "rmse"].iloc[0] == out.rmse.min()
