@@ -333,7 +333,12 @@ def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int | None
                           .unionByName(_expand_replicas(if0, hot_i, "i", B, p.seed)))
         n_users = fac.where(F.col("kind") == "u").count() if not has_rep else None
         n_items = fac.where(F.col("kind") == "i").count() if not has_rep else None
-        block_sizes = ratings.groupBy("ublk", "iblk").agg(F.count(F.lit(1)).alias("n_ratings"))
+        # B² rows at most: small enough to keep as a local table after the fit
+        sizes = (ratings.groupBy("ublk", "iblk").agg(F.count(F.lit(1)).alias("n_ratings"))
+                 .collect())
+        block_sizes = spark.createDataFrame(
+            [(int(x["ublk"]), int(x["iblk"]), int(x["n_ratings"])) for x in sizes],
+            "ublk int, iblk int, n_ratings long")
         trace = []
         t0 = time.time()
 
@@ -393,6 +398,8 @@ def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int | None
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", prev_parts)
         spark.conf.set("spark.sql.adaptive.enabled", prev_aqe)
+        for df in cached:
+            df.unpersist()
     return SgdModel(uf, itf, mu, p, trace, block_sizes, epoch_seconds)
 
 
