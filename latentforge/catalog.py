@@ -206,7 +206,7 @@ SELECT CASE b WHEN 0 THEN 'field_count' WHEN 1 THEN 'parse' ELSE 'good' END AS r
        count(*) AS n_lines
 FROM (SELECT {_bad_bucket_sql()} AS b FROM ratings) GROUP BY 1""")
 def q_reject_counts(spark, sf):
-    raw = files.read_ratings_raw(spark, files.rating_lines_path(spark, sf)).cache()
+    raw = files.read_ratings_raw(spark, files.rating_lines_path(spark, sf))
     good, bad = files.split_rejects(raw)
     reasons = files.reject_reasons(bad, "::", 4)
     g = good.agg(F.count(F.lit(1)).alias("n_lines")).select(F.lit("good").alias("reason"),

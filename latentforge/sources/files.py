@@ -43,9 +43,20 @@ def _csv(spark: SparkSession, path: str, schema: str, sep: str, quote: str | Non
 
 
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = df.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
-    return good, bad
+    """(good rows, rejected lines) of a reader with a corrupt-record column.
+
+    Good rows also need non-null fields, which keeps the parsed columns in
+    every scan (Spark refuses raw-file scans that read only the corrupt
+    column). The rejected side is cached with all its columns, as Spark
+    asks for such queries; it holds only the bad lines.
+    """
+    fields = [c for c in df.columns if c != CORRUPT]
+    ok = F.col(CORRUPT).isNull()
+    for c in fields:
+        ok = ok & F.col(c).isNotNull()
+    good = df.where(ok).drop(CORRUPT)
+    bad = df.where(F.col(CORRUPT).isNotNull()).persist()
+    return good, bad.select(F.col(CORRUPT).alias("line"))
 
 
 def read_ratings_raw(spark: SparkSession, path: str, sep: str = "::",
