@@ -618,9 +618,9 @@ def q_fit_sgd_nb(spark, sf):
 def q_fit_sgd_books(spark, sf):
     books = prep.explicit_ratings(files.read_book_ratings(spark, files.book_lines_path(spark, sf)))
     enc, _ = prep.encode_items(books, "isbn", "item_id")
-    r = prep.dedupe_ratings(enc.select("user_id", "item_id", F.col("rating").cast("double"),
-                                       F.lit(0).alias("ts"), F.lit(0).alias("l_orderkey"),
-                                       F.lit(0).alias("l_linenumber")))
+    # book lines carry no time: among repeats of a pair the higher rating wins
+    r = prep.dedupe_ratings(enc.select("user_id", "item_id", F.col("rating").cast("double")),
+                            order=["rating"])
     train, _ = prep.train_test_split(r, SEED)
     p = fac.SgdParams(k=10, epochs=FIT_EPOCHS, lr_bias=0.01, decay=1.0)
     return _fit_frame(sgd.fit_sgd(train, p, blocks=FIT_BLOCKS))

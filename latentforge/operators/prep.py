@@ -94,12 +94,16 @@ def interaction_order(pairs: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
 def dedupe_ratings(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One row per (user, item): the last rating by the total order.
 
-    ``max_by`` is a partial aggregate, so a pair repeated many times is
-    combined map-side before the shuffle.
+    The max of struct(order..., rating) is the last row (ties on the order
+    fall to the higher rating); it is a partial aggregate, so a pair
+    repeated many times is combined map-side before the shuffle. (Measured
+    faster than ``max_by`` with a struct ordering.)
     """
     order = order or LAST_WINS_ORDER
+    key_ = F.struct(*[F.col(c).alias(f"_o{j}") for j, c in enumerate(order)],
+                    F.col("rating").alias("_v"))
     return (df.groupBy("user_id", "item_id")
-              .agg(F.max_by("rating", F.struct(*[F.col(c) for c in order])).alias("rating")))
+              .agg(F.max(key_).getField("_v").alias("rating")))
 
 
 def pair_digest(df: DataFrame) -> DataFrame:
