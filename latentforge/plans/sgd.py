@@ -333,12 +333,9 @@ def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int | None
                           .unionByName(_expand_replicas(if0, hot_i, "i", B, p.seed)))
         n_users = fac.where(F.col("kind") == "u").count() if not has_rep else None
         n_items = fac.where(F.col("kind") == "i").count() if not has_rep else None
-        # B² rows at most: small enough to keep as a local table after the fit
-        sizes = (ratings.groupBy("ublk", "iblk").agg(F.count(F.lit(1)).alias("n_ratings"))
-                 .collect())
-        block_sizes = spark.createDataFrame(
-            [(int(x["ublk"]), int(x["iblk"]), int(x["n_ratings"])) for x in sizes],
-            "ublk int, iblk int, n_ratings long")
+        # B² rows; written to the shared folder so it outlives the cache
+        block_sizes = cut_lineage(
+            ratings.groupBy("ublk", "iblk").agg(F.count(F.lit(1)).alias("n_ratings")))
         trace = []
         t0 = time.time()
 
