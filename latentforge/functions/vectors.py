@@ -39,8 +39,3 @@ def sgd_feature_step(own: Column, other: Column, err: Column, lr: Column,
             return o
         return o + lr * (err * at(other, j) - lam * o)
     return elementwise(k, step)
-
-
-def sum_arrays(col: Column, k: int) -> Column:
-    """Aggregate: element-wise sum of fixed-length arrays (length k)."""
-    return F.array(*[F.sum(F.element_at(col, i + 1)) for i in range(k)])

@@ -81,3 +81,18 @@ def test_encode_items_dense_and_ordered(spark):
     got = {r.isbn: r.item_id for r in d.collect()}
     assert got == {"a": 0, "b": 1, "c": 2}
     assert enc.count() == 4
+
+
+def test_user_rows_chunks_add_up_to_sparse_row(spark):
+    import numpy as np
+    df = _skewed(spark, 3000).withColumn("rating", (F.col("item_id") % 5 + 1).cast("double"))
+    rows = prep.to_sparse_vectors(prep.user_rows(df, chunk_size=64), 3000)
+    got = rows.where("user_id = 7").collect()
+    dense = np.zeros(3000)
+    for r in got:
+        assert len(r.indices) <= 64
+        dense += r.features.toArray()
+    ref = np.zeros(3000)
+    for r in df.where("user_id = 7").collect():
+        ref[r.item_id] = r.rating
+    assert np.array_equal(dense, ref)
