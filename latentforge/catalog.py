@@ -95,8 +95,10 @@ def _split(spark, sf):
     return prep.train_test_split(_dedup(spark, sf), SEED)
 
 
-def _mean(df) -> float:
-    return float(df.agg(F.avg("rating")).first()[0])
+def _mean(df):
+    """The mean rating as a scalar subquery: no driver round trip, and the
+    optimizer can share the de-duplication exchange with the main plan."""
+    return df.select(F.avg("rating")).scalar()
 
 
 def _init_side(train, side):

@@ -7,7 +7,7 @@ expression. Every metric is one aggregate with map-side partial sums.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import prefix_sums
@@ -15,20 +15,22 @@ from ..functions.vectors import dot
 from ..operators.joins import join_factors
 
 
-def score(pairs: DataFrame, user_f: DataFrame, item_f: DataFrame, mu: float, k: int, *,
+def score(pairs: DataFrame, user_f: DataFrame, item_f: DataFrame, mu, k: int, *,
           biased: bool = True, n_users: int | None = None,
           n_items: int | None = None) -> DataFrame:
     """Add ``prediction`` and ``has_factors`` to (user_id, item_id, ...).
 
     Pairs whose user or item has no factor row are kept (left joins): the
     missing side contributes nothing, so the biased model falls back to
-    ``mu`` plus the known bias.
+    ``mu`` plus the known bias. ``mu`` is a number or a scalar Column (for
+    example ``train.select(F.avg("rating")).scalar()``).
     """
     j = join_factors(pairs, user_f, item_f, k, n_users=n_users, n_items=n_items, how="left")
     has = F.col("fu").isNotNull() & F.col("fi").isNotNull()
     d = F.when(has, dot(F.col("fu"), F.col("fi"))).otherwise(F.lit(0.0))
     if biased:
-        pred = (F.lit(float(mu)) + F.coalesce(F.col("bu"), F.lit(0.0)) +
+        m = mu if isinstance(mu, Column) else F.lit(float(mu))
+        pred = (m + F.coalesce(F.col("bu"), F.lit(0.0)) +
                 F.coalesce(F.col("bi"), F.lit(0.0)) + d)
     else:
         pred = d
@@ -71,7 +73,7 @@ def rmse_nan_safe(pred: DataFrame, col: str = "prediction") -> DataFrame:
 
 
 def rmse_pairs(pairs: DataFrame, truth: DataFrame, user_f: DataFrame, item_f: DataFrame,
-               mu: float, k: int, **kw) -> DataFrame:
+               mu, k: int, **kw) -> DataFrame:
     """RMSE on given pairs that exist in ``truth``; missing pairs counted."""
     t = truth.select("user_id", "item_id", "rating")
     looked = pairs.select("user_id", "item_id").join(t, ["user_id", "item_id"], "left")

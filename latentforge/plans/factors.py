@@ -66,7 +66,7 @@ def prediction(mu: Column | float, biased: bool = True) -> Column:
     return m + F.col("bu") + F.col("bi") + d
 
 
-def sgd_deltas(joined: DataFrame, mu: float, p: SgdParams, lr: float | None = None) -> DataFrame:
+def sgd_deltas(joined: DataFrame, mu, p: SgdParams, lr: float | None = None) -> DataFrame:
     """Per rating: error and the new user/item state after one SGD step.
 
     Old values are used on both sides of the update (the original reads the
@@ -89,7 +89,7 @@ def sgd_deltas(joined: DataFrame, mu: float, p: SgdParams, lr: float | None = No
                                                       lr_c, lam, p.k, p.train_dims)))
 
 
-def gradient_step(joined: DataFrame, mu: float, p: SgdParams) -> DataFrame:
+def gradient_step(joined: DataFrame, mu, p: SgdParams) -> DataFrame:
     """Full-batch gradient summed per (side, id, k); k = -1 is the bias.
 
     Per rating the user feature gradient is ``e·f_i − λ·f_u`` (items
