@@ -14,6 +14,8 @@ numpy calls in ``mapInPandas``, one K×K system per row.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,28 +35,61 @@ def check_int_ids(ratings: DataFrame) -> bool:
     return all(v is None or (0 <= v <= INT_MAX) for v in r)
 
 
+@dataclass
+class AlsFit:
+    """An MLlib ALS model plus, when ids were re-encoded, the dictionaries
+    (id -> dense int index) built by a distributed sort."""
+    model: object
+    user_dict: DataFrame | None = None
+    item_dict: DataFrame | None = None
+
+
+def _encode(df: DataFrame, col: str) -> DataFrame:
+    from ..functions.ranking import global_position
+    return global_position(df.select(col).distinct(), [col], "_idx")
+
+
+def _to_index(df: DataFrame, d: DataFrame | None, col: str) -> DataFrame:
+    if d is None:
+        return df.withColumn(col, F.col(col).cast("int"))
+    # dictionary joins: one partner per row; AQE splits skewed partitions
+    return df.join(d, col, "left").drop(col).withColumnRenamed("_idx", col) \
+             .withColumn(col, F.col(col).cast("int"))
+
+
 def fit_als(train: DataFrame, *, rank: int = 10, reg: float = 0.1, max_iter: int = 10,
             blocks: int = 10, seed: int = 0, checkpoint_interval: int = 5,
-            cold_start: str = "nan"):
+            cold_start: str = "nan") -> AlsFit:
+    """MLlib ALS with lineage cut every ``checkpoint_interval`` iterations.
+
+    MLlib takes int ids; when the ids do not fit, both sides are encoded to
+    dense indices first (the item-encoding operator) and decoded on predict.
+    """
     from pyspark.ml.recommendation import ALS
     ensure_checkpoint_dir(train.sparkSession)
+    ud = idict = None
     if not check_int_ids(train):
-        raise ValueError("ALS needs ids in int range; encode them first (encode_items)")
+        ud, idict = _encode(train, "user_id"), _encode(train, "item_id")
+    data = _to_index(_to_index(train.select("user_id", "item_id", "rating"), ud, "user_id"),
+                     idict, "item_id")
     als = ALS(userCol="user_id", itemCol="item_id", ratingCol="rating", rank=rank,
               maxIter=max_iter, regParam=reg, numUserBlocks=blocks, numItemBlocks=blocks,
               seed=seed, checkpointInterval=checkpoint_interval,
               coldStartStrategy=cold_start)
-    return als.fit(train.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"),
-                                F.col("rating").cast("float")))
-
-
-def als_predict(model, pairs: DataFrame) -> DataFrame:
-    p = model.transform(pairs.select(F.col("user_id").cast("int"),
-                                     F.col("item_id").cast("int"),
-                                     F.col("rating").cast("float")))
-    return p.select(F.col("user_id").cast("long"), F.col("item_id").cast("long"),
-                    F.col("rating").cast("double"),
-                    F.col("prediction").cast("double").alias("prediction"))
+    model = als.fit(data.select("user_id", "item_id", F.col("rating").cast("float")))
+    return AlsFit(model, ud, idict)
+
+
+def als_predict(fit: AlsFit, pairs: DataFrame) -> DataFrame:
+    """(user_id, item_id, rating, prediction) in the original ids."""
+    p = pairs.select(F.col("user_id").alias("_u"), F.col("item_id").alias("_i"),
+                     "user_id", "item_id", F.col("rating").cast("float"))
+    p = _to_index(_to_index(p, fit.user_dict, "user_id"), fit.item_dict, "item_id")
+    out = fit.model.transform(p)
+    return out.select(F.col("_u").cast("long").alias("user_id"),
+                      F.col("_i").cast("long").alias("item_id"),
+                      F.col("rating").cast("double"),
+                      F.col("prediction").cast("double").alias("prediction"))
 
 
 def normal_equations(ratings: DataFrame, other: DataFrame, solve_for: str, k: int,

@@ -93,3 +93,16 @@ def test_als_sweep_picks_min(spark):
     out = tuning.als_sweep(r, ranks=(2, 4), regs=(0.1,), max_iter=2, blocks=2).toPandas()
     assert len(out) == 2 and out.is_best.sum() == 1
     assert out.loc[out.is_best, "rmse"].iloc[0] == out.rmse.min()
+
+
+def test_fit_als_encodes_wide_ids(spark):
+    # ids beyond int range are encoded for MLlib and decoded on predict
+    r = tables.ratings_view(spark, SF_SMALL).select(
+        (F.col("user_id") + F.lit(10 ** 12)).alias("user_id"),
+        (F.col("item_id") + F.lit(10 ** 11)).alias("item_id"), "rating")
+    fit = als.fit_als(r, rank=3, max_iter=2, blocks=2)
+    assert fit.user_dict is not None
+    pred = als.als_predict(fit, r)
+    assert pred.count() == r.count()
+    assert pred.agg(F.min("user_id")).first()[0] >= 10 ** 12
+    assert pred.where(F.isnan("prediction")).count() == 0
