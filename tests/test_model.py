@@ -106,3 +106,20 @@ def test_gradient_matches_numpy(spark):
             ref[("item", x.item_id, k)] = ref.get(("item", x.item_id, k), 0) + gi[k]
     for key_, v in ref.items():
         assert np.isclose(g[key_], v)
+
+
+def test_hot_item_is_split_and_merged(spark):
+    base = _planted(spark)
+    hot = base.select("user_id", F.lit(888888).cast("long").alias("item_id"), "rating")
+    r = base.unionByName(hot.dropDuplicates(["user_id"]))
+    r = r.unionByName(base.select((F.col("user_id") + 100000).alias("user_id"),
+                                  F.lit(888888).cast("long").alias("item_id"), "rating"))
+    p = fac.SgdParams(k=4, epochs=2, lr=0.05, lr_bias=0.02, lam=0.02, decay=1.0)
+    m = sgd.fit_sgd(r, p, blocks=4, split_threshold=500)
+    items = [x.id for x in m.item_factors.collect()]
+    assert len(items) == len(set(items)) == r.select("item_id").distinct().count()
+    n_hot = r.where("item_id = 888888").count()
+    assert n_hot > r.count() / 3
+    assert m.block_sizes.agg(F.max("n_ratings")).first()[0] < n_hot
+    vals = np.concatenate([np.asarray(x.factors) for x in m.item_factors.collect()])
+    assert np.isfinite(vals).all()
