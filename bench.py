@@ -72,6 +72,19 @@ def main() -> None:
     r = timed("fit_als_10_iter", als_run)
     extra["als_test_rmse"] = round(float(r["rmse"]), 5)
 
+    # learning check at scale: planted rank-4 ratings on the same pairs
+    from latentforge.sources import synth
+    planted = synth.synth_ratings(train.select("user_id", "item_id")
+                                  .unionByName(test.select("user_id", "item_id")),
+                                  rank=4, seed=1).persist()
+    ptrain, ptest = prep.train_test_split(planted, 0)
+    extra["planted_rating_sd"] = round(float(planted.agg(F.stddev("rating")).first()[0]), 5)
+    pp = fac.SgdParams(k=8, epochs=10, lr=0.05, lr_bias=0.02, lam=0.02, bias_reg=1.0,
+                       decay=1.0)
+    pm = timed("fit_sgd_planted_10_epochs", lambda: sgd.fit_sgd(ptrain, pp, blocks=blocks))
+    extra["planted_test_rmse"] = round(float(ev.rmse(ev.score(
+        ptest, pm.user_factors, pm.item_factors, pm.mu, pp.k)).first()["rmse"]), 5)
+
     users = timed("user_permutation", lambda: prep.user_permutation(train, 0)
                   .agg(F.count(F.lit(1))).first())
     del users
