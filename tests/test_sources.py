@@ -55,3 +55,18 @@ def test_count_lines(spark):
     df = spark.createDataFrame([("abc",), ("b",), ("xyz",), ("",)], "line string")
     r = text.count_lines(df, {"a": "a", "b": "b"}).first()
     assert (r.n_lines, r.a, r.b) == (4, 1, 2)
+
+
+def test_text_file_lines_and_counts(spark):
+    tmp = tempfile.mkdtemp(dir="/tmp", prefix="lf-src-")
+    p = _write(tmp, "t.txt", ["spark is fast", "b only", "no match here?", "a and b"])
+    lines = text.read_lines(spark, p)
+    r = text.count_lines(lines, {"num_as": "a", "num_bs": "b"}).first()
+    assert (r.n_lines, r.num_as, r.num_bs) == (4, 3, 2)
+
+
+def test_text_lines_keep_whole_documents(spark):
+    from tests.conftest import SF_SMALL
+    d = tables.table(spark, SF_SMALL, "documents")
+    total_newlines = d.selectExpr("sum(size(split(text, '\\n', -1)))").first()[0]
+    assert tables.text_lines(spark, SF_SMALL).count() == total_newlines
