@@ -198,13 +198,23 @@ def _make_step(mu: float, p: SgdParams, lr: float, epoch: int):
     return step
 
 
-def _replica_map(train: DataFrame, id_col: str, other_col: str, threshold: int) -> DataFrame:
-    """(id, n_rep) for ids with more than ``threshold`` ratings."""
-    c = train.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
-    return (c.where(F.col("n") > F.lit(threshold))
-             .select(F.col(id_col).alias("id"),
-                     F.least(F.ceil(F.col("n") / F.lit(threshold)), F.lit(REP_MUL))
-                      .cast("int").alias("n_rep")))
+def _replica_maps(train: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n_rep) of users and of items with more than ``threshold`` ratings.
+
+    One grouped count over (side, id) serves both sides.
+    """
+    sides = train.select(F.explode(F.array(
+        F.struct(F.lit("u").alias("side"), F.col("user_id").alias("id")),
+        F.struct(F.lit("i").alias("side"), F.col("item_id").alias("id")))).alias("s"))
+    c = (sides.groupBy(F.col("s.side").alias("side"), F.col("s.id").alias("id"))
+              .agg(F.count(F.lit(1)).alias("n"))
+              .where(F.col("n") > F.lit(threshold))
+              .select("side", "id",
+                      F.least(F.ceil(F.col("n") / F.lit(threshold)), F.lit(REP_MUL))
+                       .cast("int").alias("n_rep")))
+    c = cut_lineage(c)
+    return (c.where(F.col("side") == "u").drop("side"),
+            c.where(F.col("side") == "i").drop("side"))
 
 
 def prepare_ratings(train: DataFrame, p: SgdParams, n_blocks: int, labels: list[int],
@@ -212,8 +222,7 @@ def prepare_ratings(train: DataFrame, p: SgdParams, n_blocks: int, labels: list[
     """Ratings with training ids (replica ids for hot ids) and block columns."""
     r = train.select("user_id", "item_id", F.col("rating").cast("double").alias("rating"))
     if split_threshold:
-        hot_u = _replica_map(r, "user_id", "item_id", split_threshold)
-        hot_i = _replica_map(r, "item_id", "user_id", split_threshold)
+        hot_u, hot_i = _replica_maps(r, split_threshold)
     else:
         spark = train.sparkSession
         hot_u = spark.createDataFrame([], "id long, n_rep int")
@@ -312,7 +321,6 @@ def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int | None
     cached = []
     try:
         ratings, hot_u, hot_i = prepare_ratings(train, p, B, labels, split_threshold)
-        hot_u, hot_i = cut_lineage(hot_u), cut_lineage(hot_i)
         has_rep = (hot_u.count() + hot_i.count()) > 0
         ratings = (ratings.withColumn("stratum", F.pmod(F.col("iblk") - F.col("ublk"), F.lit(B)))
                           .select("label", "stratum", "uid", "iid", "rating", "ord",
@@ -331,8 +339,11 @@ def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int | None
                            seed=p.seed, noise=p.noise, gaussian=p.gaussian_init)
         fac = cut_lineage(_expand_replicas(uf0, hot_u, "u", B, p.seed)
                           .unionByName(_expand_replicas(if0, hot_i, "i", B, p.seed)))
-        n_users = fac.where(F.col("kind") == "u").count() if not has_rep else None
-        n_items = fac.where(F.col("kind") == "i").count() if not has_rep else None
+        n_users = n_items = None
+        if not has_rep:
+            nn = fac.agg(F.sum(F.when(F.col("kind") == "u", 1).otherwise(0)).alias("u"),
+                         F.sum(F.when(F.col("kind") == "i", 1).otherwise(0)).alias("i")).first()
+            n_users, n_items = int(nn["u"] or 0), int(nn["i"] or 0)
         # B² rows; written to the shared folder so it outlives the cache
         block_sizes = cut_lineage(
             ratings.groupBy("ublk", "iblk").agg(F.count(F.lit(1)).alias("n_ratings")))
