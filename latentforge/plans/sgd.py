@@ -344,9 +344,8 @@ def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int | None
             nn = fac.agg(F.sum(F.when(F.col("kind") == "u", 1).otherwise(0)).alias("u"),
                          F.sum(F.when(F.col("kind") == "i", 1).otherwise(0)).alias("i")).first()
             n_users, n_items = int(nn["u"] or 0), int(nn["i"] or 0)
-        # B² rows; written to the shared folder so it outlives the cache
-        block_sizes = cut_lineage(
-            ratings.groupBy("ublk", "iblk").agg(F.count(F.lit(1)).alias("n_ratings")))
+        # diagnostic, B² rows; lazy (recomputed from lineage if asked for)
+        block_sizes = ratings.groupBy("ublk", "iblk").agg(F.count(F.lit(1)).alias("n_ratings"))
         trace = []
         t0 = time.time()
 
