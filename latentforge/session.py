@@ -83,12 +83,15 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def read_or_build(spark: SparkSession, path: str, build, fmt: str = "parquet",
-                  **read_opts) -> None:
-    """Write ``build()`` to ``path`` once; later calls reuse the files."""
+def read_or_build(spark: SparkSession, path: str, build) -> None:
+    """Write ``build(path)`` once; later calls reuse the files.
+
+    Reuse requires the job-commit marker ``_SUCCESS``, so a folder left by
+    an interrupted write is rebuilt (``build`` writes with overwrite).
+    """
     from pyspark.errors import AnalysisException
     try:
-        spark.read.format(fmt).options(**read_opts).load(path).limit(1).collect()
+        spark.read.text(path.rstrip("/") + "/_SUCCESS").limit(1).collect()
         return
     except AnalysisException:
         pass

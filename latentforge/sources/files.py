@@ -121,7 +121,7 @@ def rating_lines_path(spark: SparkSession, sf_dir: str) -> str:
                  .otherwise(F.concat_ws("::", u, i, r, t)))
         v.select(line.alias("value")).write.mode("overwrite").text(p)
 
-    read_or_build(spark, path, build, fmt="text")
+    read_or_build(spark, path, build)
     return path
 
 
@@ -134,7 +134,7 @@ def item_lines_path(spark: SparkSession, sf_dir: str) -> str:
             "item_id", "title", F.array_join("genres", "|").alias("genres_text"))
         v.write.mode("overwrite").option("quoteAll", "true").option("escape", '"').csv(p)
 
-    read_or_build(spark, path, build, fmt="text")
+    read_or_build(spark, path, build)
     return path
 
 
@@ -146,5 +146,5 @@ def book_lines_path(spark: SparkSession, sf_dir: str) -> str:
         v = book_view(spark, sf_dir).select("user_id", "isbn", "rating")
         v.write.mode("overwrite").option("sep", ";").option("quoteAll", "true").csv(p)
 
-    read_or_build(spark, path, build, fmt="text")
+    read_or_build(spark, path, build)
     return path
