@@ -2,8 +2,8 @@
 
 from .factors import (SgdParams, flat_factors, gradient_step, init_factors, init_model,
                       prediction, sgd_deltas)
-from .sgd import SgdModel, fit_sgd, sampled_pairs, trace_frame
+from .sgd import SgdModel, fit_sgd, sampled_pairs, suggest_blocks, trace_frame
 
 __all__ = ["SgdParams", "SgdModel", "init_factors", "init_model", "prediction",
            "sgd_deltas", "gradient_step", "flat_factors", "fit_sgd", "sampled_pairs",
-           "trace_frame"]
+           "trace_frame", "suggest_blocks"]
