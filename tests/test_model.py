@@ -123,3 +123,13 @@ def test_hot_item_is_split_and_merged(spark):
     assert m.block_sizes.agg(F.max("n_ratings")).first()[0] < n_hot
     vals = np.concatenate([np.asarray(x.factors) for x in m.item_factors.collect()])
     assert np.isfinite(vals).all()
+
+
+def test_step_schedule_and_gaussian_init(spark):
+    r = _planted(spark)
+    train, test = prep.train_test_split(r, 0)
+    p = fac.SgdParams(k=4, epochs=2, lr=0.05, lr_bias=0.02, lam=0.02, bias_reg=1.0,
+                      decay=0.99999, schedule="step", gaussian_init=True, noise=0.05)
+    m = sgd.fit_sgd(train, p, blocks=2, eval_sets={"test": test}, trace_every=2)
+    first, last = m.trace[0][2], m.trace[-1][2]
+    assert np.isfinite(last) and last < first
