@@ -30,3 +30,10 @@ def test_no_cartesian_anywhere_in_checked_queries(spark):
             continue  # these write a fixture file first
         p = _plan(catalog.QUERIES[name](spark, SF_SMALL))
         assert "CartesianProduct" not in p, name
+
+
+def test_user_filter_is_pushed_into_the_scan(spark):
+    from latentforge.operators import prep
+    from latentforge.sources import tables
+    p = _plan(prep.user_ratings(tables.ratings_view(spark, SF_SMALL), 7))
+    assert "EqualTo(o_custkey,7)" in p
