@@ -93,26 +93,29 @@ def gradient_step(joined: DataFrame, mu, p: SgdParams) -> DataFrame:
     """Full-batch gradient summed per (side, id, k); k = -1 is the bias.
 
     Per rating the user feature gradient is ``e·f_i − λ·f_u`` (items
-    likewise) and the bias gradient ``e − biasReg·λ·b``. The per-dimension
-    values are exploded and summed by a grouped aggregate with map-side
-    partial sums, so a hot id costs one partial row per task.
+    likewise) and the bias gradient ``e − biasReg·λ·b``. Each side is one
+    grouped aggregate of K+1 fixed-width sums per id (map-side partial
+    sums, so a hot id costs one partial row per task); only the per-id
+    result is exploded into (k, grad) rows.
     """
     lam = F.lit(p.lam)
-    e = F.col("rating") - prediction(mu, p.biased)
-    j = joined.withColumn("err", e)
-    fu, fi, err = F.col("fu"), F.col("fi"), F.col("err")
-    gu = elementwise(p.k, lambda q: err * at(fi, q) - lam * at(fu, q))
-    gi = elementwise(p.k, lambda q: err * at(fu, q) - lam * at(fi, q))
     breg = F.lit(p.bias_reg * p.lam)
-    user_rows = j.select(F.lit("user").alias("side"), F.col("user_id").alias("id"),
-                         F.posexplode(F.concat(F.array(F.col("err") - breg * F.col("bu")), gu)))
-    item_rows = j.select(F.lit("item").alias("side"), F.col("item_id").alias("id"),
-                         F.posexplode(F.concat(F.array(F.col("err") - breg * F.col("bi")), gi)))
-    rows = user_rows.unionByName(item_rows)
-    if not p.biased:
-        rows = rows.where(F.col("pos") > 0)
-    return (rows.groupBy("side", "id", (F.col("pos") - 1).alias("k"))
-                .agg(F.sum("col").alias("grad")))
+    j = joined.withColumn("err", F.col("rating") - prediction(mu, p.biased))
+    fu, fi, err = F.col("fu"), F.col("fi"), F.col("err")
+
+    def side(name, id_col, own, other, bias_col):
+        terms = [err - breg * F.col(bias_col)] if p.biased else []
+        terms += [err * at(other, q) - lam * at(own, q) for q in range(p.k)]
+        sums = j.groupBy(F.col(id_col).alias("id")).agg(
+            *[F.sum(t).alias(f"_g{q}") for q, t in enumerate(terms)])
+        first_k = -1 if p.biased else 0
+        return sums.select(F.lit(name).alias("side"), "id",
+                           F.posexplode(F.array(*[F.col(f"_g{q}") for q in range(len(terms))]))
+                           .alias("pos", "grad")) \
+                   .select("side", "id", (F.col("pos") + F.lit(first_k)).alias("k"), "grad")
+
+    return side("user", "user_id", fu, fi, "bu").unionByName(
+        side("item", "item_id", fi, fu, "bi"))
 
 
 def flat_factors(f: DataFrame, side: str) -> DataFrame:
