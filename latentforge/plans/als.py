@@ -105,16 +105,20 @@ def normal_equations(ratings: DataFrame, other: DataFrame, solve_for: str, k: in
                     n_small=n_other, row_bytes=factor_row_bytes(k),
                     salt_cols=["user_id", "item_id"])
     v, rating = F.col("v"), F.col("rating")
-    outer = elementwise(k * k, lambda q: at(v, q // k) * at(v, q % k))
+    # the Gram matrix is symmetric: sum the upper triangle only, K(K+1)/2 terms
+    upper = [(a, b) for a in range(k) for b in range(a, k)]
     rv = elementwise(k, lambda q: at(v, q) * rating)
-    j = j.select(F.col(solve_for).alias("id"), outer.alias("o"), rv.alias("rv"))
+    j = j.select(F.col(solve_for).alias("id"), v, rv.alias("rv"))
     aggs = ([F.count(F.lit(1)).alias("n")] +
-            [F.sum(F.element_at("o", i + 1)).alias(f"_g{i}") for i in range(k * k)] +
+            [F.sum(at(v, a) * at(v, b)).alias(f"_g{a}_{b}") for a, b in upper] +
             [F.sum(F.element_at("rv", i + 1)).alias(f"_b{i}") for i in range(k)])
     g = j.groupBy("id").agg(*aggs)
     diag = F.lit(lam) * F.col("n").cast("double")
-    gram = F.array(*[(F.col(f"_g{i}") + diag) if i // k == i % k else F.col(f"_g{i}")
-                     for i in range(k * k)])
+
+    def cell(a, b):
+        c = F.col(f"_g{min(a, b)}_{max(a, b)}")
+        return c + diag if a == b else c
+    gram = F.array(*[cell(a, b) for a in range(k) for b in range(k)])
     return g.select("id", "n", gram.alias("gram"),
                     F.array(*[F.col(f"_b{i}") for i in range(k)]).alias("rhs"))
 
