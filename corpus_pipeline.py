@@ -1,4 +1,11 @@
-"""Corpus pipeline: quality rules, exact dedup (more stages follow)."""
+"""Corpus pipeline: what a raw crawl goes through before training.
+
+Each stage takes and returns the columns of ``documents``, the last returns
+packed pieces. Documents that the quality rules reject go; of equal texts one
+row stays, of each near-duplicate group one document; byte strings of 400 and
+more that start elsewhere too are cut out of the texts (the document stays);
+what is left is tokenised and packed.
+"""
 
 from __future__ import annotations
 
@@ -7,18 +14,41 @@ from pyspark.sql import DataFrame, SparkSession
 from latentforge.llm.common import documents, materialize
 from latentforge.llm.exact_dedup import keep_exact
 from latentforge.llm.host_rules import keep_quality
+from latentforge.llm.near_dedup import keep_near
+from latentforge.llm.packing import best_fit_packing
+from latentforge.llm.queries import tokenizer_path
+from latentforge.llm.suffix_dedup import cut_repeats
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2."""
     return keep_quality(docs)
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4."""
     return keep_exact(docs)
 
 
-STAGES = [("quality_rules", quality), ("exact_dedup", exact)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10."""
+    return keep_near(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8."""
+    return cut_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5."""
+    return best_fit_packing(docs.select("doc_id", "text"), tokenizer_path())
+
+
+STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup),
+          ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", pack)]
 
+#: the third to fifth stage are beyond SQL; tests/llm holds them to brute force
 ORACLE_SQL = None
 
 

@@ -44,20 +44,31 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_back(big: DataFrame, small: DataFrame, key: str, size: str) -> DataFrame:
+def join_back(big: DataFrame, small: DataFrame, key: str, size: str, spread: Column,
+              how: str = "inner") -> DataFrame:
     """``big`` joined with ``small`` (unique ``key``) without a hot task.
 
     ``small[size]`` is the number of rows of ``big`` that carry the key. Keys
     with at least 1/1000 of all rows are at most 1000 rows of ``small``: they
-    are broadcast. All others meet in a sort-merge join, in which no key has
-    more than 1/1000 of the rows. Rows whose key is not in ``small`` go.
-    """
+    are broadcast. The others meet in a sort-merge join, in which no key has
+    more than 1/1000 of the rows; rows settled by the broadcast, and rows
+    without a key, are dealt by ``spread`` there and meet nothing. Rows whose
+    key is not in ``small`` go, or stay with nulls (``how="left"``)."""
     total = small.agg(F.sum(size)).first()[0] or 0
     is_hot = F.col(size) * HOT_SHARE >= F.lit(total)
-    hot = small.filter(is_hot)
-    return (big.join(F.broadcast(hot), key)
-            .unionByName(big.join(F.broadcast(hot.select(key)), key, "left_anti")
-                         .join(small.filter(~is_hot).hint("merge"), key)))
+    vals = [c for c in small.columns if c != key]
+    hot = small.filter(is_hot).select(key, F.struct(*vals).alias("_hot"))
+    cold = small.filter(~is_hot).select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_deal"),
+                                        F.struct(*vals).alias("_cold"))
+    out = big.join(F.broadcast(hot), key, "left").withColumn(
+        "_salt", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.lit(0).cast("long"))
+        .otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1))
+    out = out.join(cold.hint("merge"), (F.col(key) == F.col("_key"))
+                   & (F.col("_salt") == F.col("_deal")), "left")
+    out = out.withColumn("_got", F.coalesce("_hot", "_cold"))
+    if how == "inner":
+        out = out.filter("_got is not null")
+    return out.select(*[F.col(c) for c in big.columns], *[F.col("_got")[c].alias(c) for c in vals])
 
 
 def components(edges: DataFrame) -> DataFrame:

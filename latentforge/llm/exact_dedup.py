@@ -93,7 +93,7 @@ def exact_dedup(docs: DataFrame, batches: int = 2, path: str | None = None) -> D
         index.append(part)
     found = materialize(index.verdicts(digests), "digest-verdicts")
     index.close()
-    return join_back(digests, found, "digest", "group_size").select(
+    return join_back(digests, found, "digest", "group_size", F.col("doc_id")).select(
         "doc_id", "keep_id", "group_size",
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))

@@ -112,7 +112,8 @@ def apply_host_rules(docs: DataFrame, carry: list[str]) -> DataFrame:
         "host", F.coalesce("_host", F.lit("null"))).drop("_text", "_host")
     scored = materialize(measured, "measured")
     hosts = materialize(host_rates(scored), "host-rates")
-    out = join_back(scored, hosts, "host", "host_docs")
+    out = join_back(scored, hosts, "host", "host_docs",
+                    F.xxhash64("n_words", "word_chars", "n_symbols"))
     return out.withColumn("kept", ~F.col("failed") & ~F.col("host_rejected"))
 
 

@@ -8,6 +8,23 @@ from . import sql
 from .common import documents
 from .exact_dedup import exact_dedup
 from .host_rules import apply_host_rules
+from .language_id import identify
+from .lexicon import transduced
+from .licences import scan_licences
+from .maxent_lm import score_corpus
+from .near_dedup import near_dedup
+from .packing import best_fit_packing, packed_matrices
+from .suffix_dedup import repeated_bytes
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text under the hashed maximum-entropy model."""
+    return score_corpus(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op2_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +35,48 @@ def op2_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "n_repeat_words", "base_failed", "kept", "host_docs", "host_failed")
 
 
+def op3_byte_gru_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text by the bidirectional byte network."""
+    return identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
 def op4_exact_dedup_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates through the persistent digest index."""
     return exact_dedup(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_host_quality_rules, op4_exact_dedup_index)}
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounded-space online best-fit packing of all documents."""
+    return best_fit_packing(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path())
+
+
+def op6_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding and decoding through the acyclic transducer lexicon."""
+    return transduced(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path())
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every text by Dice over word bigrams."""
+    return scan_licences(documents(spark, sf_dir).select("doc_id", "text")).drop("matches")
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left after removal of 400-byte strings that start elsewhere too."""
+    return repeated_bytes(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op9_packed_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best-fit-decreasing packed id matrices with segment lengths."""
+    return packed_matrices(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path())
+
+
+def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components by tensored MinHash banding."""
+    return near_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_maxent_lm, op2_host_quality_rules, op3_byte_gru_language_id, op4_exact_dedup_index,
+    op5_best_fit_packing, op6_transducer_bpe, op7_licence_scan, op8_suffix_array_dedup,
+    op9_packed_token_matrices, op10_tensored_minhash)}
 SQL = {"op2_host_quality_rules": sql.HOST_RULES, "op4_exact_dedup_index": sql.EXACT_DEDUP}
