@@ -1,7 +1,7 @@
 """BPE encoding through a minimal acyclic transducer of frequent words.
 
-The most frequent words of the corpus (at most ``LEXICON``) are compiled, with
-their ids as outputs, into an automaton that shares prefixes and suffixes: each
+The words with at least a ``LEXICON``-th of all occurrences (at most ``LEXICON``
+words, then) are compiled, with their ids as outputs, into an automaton that shares prefixes and suffixes: each
 transition carries how many words come before those that pass it, so the sum
 along a word's path is its number in the lexicon, and that number indexes its
 ids. The automaton is a few flat arrays (sorted transition keys, targets,
@@ -55,10 +55,14 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, limit: int = LEXICON) -> list[str]:
-    """The most frequent words (ties by the word itself); at most ``limit``."""
-    counts = docs.select("text").mapInArrow(word_counts, "word string, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word")
-    return [r[0] for r in top.limit(limit).collect()]
+    """Words with at least a ``limit``-th of all occurrences, which at most
+    ``limit`` words can have."""
+    counts = materialize(
+        docs.select("text").mapInArrow(word_counts, "word string, n long")
+        .groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return sorted(r[0] for r in counts.filter(F.col("n") * limit >= F.lit(total))
+                  .select("word").collect())
 
 
 class Transducer:
