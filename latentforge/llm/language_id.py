@@ -10,7 +10,8 @@ states start at zero in each), and many segments run side by side: memory is
 that of one block, whatever the length of a text.
 
 Training takes at most ``SAMPLE`` rows per language, the ones with the least
-hash of the id (a documented bound), and learns on random segments of them; the
+hash of id and text (a documented bound), and learns on random segments of them,
+from anywhere in the text; the
 weights are a few kilobytes and are broadcast. Every text is labelled whole.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; with
@@ -142,27 +143,21 @@ def lanes(data: np.ndarray, start: np.ndarray, end: np.ndarray):
     return data[np.minimum(at, len(data) - 1)], mask.astype(np.float32)
 
 
-def train(texts: list[bytes], labels: np.ndarray, n_labels: int, seed: int = 0) -> ByteGRU:
+def train(pieces: list[bytes], labels: np.ndarray, n_labels: int, seed: int = 0) -> ByteGRU:
     """Adam on mini-batches of segments, deterministic for the same rows."""
     net, rng = ByteGRU(n_labels, seed), np.random.default_rng(seed + 1)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    off = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    start, end, doc = segments(data, off)
-    # a bounded number of segments of each text, from anywhere in it
-    order = np.lexsort((rng.random(len(doc)), doc))
-    rank = np.arange(len(doc)) - np.searchsorted(doc[order], doc[order])
-    use = np.sort(order[rank < SAMPLE_BYTES // SEGMENT])
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    off = np.concatenate(([0], np.cumsum([len(t) for t in pieces]))).astype(np.int64)
+    start, end = off[:-1], off[1:]
     m = {n: np.zeros_like(v) for n, v in net.p.items()}
     v = {n: np.zeros_like(w) for n, w in net.p.items()}
     step = 0
     for epoch in range(EPOCHS):
-        for some in np.array_split(rng.permutation(use), max(1, len(use) // BATCH)):
-            if not len(some):
-                continue
+        rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS))
+        for some in np.array_split(rng.permutation(len(pieces)), max(1, len(pieces) // BATCH)):
             x, mask = lanes(data, start[some], end[some])
             step += 1
-            rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS))
-            for n, g in net.gradients(x, mask, labels[doc[some]]).items():
+            for n, g in net.gradients(x, mask, labels[some]).items():
                 m[n] += 0.1 * (g - m[n])
                 v[n] += 0.001 * (g * g - v[n])
                 net.p[n] -= rate * (m[n] / (1 - 0.9 ** step)) / (
@@ -181,16 +176,39 @@ def pooled(net: ByteGRU, block: Block, n_labels: int) -> np.ndarray:
     return total / np.maximum(np.diff(block.offsets), 1)[:, None]
 
 
+def sample_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most ``SAMPLE_BYTES`` of each text, in segments from anywhere in it."""
+    for batch in batches:
+        seeds = batch.column("h").to_pylist()
+        for block in blocks(batch.column("text")):
+            start, end, doc = segments(block.data, block.offsets)
+            first = np.searchsorted(doc, np.arange(block.n + 1))
+            out = []
+            for i in range(block.n):
+                rng = np.random.default_rng(seeds[block.row0 + i] & 0xFFFFFFFF)
+                n = first[i + 1] - first[i]
+                pick = first[i] + np.sort(rng.permutation(n)[:SAMPLE_BYTES // SEGMENT])
+                out.append([block.data[start[k]:end[k]].tobytes() for k in pick])
+            yield pa.record_batch([
+                batch.column("lang").slice(block.row0, block.n),
+                batch.column("h").slice(block.row0, block.n),
+                pa.array(out, pa.list_(pa.binary()))], names=["lang", "h", "segments"])
+
+
 def training_rows(docs: DataFrame, per_language: int = SAMPLE) -> list:
-    """At most ``per_language`` labelled rows of each language: those with the
-    least hash of id and text."""
-    ranked = docs.filter("lang is not null and text is not null").select(
-        "lang", "text", F.xxhash64(F.col("doc_id"), F.octet_length("text")).alias("h"))
-    order = Window.partitionBy("lang").orderBy("h", "text")
+    """``(lang, segments)`` of at most ``per_language`` labelled rows of each
+    language (and rows that repeat them): those with the least hash of id and
+    text. The cut-off is found on hashes alone; no text is shuffled."""
+    rows = docs.filter("lang is not null and text is not null").select(
+        "lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    order = Window.partitionBy("lang").orderBy("h")
     # a grouped limit: each task keeps its first rows before the shuffle
-    return (ranked.withColumn("k", F.row_number().over(order)).filter(f"k <= {per_language}")
-            .select("lang", F.substring("text", 1, 1 << 16).alias("text"), "k")
-            .orderBy("lang", "k").collect())
+    last = (rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(order))
+            .filter(f"k <= {per_language}").groupBy("lang").agg(F.max("h").alias("last")))
+    found = (rows.join(F.broadcast(last), "lang").filter("h <= last").dropDuplicates(["lang", "h"])
+             .mapInArrow(sample_segments, "lang string, h long, segments array<binary>"))
+    return [(r["lang"], r["segments"]) for r in sorted(
+        found.collect(), key=lambda r: (r["lang"], r["h"]))]
 
 
 def identify(docs: DataFrame, held_out=None) -> DataFrame:
@@ -199,11 +217,12 @@ def identify(docs: DataFrame, held_out=None) -> DataFrame:
     spark = docs.sparkSession
     out = held_out if held_out is not None else crc_mod(F.col("doc_id"), 4) == 2
     rows = training_rows(docs.filter(~out))
-    names = sorted({r["lang"] for r in rows})
+    labelled = [(bytes(piece), lang) for lang, parts in rows for piece in parts]
+    names = sorted({lang for _, lang in labelled})
     net = None
     if names:
-        net = train([r["text"].encode("utf-8") for r in rows],
-                    np.array([names.index(r["lang"]) for r in rows]), len(names))
+        net = train([piece for piece, _ in labelled],
+                    np.array([names.index(lang) for _, lang in labelled]), len(names))
     shipped = spark.sparkContext.broadcast((net, names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
