@@ -45,49 +45,59 @@ def main() -> None:
     relational = ["dedupe_ratings", "dataset_summary", "split_counts", "user_items",
                   "interaction_order", "predict", "rmse", "gradient_step", "als_gram",
                   "rmse_dense", "auroc", "line_contains_count"]
+    # a warm-up query first, so that JVM start-up is in no figure
+    catalog.QUERIES["dataset_summary"](spark, sf_dir).collect()
     for name in relational:
         timed(name, lambda n=name: catalog.QUERIES[n](spark, sf_dir).write.format("noop")
               .mode("overwrite").save())
 
-    train, test = catalog._split(spark, sf_dir)
-    train = train.persist()
-    test = test.persist()
+    train, test = catalog._stored_split(spark, sf_dir)
     extra["n_train"] = train.count()
     extra["n_test"] = test.count()
-
-    p = fac.SgdParams(k=20, epochs=epochs, lr=0.1, lr_bias=0.5, lam=0.1, bias_reg=0.1,
-                      decay=0.9)
-    blocks = int(os.environ.get("BENCH_BLOCKS", str(max(2, cpus // 2))))
-    model = timed("fit_sgd_26_epochs", lambda: sgd.fit_sgd(train, p, blocks=blocks))
-    extra["sgd_blocks"] = blocks
-    extra["sgd_epoch_seconds"] = model.epoch_seconds
-    r = timed("sgd_test_rmse", lambda: ev.rmse(ev.score(
-        test, model.user_factors, model.item_factors, model.mu, p.k)).first())
-    extra["sgd_test_rmse"] = round(float(r["rmse"]), 5)
-    extra["sgd_sec_per_epoch"] = round(times["fit_sgd_26_epochs"] / max(epochs, 1), 3)
-
-    def als_run():
-        m = als_plan.fit_als(train, rank=10, reg=0.1, max_iter=10, blocks=cpus)
-        return ev.rmse_nan_safe(als_plan.als_predict(m, test)).first()
-    r = timed("fit_als_10_iter", als_run)
-    extra["als_test_rmse"] = round(float(r["rmse"]), 5)
-
-    # learning check at scale: planted rank-4 ratings on the same pairs
+    # planted rank-4 ratings on the same pairs: the data to learn from
+    from latentforge.session import new_scratch_path, write_table
     from latentforge.sources import synth
-    planted = synth.synth_ratings(train.select("user_id", "item_id")
-                                  .unionByName(test.select("user_id", "item_id")),
-                                  rank=4, seed=1).persist()
+    planted = write_table(synth.synth_ratings(
+        train.select("user_id", "item_id").unionByName(test.select("user_id", "item_id")),
+        rank=4, seed=1), new_scratch_path(spark, "planted"))
     ptrain, ptest = prep.train_test_split(planted, 0)
     extra["planted_rating_sd"] = round(float(planted.agg(F.stddev("rating")).first()[0]), 5)
-    pp = fac.SgdParams(k=8, epochs=10, lr=0.05, lr_bias=0.02, lam=0.02, bias_reg=1.0,
-                       decay=1.0)
-    pm = timed("fit_sgd_planted_10_epochs", lambda: sgd.fit_sgd(ptrain, pp, blocks=blocks))
-    extra["planted_test_rmse"] = round(float(ev.rmse(ev.score(
-        ptest, pm.user_factors, pm.item_factors, pm.mu, pp.k)).first()["rmse"]), 5)
-
-    users = timed("user_permutation", lambda: prep.user_permutation(train, 0)
-                  .agg(F.count(F.lit(1))).first())
-    del users
+
+    def held_out(model, data, p):
+        r = ev.rmse(ev.score(data, model.user_factors, model.item_factors, model.mu, p.k,
+                             biased=p.biased)).first()
+        return round(float(r["rmse"]), 5)
+
+    # the logged configurations of the baseline; block count by the default
+    best = fac.SgdParams(k=20, epochs=epochs, lr=0.1, lr_bias=0.5, lam=0.1, bias_reg=0.1,
+                         decay=0.9)
+    runs = {"fit_sgd_26_epochs": best,
+            "fit_sgd_unbiased": fac.SgdParams(**{**best.__dict__, "biased": False}),
+            "fit_sgd_planted_10_epochs": fac.SgdParams(k=8, epochs=10, lr=0.05, lr_bias=0.02,
+                                                       lam=0.02, bias_reg=1.0, decay=1.0)}
+    for name, p in runs.items():
+        data, held = (ptrain, ptest) if "planted" in name else (train, test)
+        model = timed(name, lambda d=data, q=p: sgd.fit_sgd(d, q))
+        extra[name + "_blocks"] = model.blocks
+        extra[name + "_epoch_seconds"] = model.epoch_seconds
+        extra[name + "_test_rmse"] = held_out(model, held, p)
+    extra["planted_test_rmse"] = extra["fit_sgd_planted_10_epochs_test_rmse"]
+
+    def books_run():
+        enc, _ = prep.encode_items(prep.explicit_ratings(catalog._books(spark, sf_dir)), "isbn")
+        r = prep.dedupe_ratings(enc.select("user_id", "item_id",
+                                           F.col("rating").cast("double")), order=["rating"])
+        btrain, _ = prep.train_test_split(r, 0)
+        return sgd.fit_sgd(btrain, fac.SgdParams(k=10, epochs=10, lr_bias=0.01, decay=1.0))
+    timed("fit_sgd_books_parallel", books_run)
+
+    def als_run(tr, te):
+        m = als_plan.fit_als(tr, rank=10, reg=0.1, max_iter=10, blocks=cpus)
+        return round(float(ev.rmse_nan_safe(als_plan.als_predict(m, te)).first()["rmse"]), 5)
+    extra["als_test_rmse"] = timed("fit_als_10_iter", lambda: als_run(train, test))
+    extra["als_planted_test_rmse"] = timed("fit_als_planted", lambda: als_run(ptrain, ptest))
+
+    timed("user_permutation", lambda: prep.user_permutation(train, 0).agg(F.count(F.lit(1))).first())
     total = round(sum(times.values()), 3)
     sf = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec",

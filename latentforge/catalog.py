@@ -3,7 +3,8 @@
 Every query reads the given tables (or files Spark derives from them) in
 full. Doubles are rounded to 6 digits on both sides; every computed
 column carries the same alias in the Spark query and in the SQL.
-Queries without SQL (model fitting) are checked by invariants in tests.
+Stochastic fits are checked by the number of updates of every id, full-batch
+and alternating fits by their exact result, unrolled in SQL.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.hashing import (hash_uniform, key, sql_hash_bucket, sql_hash_gaussian,
-                                sql_hash_uniform, sql_key, sql_lit)
+from .functions.hashing import (hash_bucket, key, sql_hash_bucket, sql_hash_gaussian,
+                                sql_hash_int, sql_hash_uniform, sql_key, sql_lit)
 from .functions.vectors import dot
 from .operators import joins, prep
 from .plans import als as als_plan
 from .plans import evaluate as ev
 from .plans import factors as fac
-from .plans import linear, sgd, tuning
+from .plans import gradient, linear, sgd, tuning
+from .session import new_scratch_path, write_table
 from .sources import files, synth, tables, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +97,16 @@ def _split(spark, sf):
     return prep.train_test_split(_dedup(spark, sf), SEED)
 
 
+def _books(spark, sf):
+    return tables.book_view(spark, sf).select("user_id", "isbn", "rating")
+
+
+def _stored_split(spark, sf):
+    """The split ratings, written once: what a model query reads again."""
+    d = write_table(_dedup(spark, sf), new_scratch_path(spark, "ratings"))
+    return prep.train_test_split(d, SEED)
+
+
 def _mean(df):
     """The mean rating as a scalar subquery: no driver round trip, and the
     optimizer can share the de-duplication exchange with the main plan."""
@@ -102,13 +114,15 @@ def _mean(df):
 
 
 def _init_side(train, side):
+    """Initial factors as a stored table, so that joins to it can be split."""
     col = "user_id" if side == "u" else "item_id"
-    return fac.init_factors(train.select(col).distinct(), col, side, K_CHECK,
-                            seed=SEED, noise=NOISE)
+    return write_table(fac.init_factors(train.select(col).distinct(), col, side, K_CHECK,
+                                        seed=SEED, noise=NOISE),
+                       new_scratch_path(train.sparkSession, "factors"))
 
 
 def _init_model(spark, sf):
-    train, test = _split(spark, sf)
+    train, test = _stored_split(spark, sf)
     return train, test, _mean(train), _init_side(train, "u"), _init_side(train, "i")
 
 
@@ -176,7 +190,7 @@ def _bad_bucket_sql():
 
 
 @query("read_ratings", with_(W_RATINGS) + f"""
-SELECT user_id, item_id, rating, ts FROM ratings WHERE {_bad_bucket_sql()} >= 2""")
+SELECT user_id, item_id, rating, ts FROM ratings WHERE {_bad_bucket_sql()} >= 3""")
 def q_read_ratings(spark, sf):
     return files.read_ratings(spark, files.rating_lines_path(spark, sf))
 
@@ -204,7 +218,8 @@ def q_read_book_ratings(spark, sf):
 
 
 @query("reject_counts", with_(W_RATINGS) + f"""
-SELECT CASE b WHEN 0 THEN 'field_count' WHEN 1 THEN 'parse' ELSE 'good' END AS reason,
+SELECT CASE b WHEN 0 THEN 'field_count' WHEN 1 THEN 'parse' WHEN 2 THEN 'null_field'
+            ELSE 'good' END AS reason,
        count(*) AS n_lines
 FROM (SELECT {_bad_bucket_sql()} AS b FROM ratings) GROUP BY 1""")
 def q_reject_counts(spark, sf):
@@ -251,8 +266,7 @@ def q_line_contains_count(spark, sf):
 @query("explicit_ratings", with_(W_BOOKS) +
        "SELECT user_id, isbn, rating FROM books WHERE rating > 0")
 def q_explicit_ratings(spark, sf):
-    return prep.explicit_ratings(
-        files.read_book_ratings(spark, files.book_lines_path(spark, sf)))
+    return prep.explicit_ratings(_books(spark, sf))
 
 
 @query("user_ratings", with_(W_RATINGS) + """
@@ -342,7 +356,7 @@ def q_user_rows(spark, sf):
 SELECT isbn, row_number() OVER (ORDER BY isbn) - 1 AS item_id
 FROM (SELECT DISTINCT isbn FROM books WHERE rating > 0)""")
 def q_encode_items(spark, sf):
-    books = prep.explicit_ratings(files.read_book_ratings(spark, files.book_lines_path(spark, sf)))
+    books = prep.explicit_ratings(_books(spark, sf))
     _, dictionary = prep.encode_items(books, "isbn", "item_id")
     return dictionary
 
@@ -578,101 +592,248 @@ def q_sampled_pairs(spark, sf):
                              epoch=0).drop("sample_key")
 
 
-# ---- model fitting (no SQL twin; checked by invariants) -------------------
+# ---- model fitting ---------------------------------------------------------
+# The SGD twins count updates: every rating trains its user and its item once
+# per epoch, whatever the blocks, strata and samples.
 
 FIT_EPOCHS = 3
-FIT_BLOCKS = 4
+FIT_ROWS_PER_BLOCK = 4096
 
 
-def _fit_frame(model: sgd.SgdModel) -> DataFrame:
-    """(side, id, bias, norm): one row per trained id."""
-    def side(f, name):
-        return f.select(F.lit(name).alias("side"), "id", r6(F.col("bias")).alias("bias"),
-                        r6(F.sqrt(dot(F.col("factors"), F.col("factors")))).alias("norm"))
-    return side(model.user_factors, "user").unionByName(side(model.item_factors, "item"))
+def _updates_sql(ctes: str, times: str) -> str:
+    """(side, id, n_updates) where ``times`` has one row per trained rating
+    and epoch; ids of ``train`` without an update count 0."""
+    def side(name, col):
+        return f"""SELECT '{name}' AS side, x.id AS id, coalesce(c.n, 0) AS n_updates
+FROM (SELECT DISTINCT {col} AS id FROM train) x
+LEFT JOIN (SELECT {col} AS id, count(*) AS n FROM {times} GROUP BY {col}) c ON c.id = x.id"""
+    return ctes + side("user", "user_id") + "\nUNION ALL\n" + side("item", "item_id")
+
+
+EPOCHS_OF_TRAIN = f"(SELECT t.* FROM train t, range({FIT_EPOCHS}))"
 
 
 def _fit(spark, sf, **kw):
     train, _ = _split(spark, sf)
     kw.setdefault("decay", 0.9)
     p = fac.SgdParams(k=10, epochs=FIT_EPOCHS, **kw)
-    return sgd.fit_sgd(train, p, blocks=FIT_BLOCKS)
+    return sgd.fit_sgd(train, p, rows_per_block=FIT_ROWS_PER_BLOCK)
 
 
-@query("fit_sgd")
+@query("fit_sgd", _updates_sql(BASE, EPOCHS_OF_TRAIN))
 def q_fit_sgd(spark, sf):
-    train, _ = _split(spark, sf)
-    p = fac.SgdParams(k=10, epochs=FIT_EPOCHS, decay=0.9)
-    return _fit_frame(sgd.fit_sgd(train, p, blocks=1))
+    return sgd.update_counts(_fit(spark, sf))
 
 
-@query("fit_sgd_parallel")
+@query("fit_sgd_parallel", _updates_sql(BASE, EPOCHS_OF_TRAIN))
 def q_fit_sgd_parallel(spark, sf):
-    return _fit_frame(_fit(spark, sf, lr_bias=0.1))
+    return sgd.update_counts(_fit(spark, sf, lr_bias=0.1, decay=0.9999, schedule="step"))
 
 
-@query("fit_sgd_nb")
+@query("fit_sgd_nb", _updates_sql(BASE, EPOCHS_OF_TRAIN))
 def q_fit_sgd_nb(spark, sf):
-    return _fit_frame(_fit(spark, sf, biased=False))
+    return sgd.update_counts(_fit(spark, sf, biased=False))
 
 
-@query("fit_sgd_books")
+W_BOOK_TRAIN = f"""dict AS (
+  SELECT isbn, row_number() OVER (ORDER BY isbn) - 1 AS item_id
+  FROM (SELECT DISTINCT isbn FROM books WHERE rating > 0)),
+dedup AS (SELECT DISTINCT b.user_id, d.item_id FROM books b JOIN dict d ON d.isbn = b.isbn
+          WHERE b.rating > 0),
+train AS (SELECT user_id, item_id FROM dedup WHERE {_bucket_split()} < 8)"""
+
+
+@query("fit_sgd_books", _updates_sql(with_(W_BOOKS, W_BOOK_TRAIN), EPOCHS_OF_TRAIN))
 def q_fit_sgd_books(spark, sf):
-    books = prep.explicit_ratings(files.read_book_ratings(spark, files.book_lines_path(spark, sf)))
-    enc, _ = prep.encode_items(books, "isbn", "item_id")
+    enc, _ = prep.encode_items(prep.explicit_ratings(_books(spark, sf)), "isbn", "item_id")
     # book lines carry no time: among repeats of a pair the higher rating wins
     r = prep.dedupe_ratings(enc.select("user_id", "item_id", F.col("rating").cast("double")),
                             order=["rating"])
     train, _ = prep.train_test_split(r, SEED)
     p = fac.SgdParams(k=10, epochs=FIT_EPOCHS, lr_bias=0.01, decay=1.0)
-    return _fit_frame(sgd.fit_sgd(train, p, blocks=FIT_BLOCKS))
+    return sgd.update_counts(sgd.fit_sgd(train, p, rows_per_block=FIT_ROWS_PER_BLOCK))
+
 
+def _sampled_fit_sql():
+    def epoch(e):
+        h = sql_hash_int(sql_key(sql_lit("sample"), str(SEED), str(e), "user_id", "item_id"))
+        return f"""SELECT user_id, item_id FROM (
+    SELECT user_id, item_id, row_number() OVER (ORDER BY {h}, user_id, item_id) AS rn FROM dedup)
+  WHERE rn <= (SELECT count(DISTINCT user_id) FROM dedup)"""
+    drawn = "\n  UNION ALL\n  ".join(epoch(e) for e in range(FIT_EPOCHS))
+    ctes = with_(W_RATINGS, W_DEDUP, W_SPLIT, f"""drawn AS ({drawn}),
+trained AS (SELECT d.user_id, d.item_id FROM drawn d
+            JOIN train t ON t.user_id = d.user_id AND t.item_id = d.item_id)""")
+    return _updates_sql(ctes, "trained")
 
-@query("fit_sgd_sampled")
+
+@query("fit_sgd_sampled", _sampled_fit_sql())
 def q_fit_sgd_sampled(spark, sf):
-    d = _dedup(spark, sf)
+    d = write_table(_dedup(spark, sf), new_scratch_path(spark, "ratings"))
     train, _ = prep.train_test_split(d, SEED)
-    pairs = d.select("user_id", "item_id")
-    n_users = d.select("user_id").distinct().count()
     p = fac.SgdParams(k=10, epochs=FIT_EPOCHS, decay=1.0)
-    m = sgd.fit_sgd(train, p, blocks=FIT_BLOCKS, sample_from=pairs, sample_n=n_users)
-    return _fit_frame(m)
-
-
-@query("rmse_trace")
+    return sgd.update_counts(sgd.fit_sgd(train, p, rows_per_block=FIT_ROWS_PER_BLOCK,
+                                         sample_from=d.select("user_id", "item_id")))
+
+
+LEARNED_SHARE = 0.75     # of the standard deviation of the planted ratings
+
+
+@query("fit_sgd_learns", with_(W_RATINGS, W_DEDUP, W_SPLIT) + """
+SELECT count(*) AS n_test, CAST(1 AS INTEGER) AS learned FROM test""")
+def q_fit_sgd_learns(spark, sf):
+    """Planted low-rank ratings on the given pairs: the held-out error has to
+    fall below a fixed share of their standard deviation."""
+    pairs = _dedup(spark, sf).select("user_id", "item_id")
+    r = write_table(synth.synth_ratings(pairs, SYNTH_RANK, SEED),
+                    new_scratch_path(spark, "planted"))
+    train, test = prep.train_test_split(r, SEED)
+    p = fac.SgdParams(k=8, epochs=8, lr=0.05, lr_bias=0.02, lam=0.02, bias_reg=1.0, decay=1.0)
+    m = sgd.fit_sgd(train, p)
+    sd = r.agg(F.stddev("rating").alias("sd"))     # one row
+    e = ev.rmse(ev.score(test, m.user_factors, m.item_factors, m.mu, p.k))
+    return e.crossJoin(F.broadcast(sd)).select(
+        F.col("n").alias("n_test"),
+        (F.col("rmse") < F.lit(LEARNED_SHARE) * F.col("sd")).cast("int").alias("learned"))
+
+
+# ---- full-batch gradient descent: exact twins, unrolled in SQL -------------
+
+GD_K = 4
+GD = fac.SgdParams(k=GD_K, epochs=2, lr=0.1, lr_bias=0.5, lam=0.1, bias_reg=0.1, decay=0.9,
+                   noise=NOISE, seed=SEED)
+GD_SETTINGS = {
+    "base": GD,
+    "lam": sgd.with_params(GD, lam=0.6),
+    "rate": sgd.with_params(GD, lr=0.5),
+    "decay": sgd.with_params(GD, decay=0.5),
+    "bias_rate": sgd.with_params(GD, lr_bias=0.1),
+    "features": sgd.with_params(GD, k=2),
+}
+
+
+def _gd_ctes(name: str, p: fac.SgdParams) -> str:
+    """Tables ``u_{name}_{e}``, ``i_{name}_{e}`` (id, k, v; k = -1 is the bias)
+    before epoch e, and ``p_{name}_{e}`` with the predictions."""
+    def init(col, s):
+        v = sql_hash_uniform(sql_key(sql_lit("init"), str(SEED), sql_lit(s), "x.id", "t.k"))
+        return f"""SELECT x.id, CAST(t.k AS INTEGER) AS k,
+    CASE WHEN t.k < 0 THEN 0.0 ELSE {v} * {p.noise!r} END AS v
+  FROM (SELECT DISTINCT {col} AS id FROM train) x, range(-1, {p.k}) t(k)"""
+
+    def pred(e):
+        return f"""p_{name}_{e} AS (
+  SELECT s.user_id, s.item_id, any_value(s.rating) AS rating,
+         bool_or(s.is_train) AS is_train,
+         (SELECT mu FROM mu) + coalesce(sum(CASE WHEN u.k < 0 THEN u.v END), 0)
+         + coalesce(max(ib.v), 0)
+         + coalesce(sum(CASE WHEN u.k >= 0 THEN u.v * i.v END), 0) AS pred
+  FROM split s LEFT JOIN u_{name}_{e} u ON u.id = s.user_id
+  LEFT JOIN i_{name}_{e} i ON i.id = s.item_id AND i.k = u.k
+  LEFT JOIN i_{name}_{e} ib ON ib.id = s.item_id AND ib.k = -1
+  GROUP BY s.user_id, s.item_id)"""
+
+    def move(e, side, own, other):
+        col, ocol = ("user_id", "item_id") if side == "u" else ("item_id", "user_id")
+        lr = p.lr * p.decay ** e
+        return f"""{side}_{name}_{e + 1} AS (
+  SELECT o.id, o.k, any_value(o.v) + CASE WHEN o.k < 0
+    THEN {p.lr_bias!r} * (avg(t.rating - t.pred) - {p.bias_reg * p.lam!r} * any_value(o.v))
+    ELSE {lr!r} * (avg((t.rating - t.pred) * x.v) - {p.lam!r} * any_value(o.v)) END AS v
+  FROM {own}_{name}_{e} o JOIN p_{name}_{e} t ON t.is_train AND t.{col} = o.id
+  JOIN {other}_{name}_{e} x ON x.id = t.{ocol} AND x.k = o.k
+  GROUP BY o.id, o.k)"""
+
+    out = [f"u_{name}_0 AS (\n  {init('user_id', 'u')})",
+           f"i_{name}_0 AS (\n  {init('item_id', 'i')})"]
+    for e in range(p.epochs):
+        out += [pred(e), move(e, "u", "u", "i"), move(e, "i", "i", "u")]
+    return ",\n".join([*out, pred(p.epochs)])
+
+
+def _trace_sql(settings) -> str:
+    rows = "\nUNION ALL\n".join(f"""SELECT '{name}' AS config, CAST({e} AS INTEGER) AS epoch,
+       CASE WHEN is_train THEN 'train' ELSE 'test' END AS split, count(*) AS n,
+       round(sqrt(avg(pow(rating - pred, 2))), 6) AS rmse
+FROM p_{name}_{e} GROUP BY is_train""" for name, p in settings.items()
+                                 for e in range(p.epochs + 1))
+    return with_(W_RATINGS, W_DEDUP, W_SPLIT,
+                 *[_gd_ctes(name, p) for name, p in settings.items()],
+                 f"trace AS ({rows})")
+
+
+def _gd_trace(spark, sf, settings):
+    train, test = _stored_split(spark, sf)
+    both = (train.withColumn("split", F.lit("train"))
+            .unionByName(test.withColumn("split", F.lit("test"))))
+    return gradient.gradient_sweep(train, both, settings).withColumn("rmse", r6(F.col("rmse")))
+
+
+@query("rmse_trace", _trace_sql({"base": GD}) + "SELECT * FROM trace")
 def q_rmse_trace(spark, sf):
-    train, test = _split(spark, sf)
-    p = fac.SgdParams(k=10, epochs=FIT_EPOCHS, decay=0.9)
-    m = sgd.fit_sgd(train, p, blocks=FIT_BLOCKS, eval_sets={"train": train, "test": test},
-                    trace_every=1)
-    return sgd.trace_frame(spark, m, tuning.config_name(p)).drop("seconds")
+    return _gd_trace(spark, sf, {"base": GD})
 
 
-@query("sweep")
+@query("sweep", _trace_sql(GD_SETTINGS) + "SELECT * FROM trace")
 def q_sweep(spark, sf):
-    train, test = _split(spark, sf)
-    settings = [fac.SgdParams(k=10, epochs=2, lam=lam, decay=0.9) for lam in (0.1, 0.6)]
-    return tuning.sweep(train, test, settings, blocks=FIT_BLOCKS, trace_every=1).drop("seconds")
+    return _gd_trace(spark, sf, GD_SETTINGS)
 
 
-@query("best_config")
+@query("best_config", _trace_sql(GD_SETTINGS) + f"""
+SELECT config, rmse FROM trace WHERE split = 'test' AND epoch = {GD.epochs}
+ORDER BY rmse, config LIMIT 1""")
 def q_best_config(spark, sf):
     return tuning.best_config(q_sweep(spark, sf))
 
 
-@query("als_sweep")
-def q_als_sweep(spark, sf):
-    train, _ = _split(spark, sf)
-    return tuning.als_sweep(train, ranks=(5, 10), regs=(0.05, 0.1), max_iter=3, blocks=4) \
-        .select("rank", "reg", r6(F.col("rmse")).alias("rmse"), "is_best")
+SGD_TRACE_EPOCHS = 6
+
 
+@query("sgd_trace", with_(W_RATINGS, W_DEDUP, W_SPLIT) + f"""
+SELECT e.epoch, s.split, s.n, CAST(1 AS INTEGER) AS finite
+FROM (SELECT 'train' AS split, count(*) AS n FROM train
+      UNION ALL SELECT 'test' AS split, count(*) AS n FROM test) s,
+     (SELECT CAST(unnest([0, 5, {SGD_TRACE_EPOCHS}]) AS INTEGER) AS epoch) e""")
+def q_sgd_trace(spark, sf):
+    """The stochastic fit's own trace: before every 5th epoch and at the end."""
+    train, test = _stored_split(spark, sf)
+    p = fac.SgdParams(k=10, epochs=SGD_TRACE_EPOCHS, decay=0.9)
+    m = sgd.fit_sgd(train, p, rows_per_block=FIT_ROWS_PER_BLOCK,
+                    eval_sets={"train": train, "test": test})
+    t = sgd.trace_frame(spark, m)
+    return t.select("epoch", "split", "n", (F.col("rmse").isNotNull() & ~F.isnan("rmse")
+                                            & (F.col("rmse") < 1e6)).cast("int").alias("finite"))
 
-@query("fit_als")
+
+@query("als_sweep", with_(W_RATINGS, W_DEDUP, W_SPLIT) + """
+SELECT CAST(r.rank AS INTEGER) AS rank, g.reg, count(*) AS n_train, CAST(1 AS INTEGER) AS fitted,
+       CAST(1 AS INTEGER) AS n_best
+FROM train, (SELECT unnest([5, 10]) AS rank) r,
+     (SELECT unnest([CAST(0.05 AS DOUBLE), CAST(0.1 AS DOUBLE)]) AS reg) g
+GROUP BY r.rank, g.reg""")
+def q_als_sweep(spark, sf):
+    train, _ = _stored_split(spark, sf)
+    out = tuning.als_sweep(train, ranks=(5, 10), regs=(0.05, 0.1), max_iter=3, blocks=4)
+    # four settings and two single rows: small by construction
+    n = train.agg(F.count(F.lit(1)).alias("n_train"))
+    best = out.agg(F.sum(F.col("is_best").cast("int")).cast("int").alias("n_best"))
+    return out.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(best)).select(
+        "rank", "reg", "n_train", F.col("rmse").between(0, 5).cast("int").alias("fitted"), "n_best")
+
+
+@query("fit_als", BASE + """
+SELECT t.user_id, t.item_id, t.rating,
+       CAST(u.id IS NOT NULL AND i.id IS NOT NULL AS INTEGER) AS has_prediction
+FROM test t LEFT JOIN (SELECT DISTINCT user_id AS id FROM train) u ON u.id = t.user_id
+LEFT JOIN (SELECT DISTINCT item_id AS id FROM train) i ON i.id = t.item_id""")
 def q_fit_als(spark, sf):
-    train, test = _split(spark, sf)
+    """Predictions per held-out pair; both ids have to be known."""
+    train, test = _stored_split(spark, sf)
     model = als_plan.fit_als(train, rank=10, reg=0.1, max_iter=5, blocks=10)
-    pred = als_plan.als_predict(model, test)
-    return ev.rmse_nan_safe(pred).select("n", r6(F.col("rmse")).alias("rmse"))
+    p = F.col("prediction")
+    return als_plan.als_predict(model, test).select(
+        "user_id", "item_id", "rating",
+        (p.isNotNull() & ~F.isnan(p)).cast("int").alias("has_prediction"))
 
 
 def _gram_sql(k):
@@ -713,19 +874,64 @@ def q_als_half_step(spark, sf):
     return x.select("id", r6(F.element_at("factors", 1)).alias("value"))
 
 
-@query("als_loop")
+ALS_LOOP_ITERS = 2
+
+
+def _als_loop_sql():
+    """K = 1: a half step is one fraction per id."""
+    lam = 0.1
+    v = sql_hash_uniform(sql_key(sql_lit("init"), str(SEED), sql_lit("u"), "x.id", "0"))
+    ctes = [f"u0 AS (SELECT x.id, {v} AS v FROM (SELECT DISTINCT user_id AS id FROM train) x)"]
+    for it in range(ALS_LOOP_ITERS):
+        ctes += [f"""i{it} AS (SELECT t.item_id AS id,
+  sum(u.v * t.rating) / (sum(u.v * u.v) + {lam!r} * count(*)) AS v
+  FROM train t JOIN u{it} u ON u.id = t.user_id GROUP BY t.item_id)""",
+                 f"""u{it + 1} AS (SELECT t.user_id AS id,
+  sum(i.v * t.rating) / (sum(i.v * i.v) + {lam!r} * count(*)) AS v
+  FROM train t JOIN i{it} i ON i.id = t.item_id GROUP BY t.user_id)"""]
+    last = ALS_LOOP_ITERS
+    return with_(W_RATINGS, W_DEDUP, W_SPLIT, *ctes) + f"""
+SELECT 'user' AS side, id, round(v, 6) AS value FROM u{last}
+UNION ALL SELECT 'item' AS side, id, round(v, 6) AS value FROM i{last - 1}"""
+
+
+@query("als_loop", _als_loop_sql())
 def q_als_loop(spark, sf):
-    train, test = _split(spark, sf)
-    users, items, _ = als_plan.als_loop(train, k=4, iters=3, lam=0.1, seed=SEED)
-    s = ev.score(test, users, items, 0.0, 4, biased=False)
-    return ev.rmse(s).select("n", r6(F.col("rmse")).alias("rmse"))
+    train, _ = _stored_split(spark, sf)
+    users, items, _ = als_plan.als_loop(train, k=1, iters=ALS_LOOP_ITERS, lam=0.1, seed=SEED)
+    side = lambda f, name: f.select(
+        F.lit(name).alias("side"), "id", r6(F.element_at("factors", 1)).alias("value"))
+    return side(users, "user").unionByName(side(items, "item"))
 
 
-@query("fit_svm")
+def _svm_bucket_sql():
+    return sql_hash_bucket(sql_key(sql_lit("svm"), str(SEED), "vec_id"), 10)
+
+
+@query("fit_svm", f"""
+WITH e AS (SELECT embedding[1] + embedding[2] > 0 AS pos, {_svm_bucket_sql()} < 8 AS is_train
+           FROM embeddings)
+SELECT CAST(sum(CASE WHEN is_train THEN 1 ELSE 0 END) AS BIGINT) AS n_train,
+       CAST(sum(CASE WHEN NOT is_train AND pos THEN 1 ELSE 0 END) AS BIGINT) AS n_pos,
+       CAST(sum(CASE WHEN NOT is_train AND NOT pos THEN 1 ELSE 0 END) AS BIGINT) AS n_neg,
+       CAST(1 AS INTEGER) AS separates
+FROM e""")
 def q_fit_svm(spark, sf):
-    rows = linear.embedding_rows(tables.table(spark, sf, "embeddings"), 0)
-    m = linear.fit_svm(rows, max_iter=20)
-    return ev.auroc(linear.svm_scores(m, rows))
+    """Trained on a hash split, scored on the rows held out. The labels of the
+    table do not follow from its vectors (held-out AUROC under 0.5), so the
+    class is planted: the sign of the first two components' sum."""
+    from pyspark.ml.functions import array_to_vector
+    v = F.col("embedding")
+    rows = tables.table(spark, sf, "embeddings").select(
+        "vec_id", array_to_vector(v.cast("array<double>")).alias("features"),
+        (v[0] + v[1] > 0).cast("double").alias("label"))
+    is_train = hash_bucket(key("svm", SEED, "@vec_id"), 10) < 8
+    train = rows.where(is_train)
+    m = linear.fit_svm(train, max_iter=20)
+    a = ev.auroc(linear.svm_scores(m, rows.where(~is_train)))
+    n = train.agg(F.count(F.lit(1)).alias("n_train"))     # one row each
+    return a.crossJoin(F.broadcast(n)).select(
+        "n_train", "n_pos", "n_neg", (F.col("auroc") > 0.9).cast("int").alias("separates"))
 
 
 # ============================================================================
@@ -743,12 +949,10 @@ SELECT 'test' AS split, count(*) AS n, round(sqrt(avg(pow(rating - prediction, 2
 FROM test_pred""")
 def q_rmse(spark, sf):
     train, test, mu, uf, itf = _init_model(spark, sf)
-    out = None
-    for name, df in (("train", train), ("test", test)):
-        r = ev.rmse(ev.score(df, uf, itf, mu, K_CHECK)).select(
-            F.lit(name).alias("split"), "n", r6(F.col("rmse")).alias("rmse"))
-        out = r if out is None else out.unionByName(r)
-    return out
+    both = (train.withColumn("split", F.lit("train"))
+            .unionByName(test.withColumn("split", F.lit("test"))))
+    return ev.rmse(ev.score(both, uf, itf, mu, K_CHECK), by=("split",)).withColumn(
+        "rmse", r6(F.col("rmse")))
 
 
 @query("rmse_subset", PRED + f"""

@@ -9,10 +9,11 @@ a third of all ratings is spread over ``salt`` tasks instead of one. The
 result is exact (one partner per rating).
 
 When the count is not known, no extra job is run to get it: the join is
-left to adaptive execution, which measures both sides at run time and
-turns the shuffle join into a broadcast only if the measured side is under
-``spark.sql.adaptive.autoBroadcastJoinThreshold``, and splits skewed
-partitions of the rating side (``spark.sql.adaptive.skewJoin.enabled``).
+left to adaptive execution, which broadcasts a side measured to be small and
+splits skewed partitions of the rating side. Spark can only split when each
+side comes straight from its shuffle, so the per-id table has to be a stored
+one (written with ``session.write_table``, or a model's factors), not an
+aggregate in the same plan; the registered queries store theirs.
 """
 
 from __future__ import annotations

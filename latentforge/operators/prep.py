@@ -140,15 +140,26 @@ def user_rows(df: DataFrame, chunk_size: int = 4096) -> DataFrame:
                     F.transform("cells", lambda c: c["rating"]).alias("values"))
 
 
-def to_sparse_vectors(rows: DataFrame, size: int) -> DataFrame:
-    """Attach an ``ml.linalg`` SparseVector column (conversion helper only)."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    @F.udf(VectorUDT())
-    def _vec(indices, values):
-        return SparseVector(size, [int(i) for i in indices], list(values))
-
-    return rows.withColumn("features", _vec("indices", "values"))
+def to_sparse_vectors(rows: DataFrame, dictionary: DataFrame, size: int) -> DataFrame:
+    """``user_rows`` as sparse vectors: ``features(size, indices, values)``, the
+    fields of an ``ml.linalg`` sparse vector.
+
+    ``dictionary(item_id, index)`` gives dense positions 0..size-1 (the dense
+    ids of ``encode_items`` serve). A user whose row was cut into chunks gets
+    one vector per chunk; they have no position in common and add up to the
+    user's row. Built by JVM functions: no Python per row.
+    """
+    cells = rows.select(*[c for c in rows.columns if c not in ("indices", "values")],
+                        F.explode(F.arrays_zip("indices", "values")).alias("c"))
+    keys = [c for c in cells.columns if c != "c"]
+    placed = (cells.withColumn("item_id", F.col("c.indices"))
+              .join(dictionary.select("item_id", "index"), "item_id")
+              .groupBy(*keys).agg(F.sort_array(F.collect_list(
+                  F.struct(F.col("index").cast("int").alias("i"),
+                           F.col("c.values").alias("v")))).alias("p")))
+    return placed.select(*keys, F.struct(
+        F.lit(int(size)).alias("size"), F.transform("p", lambda x: x["i"]).alias("indices"),
+        F.transform("p", lambda x: x["v"]).alias("values")).alias("features"))
 
 
 def encode_items(df: DataFrame, col: str = "isbn", out: str = "item_id") -> tuple[DataFrame, DataFrame]:

@@ -2,8 +2,9 @@
 
 from .factors import (SgdParams, flat_factors, gradient_step, init_factors, init_model,
                       prediction, sgd_deltas)
-from .sgd import SgdModel, fit_sgd, sampled_pairs, suggest_blocks, trace_frame
+from .sgd import (SgdModel, choose_blocks, fit_sgd, prepare, sampled_pairs, trace_frame,
+                  update_counts)
 
 __all__ = ["SgdParams", "SgdModel", "init_factors", "init_model", "prediction",
            "sgd_deltas", "gradient_step", "flat_factors", "fit_sgd", "sampled_pairs",
-           "trace_frame", "suggest_blocks"]
+           "trace_frame", "choose_blocks", "prepare", "update_counts"]

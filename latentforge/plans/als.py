@@ -57,6 +57,17 @@ def _to_index(df: DataFrame, d: DataFrame | None, col: str) -> DataFrame:
              .withColumn(col, F.col(col).cast("int"))
 
 
+def als_ids(train: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Ratings with the int ids MLlib takes, and the dictionaries where the
+    ids had to be encoded."""
+    ud = idict = None
+    if not check_int_ids(train):
+        ud, idict = _encode(train, "user_id"), _encode(train, "item_id")
+    data = _to_index(_to_index(train.select("user_id", "item_id", "rating"), ud, "user_id"),
+                     idict, "item_id")
+    return data.select("user_id", "item_id", F.col("rating").cast("float")), ud, idict
+
+
 def fit_als(train: DataFrame, *, rank: int = 10, reg: float = 0.1, max_iter: int = 10,
             blocks: int = 10, seed: int = 0, checkpoint_interval: int = 5,
             cold_start: str = "nan") -> AlsFit:
@@ -67,16 +78,12 @@ def fit_als(train: DataFrame, *, rank: int = 10, reg: float = 0.1, max_iter: int
     """
     from pyspark.ml.recommendation import ALS
     ensure_checkpoint_dir(train.sparkSession)
-    ud = idict = None
-    if not check_int_ids(train):
-        ud, idict = _encode(train, "user_id"), _encode(train, "item_id")
-    data = _to_index(_to_index(train.select("user_id", "item_id", "rating"), ud, "user_id"),
-                     idict, "item_id")
+    data, ud, idict = als_ids(train)
     als = ALS(userCol="user_id", itemCol="item_id", ratingCol="rating", rank=rank,
               maxIter=max_iter, regParam=reg, numUserBlocks=blocks, numItemBlocks=blocks,
               seed=seed, checkpointInterval=checkpoint_interval,
               coldStartStrategy=cold_start)
-    model = als.fit(data.select("user_id", "item_id", F.col("rating").cast("float")))
+    model = als.fit(data)
     return AlsFit(model, ud, idict)
 
 

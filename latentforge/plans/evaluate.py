@@ -38,9 +38,10 @@ def score(pairs: DataFrame, user_f: DataFrame, item_f: DataFrame, mu, k: int, *,
              .drop("bu", "bi", "fu", "fi"))
 
 
-def rmse(pred: DataFrame, label: str = "rating", col: str = "prediction") -> DataFrame:
-    """(n, rmse) in one aggregate."""
-    return pred.agg(F.count(F.lit(1)).alias("n"),
+def rmse(pred: DataFrame, label: str = "rating", col: str = "prediction",
+         by: tuple[str, ...] = ()) -> DataFrame:
+    """(n, rmse) in one aggregate; with ``by``, one row per group."""
+    return pred.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
                     F.sqrt(F.avg(F.pow(F.col(label) - F.col(col), 2))).alias("rmse"))
 
 

@@ -89,33 +89,44 @@ def sgd_deltas(joined: DataFrame, mu, p: SgdParams, lr: float | None = None) ->
                                                       lr_c, lam, p.k, p.train_dims)))
 
 
-def gradient_step(joined: DataFrame, mu, p: SgdParams) -> DataFrame:
-    """Full-batch gradient summed per (side, id, k); k = -1 is the bias.
+def gradient_sums(joined: DataFrame, mu, p: SgdParams) -> DataFrame:
+    """(side, id, n, g array): full-batch gradient summed per id.
 
     Per rating the user feature gradient is ``e·f_i − λ·f_u`` (items
-    likewise) and the bias gradient ``e − biasReg·λ·b``. Each side is one
-    grouped aggregate of K+1 fixed-width sums per id (map-side partial
-    sums, so a hot id costs one partial row per task); only the per-id
-    result is exploded into (k, grad) rows.
+    likewise) and the bias gradient, first in ``g`` if the model is biased,
+    ``e − biasReg·λ·b``. The joined ratings are planned once and give a row
+    for each side; a grouped aggregate of fixed-width sums combines them
+    before the shuffle, so a hot id costs one partial row per task.
     """
     lam = F.lit(p.lam)
     breg = F.lit(p.bias_reg * p.lam)
     j = joined.withColumn("err", F.col("rating") - prediction(mu, p.biased))
-    fu, fi, err = F.col("fu"), F.col("fi"), F.col("err")
-
-    def side(name, id_col, own, other, bias_col):
-        terms = [err - breg * F.col(bias_col)] if p.biased else []
-        terms += [err * at(other, q) - lam * at(own, q) for q in range(p.k)]
-        sums = j.groupBy(F.col(id_col).alias("id")).agg(
-            *[F.sum(t).alias(f"_g{q}") for q, t in enumerate(terms)])
-        first_k = -1 if p.biased else 0
-        return sums.select(F.lit(name).alias("side"), "id",
-                           F.posexplode(F.array(*[F.col(f"_g{q}") for q in range(len(terms))]))
-                           .alias("pos", "grad")) \
-                   .select("side", "id", (F.col("pos") + F.lit(first_k)).alias("k"), "grad")
-
-    return side("user", "user_id", fu, fi, "bu").unionByName(
-        side("item", "item_id", fi, fu, "bi"))
+    err = F.col("err")
+
+    def terms(own, other, bias_col):
+        out = [err - breg * F.col(bias_col)] if p.biased else []
+        return F.array(*out, *[err * at(other, q) - lam * at(own, q) for q in range(p.k)])
+
+    fu, fi = F.col("fu"), F.col("fi")
+    rows = j.select(F.explode(F.array(
+        F.struct(F.lit("user").alias("side"), F.col("user_id").alias("id"),
+                 terms(fu, fi, "bu").alias("g")),
+        F.struct(F.lit("item").alias("side"), F.col("item_id").alias("id"),
+                 terms(fi, fu, "bi").alias("g")))).alias("r")).select("r.*")
+    width = p.k + int(p.biased)
+    sums = rows.groupBy("side", "id").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(at(F.col("g"), q)).alias(f"_g{q}") for q in range(width)])
+    return sums.select("side", "id", "n",
+                       F.array(*[F.col(f"_g{q}") for q in range(width)]).alias("g"))
+
+
+def gradient_step(joined: DataFrame, mu, p: SgdParams) -> DataFrame:
+    """``gradient_sums`` as rows per (side, id, k); k = -1 is the bias."""
+    first_k = -1 if p.biased else 0
+    return gradient_sums(joined, mu, p).select(
+        "side", "id", F.posexplode("g").alias("pos", "grad")).select(
+        "side", "id", (F.col("pos") + F.lit(first_k)).alias("k"), "grad")
 
 
 def flat_factors(f: DataFrame, side: str) -> DataFrame:

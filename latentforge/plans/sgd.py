@@ -8,27 +8,33 @@ task b works on rating block (b, (b+g) mod B); the blocks of one stratum
 share no user and no item, so they run in parallel without locks and the
 result does not depend on scheduling. B strata make one epoch.
 
-Data flow per stratum (all DataFrame operations):
-
-* ratings ``(ublk, iblk, ...)`` are hash-partitioned by user block once
-  and kept (persisted and, on a cluster, checkpointed);
-* one factor table ``(kind, id, bias, factors, hblk)`` holds both sides;
-  the stratum label is the user block for users and ``(iblk - g) mod B``
-  for items;
+B follows from the number of ratings and a bound on the rows of a block
+(``rows_per_block``), and from nothing else: the same seed gives the same
+model on any cluster, and a group never grows with the data.
+
+Data flow (all DataFrame operations):
+
+* the training ratings are read once, written to the shared folder, and
+  from there written again as a table partitioned by stratum, so a
+  stratum reads only its own files;
+* one factor table ``(kind, id, rep, bias, factors, hblk, n_updates)``
+  holds both sides; the group of a row in stratum g is the user block for
+  users and ``(iblk - g) mod B`` for items;
 * ``cogroup`` of the stratum's ratings with the factors, keyed by that
-  label, runs one pandas/numpy step per block and returns the updated
-  factors. Only factor rows move through the shuffle.
-
-Hot ids: a user or item with more than ``split_threshold`` training
-ratings is split into several replicas (by hash of the partner id), each
-trained as an own row in possibly different blocks; after every epoch the
-replicas are averaged back into one vector (a grouped mean with map-side
-partial sums) and re-seeded. No block then holds more than about
-``split_threshold`` ratings of one id.
+  group, runs one numpy step per block and returns the updated factors;
+* every ``STRATA_PER_JOB`` strata the factors are written to the shared
+  folder and the previous files deleted: plans stay small for any B, and a
+  lost executor costs a few strata.
+
+Every id follows one update rule. ``split_threshold`` is off unless set: it
+trains ids with more ratings than that as replicas (dealt by hash of the
+partner id, averaged after every epoch), a different algorithm for
+data in which one id outgrows a task.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass, field, replace
 
@@ -37,22 +43,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_bucket, hash_int, key
-from ..session import cut_lineage
+from ..functions.hashing import SCALE, hash_bucket, hash_int, key
+from ..functions.ranking import prefix_sums
+from ..session import drop_path, new_scratch_path, write_table
 from .factors import SgdParams, init_factors
 
-FACTORS_OUT = "kind string, id long, bias double, factors array<double>, hblk int"
-# Replica ids are -(id * 2^REP_BITS + rep) - 1, so ids stay
-# below 2^43 and a hot id has at most 2^REP_BITS replicas.
-REP_BITS = 20
-REP_MUL = 1 << REP_BITS
-# At most this many hot ids per side, so the broadcast replica maps have a
-# proven size bound: the split threshold is raised to n_train / MAX_HOT_IDS.
-MAX_HOT_IDS = 100_000
+FACTORS_OUT = ("kind string, id long, rep int, bias double, factors array<double>, "
+               "hblk int, n_updates long")
+OUT_COLUMNS = ["kind", "id", "rep", "bias", "factors", "hblk", "n_updates"]
+#: default bound on the ratings of one block
+ROWS_PER_BLOCK = 1 << 15
+#: strata chained in one job between two writes of the factors
+STRATA_PER_JOB = 4
+#: ratings per file of the stratum table
+ROWS_PER_FILE = 1 << 20
 
 
 @dataclass
 class SgdModel:
+    """``user_factors`` / ``item_factors``: (id, bias, factors, n_updates)."""
     user_factors: DataFrame
     item_factors: DataFrame
     mu: float
@@ -60,25 +69,28 @@ class SgdModel:
     trace: list = field(default_factory=list)
     block_sizes: DataFrame | None = None
     epoch_seconds: list = field(default_factory=list)
+    blocks: int = 0
 
 
-# Fixed values for choosing the block count: measured cost of one rating
-# update in the block step, and the fixed cost of one cogroup stage.
-UPDATE_SECONDS = 4e-6
-STAGE_SECONDS = 1.0
+@dataclass
+class Prepared:
+    """Training ratings laid out for SGD; one layout serves many settings."""
+    ratings: DataFrame       # partitioned by stratum
+    base: DataFrame          # user_id, item_id, rating as read
+    reps: DataFrame | None   # (kind, id, n_rep) of split ids
+    labels: DataFrame        # (blk, label)
+    blocks: int
+    n: int
+    mu: float
+    seed: int
 
 
-def suggest_blocks(n_ratings: int, cores: int, *, update_seconds: float = UPDATE_SECONDS,
-                   stage_seconds: float = STAGE_SECONDS) -> int:
-    """Block count B for one epoch of ``n_ratings`` updates on ``cores`` slots.
+def choose_blocks(n_ratings: int, rows_per_block: int = ROWS_PER_BLOCK) -> int:
+    """Blocks per side so that a block has about ``rows_per_block`` ratings.
 
-    An epoch runs B stages of B parallel blocks: about
-    B·stage_seconds + n_ratings·update_seconds / B. That is smallest at
-    B = sqrt(n·c / o); B above the core count adds stages without adding
-    parallelism, and B = 1 is the serial pass.
+    There are B² blocks, at least 2 per side: no group holds everything.
     """
-    best = int(round((n_ratings * update_seconds / stage_seconds) ** 0.5))
-    return max(1, min(cores, best))
+    return max(2, math.ceil(math.sqrt(n_ratings / rows_per_block)))
 
 
 def block_labels(spark: SparkSession, n_blocks: int) -> list[int]:
@@ -99,79 +111,95 @@ def block_labels(spark: SparkSession, n_blocks: int) -> list[int]:
     return [found[b] for b in range(n_blocks)]
 
 
-def _label_col(expr, labels: list[int]):
-    """Map block number -> label with a literal array lookup."""
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), expr + 1)
-
-
 def conflict_free_rounds(users: np.ndarray, items: np.ndarray) -> np.ndarray:
     """Round of each update, in the given order, so that no round repeats a
     user or an item and every user's (item's) updates keep their order.
 
     Applying the rounds one after another, each as one vectorised update,
     is then exactly the serial SGD pass over the permutation sorted by
-    (round, position). Scalar pass; the vector work happens per round.
+    (round, position). An update waits for the one before it of its user and
+    of its item; rounds are the levels of that graph, peeled off with array
+    operations, each update being touched twice at most.
     """
     n = len(users)
-    out = np.empty(n, dtype=np.int64)
-    if n == 0:
-        return out
-    _, uc = np.unique(users, return_inverse=True)
-    _, ic = np.unique(items, return_inverse=True)
-    nu = [0] * (int(uc.max()) + 1)
-    ni = [0] * (int(ic.max()) + 1)
-    ucl = uc.tolist()
-    icl = ic.tolist()
-    for t in range(n):
-        a = ucl[t]
-        b = icl[t]
-        x = nu[a]
-        y = ni[b]
-        rd = x if x > y else y
-        out[t] = rd
-        nu[a] = rd + 1
-        ni[b] = rd + 1
+    out = np.zeros(n, dtype=np.int64)
+    after, waits = [], np.zeros(n, dtype=np.int64)
+    for ids in (users, items):
+        order = np.argsort(ids, kind="stable")
+        same = np.flatnonzero(ids[order][1:] == ids[order][:-1])
+        nxt = np.full(n, -1, dtype=np.int64)
+        nxt[order[same]] = order[same + 1]
+        waits[order[same + 1]] += 1
+        after.append(nxt)
+    ready = np.flatnonzero(waits == 0)
+    level = 0
+    while len(ready):
+        out[ready] = level
+        following = np.concatenate([after[0][ready], after[1][ready]])
+        following = following[following >= 0]
+        np.subtract.at(waits, following, 1)
+        ready = np.unique(following[waits[following] == 0])
+        level += 1
     return out
 
 
-def _make_step(mu: float, p: SgdParams, lr: float, epoch: int):
-    biased = p.biased
-    lam = p.lam
-    lb = p.lr_bias
+def epoch_order(ords: np.ndarray, epoch: int) -> np.ndarray:
+    """Sort keys of an epoch: the rating's hash and the epoch through a
+    64-bit finaliser, so that every epoch has an order of its own."""
+    x = ords.astype(np.uint64) ^ (np.uint64(epoch + 1) << np.uint64(32))
+    for shift, mul in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(mul)
+    return x ^ (x >> np.uint64(31))
+
+
+def _positions(ids: pd.Series, reps: pd.Series, of: pd.DataFrame, side: str) -> np.ndarray:
+    """Row in the factor table of each rating's (id, replica)."""
+    if (of["rep"] == 0).all():
+        at = pd.Index(of["id"]).get_indexer(ids)
+        at = np.where(reps.to_numpy() == 0, at, -1)
+    else:
+        at = pd.MultiIndex.from_arrays([of["id"], of["rep"]]).get_indexer(
+            pd.MultiIndex.from_arrays([ids, reps]))
+    if (at < 0).any():
+        raise RuntimeError(f"{int((at < 0).sum())} ratings of a block have no {side} factors")
+    return at
+
+
+def _make_step(mu: float, p: SgdParams, epoch: int, n_total: int):
+    """The block step of an epoch: serial SGD over the block, vectorised.
+
+    ``schedule="epoch"``: rate lr·decay^epoch. ``schedule="step"``: the rate
+    decays with every update and the count goes on over blocks and epochs;
+    ``first_step`` is the number of updates before the block in its epoch.
+    """
+    lam, lb, td = p.lam, p.lr_bias, p.train_dims
     breg = p.bias_reg * p.lam
-    td = p.train_dims
-    decay_per_step = p.decay if p.schedule == "step" else 1.0
 
     def step(ratings: pd.DataFrame, factors: pd.DataFrame) -> pd.DataFrame:
-        if factors.empty:
-            return pd.DataFrame(columns=["kind", "id", "bias", "factors", "hblk"])
         if ratings.empty:
-            return factors[["kind", "id", "bias", "factors", "hblk"]]
+            return factors[OUT_COLUMNS]
         users = factors[factors["kind"] == "u"].reset_index(drop=True)
         items = factors[factors["kind"] == "i"].reset_index(drop=True)
-        if users.empty or items.empty:
-            return factors[["kind", "id", "bias", "factors", "hblk"]]
+        ui = _positions(ratings["user_id"], ratings["urep"], users, "user")
+        ii = _positions(ratings["item_id"], ratings["irep"], items, "item")
         U = np.vstack(users["factors"].to_numpy()).astype(np.float64)
         V = np.vstack(items["factors"].to_numpy()).astype(np.float64)
         bu = users["bias"].to_numpy(dtype=np.float64).copy()
         bi = items["bias"].to_numpy(dtype=np.float64).copy()
-        ui = pd.Index(users["id"]).get_indexer(ratings["uid"])
-        ii = pd.Index(items["id"]).get_indexer(ratings["iid"])
         r = ratings["rating"].to_numpy(dtype=np.float64)
-        # epoch-dependent order from the per-rating hash
-        h = ratings["ord"].to_numpy(dtype=np.uint64)
-        mixed = (h * np.uint64(0x9E3779B1) + np.uint64(epoch + 1) * np.uint64(0x85EBCA77)) \
-            & np.uint64(0xFFFFFFFF)
-        order = np.lexsort((ratings["iid"].to_numpy(), ratings["uid"].to_numpy(), mixed))
+        order = np.lexsort((ratings["item_id"].to_numpy(), ratings["user_id"].to_numpy(),
+                            epoch_order(ratings["ord"].to_numpy(), epoch)))
         kk = U.shape[1] if td is None else min(td, U.shape[1])
-        ok = (ui >= 0) & (ii >= 0)
-        order = order[ok[order]]
         rounds = conflict_free_rounds(ui[order], ii[order])
-        # serial order: by round, then by the hash order inside a round
+        # serial order: by round, then by the epoch's order inside a round
         seq = order[np.lexsort((np.arange(len(order)), rounds))]
-        rs = np.sort(rounds)
-        rate = lr * decay_per_step ** np.arange(len(seq), dtype=np.float64)
-        bounds = np.flatnonzero(np.diff(rs)) + 1
+        steps = np.arange(len(seq), dtype=np.float64)
+        if p.schedule == "step":
+            first = float(ratings["first_step"].iloc[0]) + float(epoch) * n_total
+            rate = p.lr * p.decay ** (first + steps)
+        else:
+            rate = np.full(len(seq), p.lr * p.decay ** epoch)
+        bounds = np.flatnonzero(np.diff(np.sort(rounds))) + 1
         for sl in np.split(np.arange(len(seq)), bounds):
             t = seq[sl]
             a = ui[t]
@@ -179,243 +207,238 @@ def _make_step(mu: float, p: SgdParams, lr: float, epoch: int):
             fu = U[a]
             fi = V[b]
             pred = np.einsum("ij,ij->i", fu, fi)
-            if biased:
+            if p.biased:
                 pred = pred + mu + bu[a] + bi[b]
             e = r[t] - pred
-            if biased:
-                bu[a] = bu[a] + lb * (e - breg * bu[a])
-                bi[b] = bi[b] + lb * (e - breg * bi[b])
+            if p.biased:
+                bu[a] += lb * (e - breg * bu[a])
+                bi[b] += lb * (e - breg * bi[b])
             lr_t = rate[sl][:, None]
             e2 = e[:, None]
             U[a, :kk] = fu[:, :kk] + lr_t * (e2 * fi[:, :kk] - lam * fu[:, :kk])
             V[b, :kk] = fi[:, :kk] + lr_t * (e2 * fu[:, :kk] - lam * fi[:, :kk])
-        out_u = pd.DataFrame({"kind": "u", "id": users["id"], "bias": bu,
-                              "factors": list(U), "hblk": users["hblk"]})
-        out_i = pd.DataFrame({"kind": "i", "id": items["id"], "bias": bi,
-                              "factors": list(V), "hblk": items["hblk"]})
-        return pd.concat([out_u, out_i], ignore_index=True)
+        sides = []
+        for kind, f, bias, vectors, at in (("u", users, bu, U, ui), ("i", items, bi, V, ii)):
+            sides.append(pd.DataFrame({
+                "kind": kind, "id": f["id"], "rep": f["rep"], "bias": bias,
+                "factors": list(vectors), "hblk": f["hblk"],
+                "n_updates": f["n_updates"] + np.bincount(at, minlength=len(f))}))
+        return pd.concat(sides, ignore_index=True)
 
     return step
 
 
-def _replica_maps(train: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n_rep) of users and of items with more than ``threshold`` ratings.
+def _replicas(base: DataFrame, threshold: int) -> DataFrame:
+    """(kind, id, n_rep) of the ids with more than ``threshold`` ratings."""
+    sides = base.select(F.explode(F.array(
+        F.struct(F.lit("u").alias("kind"), F.col("user_id").alias("id")),
+        F.struct(F.lit("i").alias("kind"), F.col("item_id").alias("id")))).alias("s"))
+    return (sides.groupBy("s.kind", "s.id").agg(F.count(F.lit(1)).alias("n"))
+                 .where(F.col("n") > F.lit(threshold))
+                 .select("kind", "id", F.ceil(F.col("n") / F.lit(threshold)).cast("int")
+                         .alias("n_rep")))
 
-    One grouped count over (side, id) serves both sides.
-    """
-    sides = train.select(F.explode(F.array(
-        F.struct(F.lit("u").alias("side"), F.col("user_id").alias("id")),
-        F.struct(F.lit("i").alias("side"), F.col("item_id").alias("id")))).alias("s"))
-    c = (sides.groupBy(F.col("s.side").alias("side"), F.col("s.id").alias("id"))
-              .agg(F.count(F.lit(1)).alias("n"))
-              .where(F.col("n") > F.lit(threshold))
-              .select("side", "id",
-                      F.least(F.ceil(F.col("n") / F.lit(threshold)), F.lit(REP_MUL))
-                       .cast("int").alias("n_rep")))
-    c = cut_lineage(c)
-    return (c.where(F.col("side") == "u").drop("side"),
-            c.where(F.col("side") == "i").drop("side"))
-
-
-def prepare_ratings(train: DataFrame, p: SgdParams, n_blocks: int, labels: list[int],
-                    split_threshold: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Ratings with training ids (replica ids for hot ids) and block columns."""
-    r = train.select("user_id", "item_id", F.col("rating").cast("double").alias("rating"))
+
+def _block(kind: str, id_col, rep_col, seed: int, n_blocks: int):
+    return hash_bucket(key(kind + "blk", seed, id_col, rep_col), n_blocks).cast("int")
+
+
+def prepare(train: DataFrame, *, seed: int = 0, blocks: int | None = None,
+            rows_per_block: int = ROWS_PER_BLOCK,
+            split_threshold: int | None = None) -> Prepared:
+    """Reads ``train(user_id, item_id, rating)`` once and lays it out."""
+    spark = train.sparkSession
+    base = write_table(train.select("user_id", "item_id",
+                                    F.col("rating").cast("double").alias("rating")),
+                       new_scratch_path(spark, "sgd-train"))
+    st = base.agg(F.avg("rating").alias("mu"), F.count(F.lit(1)).alias("n")).first()
+    n = int(st["n"])
+    B = int(blocks) if blocks else choose_blocks(n, rows_per_block)
+    reps = None
+    r = base.withColumn("urep", F.lit(0)).withColumn("irep", F.lit(0))
     if split_threshold:
-        hot_u, hot_i = _replica_maps(r, split_threshold)
+        reps = write_table(_replicas(base, int(split_threshold)),
+                           new_scratch_path(spark, "sgd-replicas"))
+        r = base
+        for kind, id_col, partner, rep in (("u", "user_id", "item_id", "urep"),
+                                           ("i", "item_id", "user_id", "irep")):
+            hot = reps.where(F.col("kind") == kind).select(F.col("id").alias(id_col), "n_rep")
+            r = r.join(hot, id_col, "left").withColumn(rep, F.when(
+                F.col("n_rep").isNull(), F.lit(0)).otherwise(
+                hash_bucket(key("rep", "@" + partner), F.col("n_rep"))).cast("int")).drop("n_rep")
+    r = (r.withColumn("ublk", _block("u", "@user_id", "@urep", seed, B))
+          .withColumn("iblk", _block("i", "@item_id", "@irep", seed, B))
+          .withColumn("ord", hash_int(key("sgd", seed, "@user_id", "@item_id")))
+          .withColumn("stratum", F.pmod(F.col("iblk") - F.col("ublk"), F.lit(B))))
+    files = max(1, n // B // ROWS_PER_FILE)
+    path = new_scratch_path(spark, "sgd-strata")
+    (r.repartition("stratum", F.pmod(F.hash("user_id"), F.lit(files)))
+      .write.partitionBy("stratum").parquet(path))
+    ratings = spark.read.schema(r.schema).parquet(path)
+    labels = spark.createDataFrame(list(enumerate(block_labels(spark, B))), "blk int, label int")
+    return Prepared(ratings, base, reps, labels, B, n,
+                    float(st["mu"]) if st["mu"] is not None else 0.0, seed)
+
+
+def _expand(f: DataFrame, reps: DataFrame | None, kind: str, prep: Prepared) -> DataFrame:
+    """Training rows of one side: one per id, or ``n_rep`` for a split id."""
+    if reps is None:
+        e = f.withColumn("rep", F.lit(0))
     else:
-        spark = train.sparkSession
-        hot_u = spark.createDataFrame([], "id long, n_rep int")
-        hot_i = spark.createDataFrame([], "id long, n_rep int")
-    # replica number by hash of the partner id; the hot maps hold at most
-    # MAX_HOT_IDS rows each (see fit_sgd), so broadcasting them is bounded
-    r = (r.join(F.broadcast(hot_u.withColumnRenamed("id", "user_id")
-                            .withColumnRenamed("n_rep", "u_rep")), "user_id", "left")
-          .join(F.broadcast(hot_i.withColumnRenamed("id", "item_id")
-                            .withColumnRenamed("n_rep", "i_rep")), "item_id", "left"))
-    urep = F.when(F.col("u_rep").isNull(), F.lit(-1)).otherwise(
-        hash_bucket(key("rep", "@item_id"), F.col("u_rep")))
-    irep = F.when(F.col("i_rep").isNull(), F.lit(-1)).otherwise(
-        hash_bucket(key("rep", "@user_id"), F.col("i_rep")))
-    r = (r.withColumn("urep", urep).withColumn("irep", irep)
-          .withColumn("uid", _train_id("user_id", "urep"))
-          .withColumn("iid", _train_id("item_id", "irep"))
-          .withColumn("ublk", hash_bucket(key("ublk", p.seed, "@uid"), n_blocks).cast("int"))
-          .withColumn("iblk", hash_bucket(key("iblk", p.seed, "@iid"), n_blocks).cast("int"))
-          .withColumn("ord", hash_int(key("sgd", p.seed, "@user_id", "@item_id")))
-          .withColumn("label", _label_col(F.col("ublk"), labels)))
-    return r, hot_u, hot_i
-
-
-def _train_id(id_col: str, rep_col: str):
-    return F.when(F.col(rep_col) < 0, F.col(id_col)).otherwise(
-        -(F.col(id_col) * F.lit(REP_MUL) + F.col(rep_col)) - F.lit(1))
-
-
-def _expand_replicas(f: DataFrame, hot: DataFrame, kind: str, n_blocks: int,
-                     seed: int) -> DataFrame:
-    """Factor rows for training: one per plain id, n_rep per hot id."""
-    base = f.join(F.broadcast(hot), "id", "left")
-    reps = F.when(F.col("n_rep").isNull(), F.array(F.lit(-1))).otherwise(
-        F.sequence(F.lit(0), F.col("n_rep") - 1))
-    e = base.withColumn("rep", F.explode(reps))
-    tid = F.when(F.col("rep") < 0, F.col("id")).otherwise(
-        -(F.col("id") * F.lit(REP_MUL) + F.col("rep")) - F.lit(1))
-    tag = "ublk" if kind == "u" else "iblk"
-    return e.select(F.lit(kind).alias("kind"), tid.alias("id"), "bias", "factors",
-                    hash_bucket(key(tag, seed, tid), n_blocks).cast("int").alias("hblk"))
-
-
-def _collapse(fac: DataFrame, kind: str, k: int, has_replicas: bool) -> DataFrame:
-    """(id, bias, factors) of one side; replicas averaged into their id."""
-    t = fac.where(F.col("kind") == kind)
-    if not has_replicas:
-        return t.select("id", "bias", "factors")
-    orig = F.when(F.col("id") >= 0, F.col("id")).otherwise(
-        F.floor((-(F.col("id") + 1)) / F.lit(REP_MUL)).cast("long"))
-    t = t.withColumn("oid", orig)
-    aggs = [F.avg("bias").alias("bias")] + [
-        F.avg(F.element_at("factors", j + 1)).alias(f"_f{j}") for j in range(k)]
-    g = t.groupBy("oid").agg(*aggs)
-    return g.select(F.col("oid").alias("id"), "bias",
-                    F.array(*[F.col(f"_f{j}") for j in range(k)]).alias("factors"))
-
-
-def fit_sgd(train: DataFrame, p: SgdParams = SgdParams(), *, blocks: int | None = None,
+        hot = reps.where(F.col("kind") == kind).select("id", "n_rep")
+        e = f.join(hot, "id", "left").withColumn(
+            "rep", F.explode(F.sequence(F.lit(0), F.coalesce("n_rep", F.lit(1)) - 1)))
+    return e.select(F.lit(kind).alias("kind"), "id", F.col("rep").cast("int").alias("rep"),
+                    "bias", "factors",
+                    _block(kind, "@id", "@rep", prep.seed, prep.blocks).alias("hblk"),
+                    # replicas add up: the count so far stays with the first
+                    F.when(F.col("rep") == 0, F.col("n_updates")).otherwise(F.lit(0))
+                     .cast("long").alias("n_updates"))
+
+
+def _collapse(factors: DataFrame, kind: str, k: int, split: bool) -> DataFrame:
+    """(id, bias, factors, n_updates) of one side; replicas averaged."""
+    t = factors.where(F.col("kind") == kind)
+    if not split:
+        return t.select("id", "bias", "factors", "n_updates")
+    g = t.groupBy("id").agg(F.avg("bias").alias("bias"), F.sum("n_updates").alias("n_updates"),
+                            *[F.avg(F.element_at("factors", j + 1)).alias(f"_f{j}")
+                              for j in range(k)])
+    return g.select("id", "bias", F.array(*[F.col(f"_f{j}") for j in range(k)]).alias("factors"),
+                    "n_updates")
+
+
+def stratum_step(factors: DataFrame, ratings: DataFrame, prep: Prepared, g: int,
+                 step) -> DataFrame:
+    """Factors after stratum ``g``: one cogroup, a group per block."""
+    B = prep.blocks
+    cols = ["label", "user_id", "urep", "item_id", "irep", "rating", "ord"]
+    if "first_step" in ratings.columns:
+        cols.append("first_step")
+    def labels():   # B rows; own column instances for either side
+        return F.broadcast(prep.labels.select(F.col("blk").alias("blk"),
+                                              F.col("label").alias("label")))
+
+    r = (ratings.where(F.col("stratum") == F.lit(g)).withColumn("blk", F.col("ublk"))
+         .join(labels(), "blk").select(*cols).repartition(B, "label"))
+    blk = F.when(F.col("kind") == "u", F.col("hblk")).otherwise(
+        F.pmod(F.col("hblk") - F.lit(g), F.lit(B)))
+    f = (factors.withColumn("blk", blk).join(labels(), "blk").drop("blk")
+         .repartition(B, "label"))
+    return r.groupBy("label").cogroup(f.groupBy("label")).applyInPandas(step, FACTORS_OUT)
+
+
+def _with_first_steps(prep: Prepared, ratings: DataFrame) -> DataFrame:
+    """Adds the number of updates before each block in an epoch (B² rows)."""
+    sizes = ratings.groupBy("stratum", "ublk").agg(F.count(F.lit(1)).alias("n"))
+    before = prefix_sums(sizes, ["stratum", "ublk"], ["n"])
+    return ratings.join(before.select("stratum", "ublk", F.col("n_before").alias("first_step")),
+                        ["stratum", "ublk"])
+
+
+def fit_sgd(train: DataFrame | None = None, p: SgdParams = SgdParams(), *,
+            blocks: int | None = None, rows_per_block: int = ROWS_PER_BLOCK,
             mu: float | None = None, eval_sets: dict[str, DataFrame] | None = None,
-            trace_every: int = 5, split_threshold: int | None = 200_000,
-            checkpoint_every: int = 1, sample_from: DataFrame | None = None,
-            sample_n: int | None = None) -> SgdModel:
+            trace_every: int = 5, split_threshold: int | None = None,
+            sample_from: DataFrame | None = None, sample_n: int | None = None,
+            prepared: Prepared | None = None) -> SgdModel:
     """Fit the (biased or unbiased) factor model by block-stratified SGD.
 
-    ``train``: (user_id, item_id, rating). ``blocks=1`` gives one task and
-    the serial visiting order; ``None`` picks B by ``suggest_blocks`` from the
-    rating count and the cluster's default parallelism. ``eval_sets`` (name -> ratings) adds an RMSE
-    trace every ``trace_every`` epochs before that epoch's updates and after
-    the last one. With ``sample_from`` (all pairs) each epoch trains only on
-    the training ratings among the first ``sample_n`` pairs of that epoch's
-    seeded order (sampled-pair SGD).
-
-    Per epoch: one job of B chained cogroup stages. The rating side is
-    hash-partitioned by block label and sorted by stratum inside each
-    partition, so the stratum filter skips cached batches of other strata
-    and no stage re-shuffles ratings. Factor lineage is cut with a
-    reliable checkpoint every ``checkpoint_every`` epochs.
+    ``train``: (user_id, item_id, rating), or ``prepared`` from ``prepare``.
+    ``blocks=None`` takes B from ``rows_per_block``. ``eval_sets`` (name ->
+    ratings) adds an RMSE trace every ``trace_every`` epochs before that
+    epoch's updates and after the last one. With ``sample_from`` (all pairs)
+    each epoch trains only on the training ratings among the first
+    ``sample_n`` pairs of that epoch's seeded order (sampled-pair SGD).
     """
-    from pyspark import StorageLevel
-
     from .evaluate import rmse, score
 
-    spark = train.sparkSession
-    st = train.agg(F.avg("rating").alias("mu"), F.count(F.lit(1)).alias("n")).first()
-    B = int(blocks) if blocks else suggest_blocks(int(st["n"]),
-                                                  spark.sparkContext.defaultParallelism)
+    prep = prepared or prepare(train, seed=p.seed, blocks=blocks, rows_per_block=rows_per_block,
+                               split_threshold=split_threshold)
+    if prep.seed != p.seed:
+        raise ValueError("the ratings were prepared with another seed")
+    spark, split = prep.base.sparkSession, prep.reps is not None
     if mu is None:
-        mu = float(st["mu"]) if p.biased and st["mu"] is not None else 0.0
-    if split_threshold:
-        split_threshold = max(int(split_threshold), -(-int(st["n"]) // MAX_HOT_IDS))
-    labels = block_labels(spark, B)
-    prev_parts = spark.conf.get("spark.sql.shuffle.partitions")
-    prev_aqe = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.shuffle.partitions", str(B))
-    cached = []
-    try:
-        ratings, hot_u, hot_i = prepare_ratings(train, p, B, labels, split_threshold)
-        has_rep = (hot_u.count() + hot_i.count()) > 0
-        ratings = (ratings.withColumn("stratum", F.pmod(F.col("iblk") - F.col("ublk"), F.lit(B)))
-                          .select("label", "stratum", "uid", "iid", "rating", "ord",
-                                  "user_id", "item_id", "ublk", "iblk")
-                          .repartition(B, "label")
-                          .sortWithinPartitions("stratum")
-                          .persist(StorageLevel.MEMORY_AND_DISK))
-        cached.append(ratings)
-        ratings.count()
-        # The strata chain has a fixed layout (B partitions on both sides);
-        # adaptive re-planning after each of its B stages only adds latency.
-        spark.conf.set("spark.sql.adaptive.enabled", "false")
-        uf0 = init_factors(train.select("user_id").distinct(), "user_id", "u", p.k,
-                           seed=p.seed, noise=p.noise, gaussian=p.gaussian_init)
-        if0 = init_factors(train.select("item_id").distinct(), "item_id", "i", p.k,
-                           seed=p.seed, noise=p.noise, gaussian=p.gaussian_init)
-        fac = cut_lineage(_expand_replicas(uf0, hot_u, "u", B, p.seed)
-                          .unionByName(_expand_replicas(if0, hot_i, "i", B, p.seed)))
-        n_users = n_items = None
-        if not has_rep:
-            nn = fac.agg(F.sum(F.when(F.col("kind") == "u", 1).otherwise(0)).alias("u"),
-                         F.sum(F.when(F.col("kind") == "i", 1).otherwise(0)).alias("i")).first()
-            n_users, n_items = int(nn["u"] or 0), int(nn["i"] or 0)
-        # diagnostic, B² rows; lazy (recomputed from lineage if asked for)
-        block_sizes = ratings.groupBy("ublk", "iblk").agg(F.count(F.lit(1)).alias("n_ratings"))
-        trace = []
-        t0 = time.time()
-
-        def sides(f):
-            return _collapse(f, "u", p.k, has_rep), _collapse(f, "i", p.k, has_rep)
-
-        def record(epoch, f):
-            uf, itf = sides(f)
-            for name, df in (eval_sets or {}).items():
-                s = score(df, uf, itf, mu, p.k, biased=p.biased, n_users=n_users,
-                          n_items=n_items)
-                row = rmse(s).first()
-                trace.append((epoch, name, float(row["rmse"]) if row["rmse"] is not None
-                              else None, int(row["n"]), time.time() - t0))
-
-        epoch_seconds = []
-        sample_total = None
-        for epoch in range(p.epochs):
-            if eval_sets and epoch % trace_every == 0:
-                record(epoch, fac)
-            te = time.time()
-            lr = p.lr * (p.decay ** epoch)
-            step = _make_step(mu, p, lr, epoch)
-            epoch_ratings = ratings
-            if sample_from is not None:
-                if sample_total is None:
-                    st2 = sample_from.agg(F.count(F.lit(1)).alias("N"),
-                                          F.countDistinct("user_id").alias("U")).first()
-                    sample_total = int(st2["N"])
-                    sample_n = int(st2["U"]) if sample_n is None else sample_n
-                epoch_ratings = ratings.where(_sample_filter(sample_from, sample_n, p.seed, epoch,
-                                                             sample_total))
-            cur = fac
-            for g in range(B):
-                r_g = (epoch_ratings.where(F.col("stratum") == F.lit(g))
-                       .select("label", "uid", "iid", "rating", "ord"))
-                blk = F.when(F.col("kind") == "u", F.col("hblk")).otherwise(
-                    F.pmod(F.col("hblk") - F.lit(g), F.lit(B)))
-                f_g = cur.withColumn("label", _label_col(blk, labels))
-                cur = (r_g.groupBy("label").cogroup(f_g.groupBy("label"))
-                          .applyInPandas(step, FACTORS_OUT))
-            if has_rep:
-                uf, itf = sides(cur)
-                cur = (_expand_replicas(uf, hot_u, "u", B, p.seed)
-                       .unionByName(_expand_replicas(itf, hot_i, "i", B, p.seed)))
-            if checkpoint_every and (epoch + 1) % checkpoint_every == 0:
-                new = cut_lineage(cur)
-            else:
-                new = cur.persist(StorageLevel.MEMORY_AND_DISK)
-                new.count()
-            fac.unpersist()
-            fac = new
-            epoch_seconds.append(round(time.time() - te, 3))
-        if eval_sets:
-            record(p.epochs, fac)
-        uf, itf = sides(fac)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", prev_parts)
-        spark.conf.set("spark.sql.adaptive.enabled", prev_aqe)
-        for df in cached:
-            df.unpersist()
-    return SgdModel(uf, itf, mu, p, trace, block_sizes, epoch_seconds)
-
-
-def _sample_filter(pairs: DataFrame, n: int | None, seed: int, epoch: int,
-                   total: int | None = None):
+        mu = prep.mu if p.biased else 0.0
+    ratings = prep.ratings
+    if p.schedule == "step":
+        ratings = _with_first_steps(prep, ratings)
+
+    def side0(col, kind):
+        return init_factors(prep.base.select(col).distinct(), col, kind, p.k, seed=p.seed,
+                            noise=p.noise, gaussian=p.gaussian_init).withColumn(
+            "n_updates", F.lit(0).cast("long"))
+
+    def both(uf, itf):
+        return _expand(uf, prep.reps, "u", prep).unionByName(_expand(itf, prep.reps, "i", prep))
+
+    def sides(f):
+        return _collapse(f, "u", p.k, split), _collapse(f, "i", p.k, split)
+
+    held: list[str] = []
+
+    def cut(f):
+        """Writes the factors; the files they came from are deleted."""
+        path = new_scratch_path(spark, "sgd-factors")
+        out = write_table(f, path)
+        for old in held:
+            drop_path(spark, old)
+        held[:] = [path]
+        return out
+
+    fac = cut(both(side0("user_id", "u"), side0("item_id", "i")))
+    n_users, n_items = fac.where("rep = 0").agg(
+        F.count(F.when(F.col("kind") == "u", 1)), F.count(F.when(F.col("kind") == "i", 1))).first()
+    trace, epoch_seconds, t0 = [], [], time.time()
+
+    def record(epoch, f):
+        uf, itf = sides(f)
+        for name, df in (eval_sets or {}).items():
+            row = rmse(score(df, uf, itf, mu, p.k, biased=p.biased, n_users=n_users,
+                             n_items=n_items)).first()
+            trace.append((epoch, name, float(row["rmse"]) if row["rmse"] is not None else None,
+                          int(row["n"]), time.time() - t0))
+
+    if sample_from is not None:
+        total, users = sample_from.agg(F.count(F.lit(1)), F.countDistinct("user_id")).first()
+        sample_n = int(users) if sample_n is None else int(sample_n)
+    for epoch in range(p.epochs):
+        if eval_sets and epoch % trace_every == 0:
+            record(epoch, fac)
+        te = time.time()
+        step = _make_step(mu, p, epoch, prep.n)
+        epoch_ratings = ratings
+        if sample_from is not None:
+            epoch_ratings = ratings.where(_sample_filter(sample_from, sample_n, p.seed, epoch,
+                                                         int(total)))
+        for g in range(prep.blocks):
+            fac = stratum_step(fac, epoch_ratings, prep, g, step)
+            last = g == prep.blocks - 1
+            if last and split:
+                fac = both(*sides(fac))
+            if last or (g + 1) % STRATA_PER_JOB == 0:
+                fac = cut(fac)
+        epoch_seconds.append(round(time.time() - te, 3))
+    if eval_sets:
+        record(p.epochs, fac)
+    uf, itf = sides(fac)
+    # diagnostic, B² rows; computed only if asked for
+    block_sizes = prep.ratings.groupBy("ublk", "iblk").agg(F.count(F.lit(1)).alias("n_ratings"))
+    return SgdModel(uf, itf, mu, p, trace, block_sizes, epoch_seconds, prep.blocks)
+
+
+def update_counts(model: SgdModel) -> DataFrame:
+    """(side, id, n_updates): how often each id was trained."""
+    return (model.user_factors.select(F.lit("user").alias("side"), "id", "n_updates")
+            .unionByName(model.item_factors.select(F.lit("item").alias("side"), "id",
+                                                   "n_updates")))
+
+
+def _sample_filter(pairs: DataFrame, n: int, seed: int, epoch: int, total: int):
     """Rows among the first ``n`` pairs of the epoch's order, as a predicate.
 
     The cut-off (largest sampled sort key) is one row; the training ratings
-    are then filtered in place, keeping their partitioning.
+    are then filtered in place.
     """
     s = sampled_pairs(pairs, n, seed=seed, epoch=epoch, total=total)
     last = s.agg(F.max(F.struct("sample_key", "user_id", "item_id")).alias("m")).first()["m"]
@@ -440,10 +463,9 @@ def sampled_pairs(pairs: DataFrame, n: int | None = None, *, seed: int = 0,
 
     With ``n`` the number of users this is one drawn rating per user
     position per pass. Exact and distributed without sorting every pair:
-    an approximate quantile of the 28-bit sort hash (one mergeable
-    aggregate) gives a cut-off whose candidate set holds at least ``n``
-    pairs; only the candidates are range-sorted. If the estimate falls
-    short, the cut-off is widened until it does not.
+    the 28-bit sort hash is uniform, so the share n / N gives a cut-off whose
+    candidates, a little over ``n``, are counted once and range-sorted. Should
+    they be too few, the cut-off is doubled.
     """
     from ..functions.ranking import global_position
     p = pairs.select("user_id", "item_id").withColumn(
@@ -457,16 +479,14 @@ def sampled_pairs(pairs: DataFrame, n: int | None = None, *, seed: int = 0,
     if n <= 0 or total == 0:
         return p.limit(0).select("user_id", "item_id", F.lit(0).cast("long").alias("position"),
                                  F.col("_h").alias("sample_key"))
-    frac = min(1.0, 1.05 * n / total + 1e-4)
-    while True:
-        if frac >= 1.0:
-            cand = p
-            break
-        cut = p.agg(F.percentile_approx("_h", frac, 10_000).alias("c")).first()["c"]
-        cand = p.where(F.col("_h") <= F.lit(int(cut)))
+    # five standard deviations above the expected count
+    share = (n + 5 * math.sqrt(n) + 10) / total
+    cand = p
+    while share < 1.0:
+        cand = p.where(F.col("_h") < F.lit(int(share * SCALE)))
         if cand.count() >= n:
             break
-        frac = min(1.0, frac * 2)
+        share, cand = 2 * share, p
     pos = global_position(cand, ["_h", "user_id", "item_id"], "position")
     return pos.where(F.col("position") < F.lit(n)).select(
         "user_id", "item_id", "position", F.col("_h").alias("sample_key"))

@@ -77,6 +77,21 @@ def new_scratch_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Writes ``df`` as Parquet and returns it re-read: later plans start at
+    the files, which every executor can read."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder this library wrote (on any Hadoop file system)."""
+    if "/tables/" not in path:
+        raise ValueError("only derived tables are deleted: " + path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint (never a machine-local one)."""
     ensure_checkpoint_dir(df.sparkSession)

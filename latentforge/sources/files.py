@@ -1,9 +1,10 @@
 """Rating, item and book-rating file sources, and their fixtures.
 
 Readers take an explicit schema (nothing is inferred) and keep bad lines
-apart instead of failing the job: a line whose field count is wrong or
-whose number fields do not parse goes to the rejected side, like the
-field-count check of the original programs.
+apart instead of failing the job. Every input line is either good or
+rejected, with a reason: a wrong field count, a field that does not parse,
+or an empty required field. ``mode="FAILFAST"`` raises on the first
+malformed line instead.
 
 The fixture writers turn the table views into files of the original
 layouts, inside the session's shared folder, so the readers are exercised
@@ -29,34 +30,47 @@ BOOK_SCHEMA = "user_id long, isbn string, rating int"
 # Share of fixture lines turned bad, in percent per kind.
 BAD_SHORT_BUCKET = 0      # ts field dropped -> 3 fields
 BAD_NUMBER_BUCKET = 1     # rating replaced by the word "five"
+BAD_EMPTY_BUCKET = 2      # rating left empty
 BAD_BUCKETS = 100
 
 
+def parse_lines(lines: DataFrame, schema: str, sep: str, quote: str | None = None,
+                mode: str = "PERMISSIVE") -> DataFrame:
+    """``lines(value)`` parsed by ``schema``: its columns, the whole ``line``,
+    its number of fields and the corrupt-record column."""
+    options = {"sep": sep, "mode": mode, "columnNameOfCorruptRecord": CORRUPT}
+    if quote is not None:
+        options |= {"quote": quote, "escape": quote}
+    full = schema if mode == "FAILFAST" else schema + f", {CORRUPT} string"
+    out = lines.select(F.col("value").alias("line"),
+                       F.from_csv("value", full, options).alias("_row"))
+    out = out.select("_row.*", "line")
+    if mode == "FAILFAST":
+        out = out.withColumn(CORRUPT, F.lit(None).cast("string"))
+    return out
+
+
 def _csv(spark: SparkSession, path: str, schema: str, sep: str, quote: str | None,
          mode: str) -> DataFrame:
-    r = (spark.read.schema(schema + f", {CORRUPT} string")
-         .option("sep", sep).option("mode", mode)
-         .option("columnNameOfCorruptRecord", CORRUPT))
-    if quote is not None:
-        r = r.option("quote", quote).option("escape", quote)
-    return r.csv(path)
+    return parse_lines(spark.read.text(path), schema, sep, quote, mode)
 
 
-def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejected lines) of a reader with a corrupt-record column.
-
-    Good rows also need non-null fields, which keeps the parsed columns in
-    every scan (Spark refuses raw-file scans that read only the corrupt
-    column). The rejected side is cached with all its columns, as Spark
-    asks for such queries; it holds only the bad lines.
-    """
-    fields = [c for c in df.columns if c != CORRUPT]
+def is_good(df: DataFrame):
+    """A parsed line without corrupt record and without an empty field."""
     ok = F.col(CORRUPT).isNull()
-    for c in fields:
-        ok = ok & F.col(c).isNotNull()
-    good = df.where(ok).drop(CORRUPT)
-    bad = df.where(F.col(CORRUPT).isNotNull()).persist()
-    return good, bad.select(F.col(CORRUPT).alias("line"))
+    for c in df.columns:
+        if c not in (CORRUPT, "line"):
+            ok = ok & F.col(c).isNotNull()
+    return ok
+
+
+def good_rows(df: DataFrame) -> DataFrame:
+    return df.where(is_good(df)).drop(CORRUPT, "line")
+
+
+def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected lines) of parsed lines; together, every line."""
+    return good_rows(df), df.where(~is_good(df)).select("line", CORRUPT)
 
 
 def read_ratings_raw(spark: SparkSession, path: str, sep: str = "::",
@@ -67,13 +81,12 @@ def read_ratings_raw(spark: SparkSession, path: str, sep: str = "::",
 def read_ratings(spark: SparkSession, path: str, sep: str = "::",
                  mode: str = "PERMISSIVE") -> DataFrame:
     """``user::item::rating::ts`` lines -> (user_id, item_id, rating, ts)."""
-    good, _ = split_rejects(read_ratings_raw(spark, path, sep, mode))
-    return good
+    return good_rows(read_ratings_raw(spark, path, sep, mode))
 
 
 def read_items(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
     """``id,"title","g1|g2"`` lines -> (item_id, title, genres array)."""
-    good, _ = split_rejects(_csv(spark, path, ITEM_SCHEMA, ",", '"', mode))
+    good = good_rows(_csv(spark, path, ITEM_SCHEMA, ",", '"', mode))
     return good.select("item_id", "title",
                        F.split(F.col("genres_text"), r"\|").alias("genres"))
 
@@ -86,15 +99,16 @@ def read_book_ratings_raw(spark: SparkSession, path: str,
 def read_book_ratings(spark: SparkSession, path: str,
                       mode: str = "PERMISSIVE") -> DataFrame:
     """``"user";"isbn";"rating"`` lines -> (user_id, isbn, rating)."""
-    good, _ = split_rejects(read_book_ratings_raw(spark, path, mode))
-    return good
+    return good_rows(read_book_ratings_raw(spark, path, mode))
 
 
 def reject_reasons(bad: DataFrame, sep: str, n_fields: int) -> DataFrame:
-    """Label each rejected line: wrong field count, or a field not parsing."""
-    n = F.size(F.split(F.col("line"), sep, -1))
+    """Why each line was rejected: ``field_count``, ``parse`` (a field does
+    not parse) or ``null_field`` (a required field is empty)."""
+    n = F.size(F.split(F.col("line"), F.lit("\\Q" + sep + "\\E"), -1))
     return bad.withColumn("reason", F.when(n != F.lit(n_fields), F.lit("field_count"))
-                          .otherwise(F.lit("parse")))
+                          .when(F.col(CORRUPT).isNotNull(), F.lit("parse"))
+                          .otherwise(F.lit("null_field")))
 
 
 # ---- fixtures ------------------------------------------------------------
@@ -118,6 +132,7 @@ def rating_lines_path(spark: SparkSession, sf_dir: str) -> str:
         r, t = F.col("rating").cast("string"), F.col("ts").cast("string")
         line = (F.when(F.col("_bad") == BAD_SHORT_BUCKET, F.concat_ws("::", u, i, r))
                  .when(F.col("_bad") == BAD_NUMBER_BUCKET, F.concat_ws("::", u, i, F.lit("five"), t))
+                 .when(F.col("_bad") == BAD_EMPTY_BUCKET, F.concat_ws("::", u, i, F.lit(""), t))
                  .otherwise(F.concat_ws("::", u, i, r, t)))
         v.select(line.alias("value")).write.mode("overwrite").text(p)
 

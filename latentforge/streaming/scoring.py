@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import CORRUPT, RATING_SCHEMA
+from ..sources.files import RATING_SCHEMA, good_rows, parse_lines
 
 
 def read_rating_stream(spark: SparkSession, path: str, sep: str = "::",
                        max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming twin of ``read_ratings``: good lines only."""
-    r = (spark.readStream.schema(RATING_SCHEMA + f", {CORRUPT} string")
-         .option("sep", sep).option("mode", "PERMISSIVE")
-         .option("columnNameOfCorruptRecord", CORRUPT))
+    """Streaming twin of ``read_ratings``: the same rows of the same files."""
+    r = spark.readStream
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.csv(path).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return good_rows(parse_lines(r.text(path), RATING_SCHEMA, sep))
 
 
 def score_stream(stream: DataFrame, user_f: DataFrame, item_f: DataFrame,

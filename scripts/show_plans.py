@@ -20,7 +20,6 @@ def tree(df) -> str:
 
 
 def main():
-    from pyspark import StorageLevel
     from pyspark.sql import functions as F
 
     from latentforge import catalog
@@ -36,7 +35,7 @@ def main():
         ("dedupe_ratings", "pruned scans, broadcast of the smaller join side chosen by AQE, "
                            "partial + final aggregate"),
         ("predict", "prediction is a JVM expression (no Python node)"),
-        ("gradient_step", "exploded per-dimension gradients summed with partial aggregation"),
+        ("gradient_step", "ratings joined once, a row per side, fixed-width sums with partial aggregation"),
         ("als_gram", "K² fixed-width sums per item, partial aggregation"),
         ("rmse_dense", "Gram identity: no cartesian product"),
         ("auroc", "group by score, distributed prefix sum"),
@@ -44,28 +43,16 @@ def main():
         df = catalog.QUERIES[name](spark, sf)
         out += [f"## {name}", "", note, "", "```", tree(df), "```", ""]
     # one SGD stratum, as fit_sgd builds it
-    B = 4
-    spark.conf.set("spark.sql.shuffle.partitions", str(B))
     train, _ = catalog._split(spark, sf)
     p = fac.SgdParams(k=8)
-    labels = sgd.block_labels(spark, B)
-    r, hu, hi = sgd.prepare_ratings(train, p, B, labels, None)
-    r = (r.withColumn("stratum", F.pmod(F.col("iblk") - F.col("ublk"), F.lit(B)))
-          .repartition(B, "label").sortWithinPartitions("stratum")
-          .persist(StorageLevel.MEMORY_AND_DISK))
-    r.count()
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    uf, itf = fac.init_model(train, p)
-    f = (sgd._expand_replicas(uf, hu, "u", B, 0).unionByName(sgd._expand_replicas(itf, hi, "i", B, 0))
-         .withColumn("label", sgd._label_col(
-             F.when(F.col("kind") == "u", F.col("hblk")).otherwise(F.pmod(F.col("hblk") - 1, B)),
-             labels)))
-    stage = (r.where(F.col("stratum") == 1).select("label", "uid", "iid", "rating", "ord")
-              .groupBy("label").cogroup(f.groupBy("label"))
-              .applyInPandas(sgd._make_step(3.0, p, 0.1, 0), sgd.FACTORS_OUT))
+    prep = sgd.prepare(train)
+    uf, itf = (f.withColumn("n_updates", F.lit(0).cast("long"))
+               for f in fac.init_model(prep.base, p))
+    f = sgd._expand(uf, None, "u", prep).unionByName(sgd._expand(itf, None, "i", prep))
+    stage = sgd.stratum_step(f, prep.ratings, prep, 1, sgd._make_step(3.0, p, 0, prep.n))
     out += ["## fit_sgd: one stratum", "",
-            "The rating side reads the cached, label-partitioned ratings with a stratum "
-            "filter and no Exchange; only the factor side is shuffled.", "",
+            "The rating side reads the files of its stratum (PartitionFilters); both sides are "
+            "dealt to one group per block; the label table has B rows.", "",
             "```", tree(stage), "```", ""]
     with open(os.path.join(ROOT, "PLANS.md"), "w") as fh:
         fh.write("\n".join(out))

@@ -8,11 +8,11 @@ from latentforge.plans import factors as fac
 from latentforge.plans import sgd
 
 
-def _serial(r, U, V, bu, bi, seq, mu, p, lr):
+def _serial(r, U, V, bu, bi, seq, mu, p, rates):
     kk = U.shape[1] if p.train_dims is None else p.train_dims
     breg = p.bias_reg * p.lam
-    for t in seq:
-        a, b = r.uid[t], r.iid[t]
+    for t, lr in zip(seq, rates, strict=True):
+        a, b = r.user_id[t], r.item_id[t]
         fu, fi = U[a], V[b]
         pred = fu @ fi + ((mu + bu[a] + bi[b]) if p.biased else 0.0)
         e = r.rating[t] - pred
@@ -24,30 +24,43 @@ def _serial(r, U, V, bu, bi, seq, mu, p, lr):
         fi[:kk] += lr * (e * old - p.lam * fi[:kk])
 
 
-@pytest.mark.parametrize("biased,train_dims", [(True, None), (False, None), (True, 3)])
-def test_block_step_is_serial_sgd(biased, train_dims):
+def _side(kind, ids, vectors, rep=0):
+    return pd.DataFrame({"kind": kind, "id": ids, "rep": rep, "bias": 0.0,
+                         "factors": list(vectors.copy()), "hblk": 0, "n_updates": 0})
+
+
+def _ratings(users, items, rating, ords):
+    return pd.DataFrame({"user_id": users, "urep": 0, "item_id": items, "irep": 0,
+                         "rating": rating, "ord": ords})
+
+
+@pytest.mark.parametrize("biased,train_dims,schedule", [
+    (True, None, "epoch"), (False, None, "epoch"), (True, 3, "epoch"), (True, None, "step")])
+def test_block_step_is_serial_sgd(biased, train_dims, schedule):
     rng = np.random.default_rng(3)
     n_u, n_i, n_r, k = 40, 30, 600, 5
     U0 = rng.random((n_u, k)) * 0.1
     V0 = rng.random((n_i, k)) * 0.1
     f = pd.concat([
-        pd.DataFrame({"kind": "u", "id": np.arange(n_u), "bias": 0.0, "factors": list(U0.copy()),
-                      "hblk": 0}),
-        pd.DataFrame({"kind": "i", "id": np.arange(n_i), "bias": 0.0, "factors": list(V0.copy()),
-                      "hblk": 0})], ignore_index=True)
-    r = pd.DataFrame({"uid": rng.integers(0, n_u, n_r), "iid": rng.integers(0, n_i, n_r),
-                      "rating": rng.integers(1, 6, n_r).astype(float),
-                      "ord": rng.integers(0, 2 ** 28, n_r)})
-    p = fac.SgdParams(k=k, biased=biased, train_dims=train_dims, lr_bias=0.2)
-    out = sgd._make_step(3.0, p, 0.05, 2)(r, f)
+        _side("u", np.arange(n_u), U0), _side("i", np.arange(n_i), V0)], ignore_index=True)
+    r = _ratings(rng.integers(0, n_u, n_r), rng.integers(0, n_i, n_r),
+                 rng.integers(1, 6, n_r).astype(float), rng.integers(0, 2 ** 28, n_r))
+    r["first_step"] = 70
+    p = fac.SgdParams(k=k, biased=biased, train_dims=train_dims, lr_bias=0.2, lr=0.05,
+                      decay=0.999, schedule=schedule)
+    out = sgd._make_step(3.0, p, 2, 1000)(r, f)
     # the same permutation, applied one rating at a time
-    h = r["ord"].to_numpy(dtype=np.uint64)
-    mixed = (h * np.uint64(0x9E3779B1) + np.uint64(3) * np.uint64(0x85EBCA77)) & np.uint64(0xFFFFFFFF)
-    order = np.lexsort((r.iid.to_numpy(), r.uid.to_numpy(), mixed))
-    rounds = sgd.conflict_free_rounds(r.uid.to_numpy()[order], r.iid.to_numpy()[order])
+    order = np.lexsort((r.item_id.to_numpy(), r.user_id.to_numpy(),
+                        sgd.epoch_order(r["ord"].to_numpy(), 2)))
+    rounds = sgd.conflict_free_rounds(r.user_id.to_numpy()[order], r.item_id.to_numpy()[order])
     seq = order[np.lexsort((np.arange(len(order)), rounds))]
     U, V, bu, bi = U0.copy(), V0.copy(), np.zeros(n_u), np.zeros(n_i)
-    _serial(r, U, V, bu, bi, seq, 3.0, p, 0.05)
+    # by step, the count goes on: 2 epochs of 1000 and 70 earlier in this one
+    rates = [0.05 * 0.999 ** (2 if schedule == "epoch" else 2070 + t) for t in range(n_r)]
+    _serial(r, U, V, bu, bi, seq, 3.0, p, rates)
+    assert out.n_updates.sum() == 2 * n_r
+    assert (out[out.kind == "u"].n_updates.to_numpy()
+            == np.bincount(r.user_id, minlength=n_u)).all()
     got_u = np.vstack(out[out.kind == "u"].factors.to_numpy())
     got_i = np.vstack(out[out.kind == "i"].factors.to_numpy())
     assert np.allclose(got_u, U, atol=1e-12) and np.allclose(got_i, V, atol=1e-12)
@@ -68,16 +81,37 @@ def test_rounds_keep_per_id_order_and_are_conflict_free():
         assert len(set(u[sel])) == sel.sum() and len(set(i[sel])) == sel.sum()
 
 
-def test_empty_sides_return_factors_unchanged():
-    f = pd.DataFrame({"kind": ["u"], "id": [1], "bias": [0.0], "factors": [np.ones(3)], "hblk": [0]})
-    step = sgd._make_step(3.0, fac.SgdParams(k=3), 0.1, 0)
-    empty = pd.DataFrame({"uid": [], "iid": [], "rating": [], "ord": []})
-    assert step(empty, f).equals(f)
-    r = pd.DataFrame({"uid": [1], "iid": [7], "rating": [4.0], "ord": [1]})
-    assert step(r, f).equals(f)   # no items in the block: nothing to update
+def test_rounds_are_the_levels_of_the_waiting_graph():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 7, 300):
+        u, i = rng.integers(0, 9, n), rng.integers(0, 9, n)
+        level, nu, ni = [], {}, {}
+        for a, b in zip(u.tolist(), i.tolist(), strict=True):
+            x = max(nu.get(a, 0), ni.get(b, 0))
+            level.append(x)
+            nu[a] = ni[b] = x + 1
+        assert sgd.conflict_free_rounds(u, i).tolist() == level
+
+
+def test_epochs_reshuffle():
+    h = np.random.default_rng(0).integers(0, 2 ** 28, 2000)
+    a, b = (np.argsort(sgd.epoch_order(h, e)) for e in (0, 5))
+    place = np.argsort(b)[a]
+    # neither the same order nor a rotation of it
+    assert len(np.unique((place - np.arange(2000)) % 2000)) > 1000
+
+
+def test_no_ratings_leave_factors_unchanged_and_missing_factors_raise():
+    f = _side("u", [1], np.ones((1, 3)))
+    step = sgd._make_step(3.0, fac.SgdParams(k=3), 0, 10)
+    assert step(_ratings([], [], [], []), f).equals(f)
+    with pytest.raises(RuntimeError, match="no item factors"):
+        step(_ratings([1], [7], [4.0], [1]), pd.concat([f, _side("i", [8], np.ones((1, 3)))]))
+    with pytest.raises(RuntimeError, match="no user factors"):
+        step(_ratings([2], [8], [4.0], [1]), pd.concat([f, _side("i", [8], np.ones((1, 3)))]))
 
 
-def test_suggest_blocks():
-    assert sgd.suggest_blocks(10 ** 12, 8000) == 2000
-    assert sgd.suggest_blocks(1000, 8) == 1
-    assert sgd.suggest_blocks(10 ** 9, 8) == 8
+def test_blocks_follow_from_the_rows_alone():
+    assert sgd.choose_blocks(10 ** 12, 10 ** 6) == 1000
+    assert sgd.choose_blocks(1000) == 2 and sgd.choose_blocks(0) == 2
+    assert sgd.choose_blocks(479_677) == 4

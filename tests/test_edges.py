@@ -1,13 +1,13 @@
 """Edge cases: cold start, empty blocks, salted vs broadcast joins, SGD plan."""
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from latentforge.operators import joins
 from latentforge.plans import evaluate as ev
 from latentforge.plans import factors as fac
 from latentforge.plans import sgd
+from latentforge.session import new_scratch_path, write_table
 
 
 def _tiny(spark):
@@ -46,33 +46,59 @@ def test_salted_join_equals_broadcast_join(spark):
     assert b.count() == 3000
 
 
-def test_sgd_stratum_does_not_reshuffle_ratings(spark):
+def test_planning_many_blocks_is_quick(spark):
+    """A job's plan has a bounded number of strata, whatever B is."""
+    import time
+    r = _tiny(spark)
+    p = fac.SgdParams(k=3)
+    prep = sgd.prepare(r, blocks=512)
+    f = sgd._expand(fac.init_model(r, p)[0].withColumn("n_updates", F.lit(0)), None, "u", prep)
+    t0 = time.time()
+    step = sgd._make_step(3.0, p, 0, 3)
+    for g in range(sgd.STRATA_PER_JOB):
+        f = sgd.stratum_step(f, prep.ratings, prep, g, step)
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInPandas") >= sgd.STRATA_PER_JOB
+    assert time.time() - t0 < 30
+
+
+def test_stratum_reads_its_own_files_and_conf_is_left_alone(spark):
     r = _tiny(spark).unionByName(
         spark.range(3, 400).select(F.col("id").alias("user_id"), (F.col("id") % 17).alias("item_id"),
                                    F.lit(3.0).alias("rating")))
-    B = 4
-    prev = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(B))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions",
+                                             "spark.sql.adaptive.enabled")}
+    prep = sgd.prepare(r, blocks=4)
+    one = prep.ratings.where("stratum = 1")
+    assert "PartitionFilters: [isnotnull(stratum" in one._jdf.queryExecution().executedPlan().toString()
+    assert sum(prep.ratings.where(F.col("stratum") == g).count() for g in range(4)) == r.count()
+    m = sgd.fit_sgd(p=fac.SgdParams(k=2, epochs=1), prepared=prep)
+    assert m.blocks == 4
+    assert {k: spark.conf.get(k) for k in before} == before
+
+
+def test_skewed_join_is_split(spark):
+    """A stored factor table lets adaptive execution split a hot user."""
+    keys = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+            "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in keys}
     try:
-        p = fac.SgdParams(k=3)
-        labels = sgd.block_labels(spark, B)
-        rr, hu, hi = sgd.prepare_ratings(r, p, B, labels, None)
-        rr = (rr.withColumn("stratum", F.pmod(F.col("iblk") - F.col("ublk"), F.lit(B)))
-                .repartition(B, "label").sortWithinPartitions("stratum")
-                .persist(StorageLevel.MEMORY_AND_DISK))
-        rr.count()   # as in fit_sgd: the cached plan's partitioning is known once built
-        uf, itf = fac.init_model(r, p)
-        f = (sgd._expand_replicas(uf, hu, "u", B, 0)
-             .unionByName(sgd._expand_replicas(itf, hi, "i", B, 0))
-             .withColumn("label", sgd._label_col(F.col("hblk"), labels)))
-        out = (rr.where(F.col("stratum") == 0).select("label", "uid", "iid", "rating", "ord")
-                 .groupBy("label").cogroup(f.groupBy("label"))
-                 .applyInPandas(sgd._make_step(3.0, p, 0.1, 0), sgd.FACTORS_OUT))
-        plan = out._jdf.queryExecution().executedPlan().toString()
-        rating_side = plan.split("FlatMapCoGroupsInPandas")[1].split("InMemoryTableScan")[0]
-        assert "Exchange" not in rating_side
-        # the block labels cover every partition
-        assert rr.rdd.glom().map(len).filter(lambda n: n > 0).count() == B
-        rr.unpersist()
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        r = write_table(spark.range(0, 120_000).select(
+            F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("user_id"),
+            F.col("id").alias("item_id"), F.lit(1.0).alias("rating")),
+            new_scratch_path(spark, "skew"))
+        uf, itf = (write_table(f, new_scratch_path(spark, "skew-f"))
+                   for f in fac.init_model(r, fac.SgdParams(k=2)))
+        j = joins.join_factors(r, uf, itf, 2)
+        assert j.count() == 120_000
+        out = j.agg(F.sum("rating"))
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", prev)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

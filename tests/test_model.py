@@ -133,3 +133,26 @@ def test_step_schedule_and_gaussian_init(spark):
     m = sgd.fit_sgd(train, p, blocks=2, eval_sets={"test": test}, trace_every=2)
     first, last = m.trace[0][2], m.trace[-1][2]
     assert np.isfinite(last) and last < first
+
+
+def test_any_long_ids_with_a_split_id(spark):
+    """Negative and very large ids stay themselves, split or not."""
+    rows = [(u, i, float((u + i) % 5 + 1)) for u in (-7, -5, 9, 2 ** 45)
+            for i in range(-40, 40)] + [(77, i, 3.0) for i in range(-300, 300)]
+    r = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    m = sgd.fit_sgd(r, fac.SgdParams(k=3, epochs=2, decay=1.0, lr=0.02), blocks=2,
+                    split_threshold=100)
+    got = {x.id: x.n_updates for x in m.user_factors.collect()}
+    assert got == {-7: 160, -5: 160, 9: 160, 2 ** 45: 160, 77: 1200}
+    assert {x.id for x in m.item_factors.collect()} == set(range(-300, 300))
+    assert m.user_factors.agg(F.sum("n_updates")).first()[0] == 2 * len(rows)
+
+
+def test_gradient_descent_lowers_the_error(spark):
+    from latentforge.plans.gradient import fit_gradient
+    r = _planted(spark)
+    both = r.withColumn("split", F.lit("all"))
+    p = fac.SgdParams(k=3, epochs=6, lr=0.5, lr_bias=0.5, lam=0.01, decay=1.0)
+    _, _, trace = fit_gradient(r, p, eval_set=both, trace_every=5)
+    assert [t[1] for t in trace] == [0, 5, 6]
+    assert trace[-1][4] < trace[0][4]

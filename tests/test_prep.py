@@ -86,12 +86,13 @@ def test_encode_items_dense_and_ordered(spark):
 def test_user_rows_chunks_add_up_to_sparse_row(spark):
     import numpy as np
     df = _skewed(spark, 3000).withColumn("rating", (F.col("item_id") % 5 + 1).cast("double"))
-    rows = prep.to_sparse_vectors(prep.user_rows(df, chunk_size=64), 3000)
+    ids = df.select("item_id", F.col("item_id").alias("index")).distinct()
+    rows = prep.to_sparse_vectors(prep.user_rows(df, chunk_size=64), ids, 3000)
     got = rows.where("user_id = 7").collect()
     dense = np.zeros(3000)
     for r in got:
-        assert len(r.indices) <= 64
-        dense += r.features.toArray()
+        assert len(r.features["indices"]) <= 64 and r.features["size"] == 3000
+        dense[r.features["indices"]] += r.features["values"]
     ref = np.zeros(3000)
     for r in df.where("user_id = 7").collect():
         ref[r.item_id] = r.rating

@@ -15,7 +15,8 @@ def _write(tmp, name, lines):
 def test_read_ratings_multichar_sep_and_rejects(spark):
     tmp = tempfile.mkdtemp(dir="/tmp", prefix="lf-src-")
     p = _write(tmp, "r.dat", ["1::10::4.0::100", "2::11::3.5::200", "3::12::5.0",
-                              "4::13::five::300", "5::14::1.0::400::extra"])
+                              "4::13::five::300", "5::14::1.0::400::extra", "1::3::::11",
+                              "", "::::::"])
     raw = files.read_ratings_raw(spark, p).cache()
     good, bad = files.split_rejects(raw)
     assert sorted(r.user_id for r in good.collect()) == [1, 2]
@@ -23,6 +24,17 @@ def test_read_ratings_multichar_sep_and_rejects(spark):
     assert reasons["3::12::5.0"] == "field_count"
     assert reasons["4::13::five::300"] == "parse"
     assert reasons["5::14::1.0::400::extra"] == "field_count"
+    assert reasons["1::3::::11"] == reasons["::::::"] == "null_field"
+    assert good.count() + bad.count() == 8   # every line is on one side
+
+
+def test_failfast_raises(spark):
+    import pytest
+    tmp = tempfile.mkdtemp(dir="/tmp", prefix="lf-src-")
+    p = _write(tmp, "r.dat", ["1::10::4.0::100", "4::13::five::300"])
+    assert files.read_ratings(spark, p).count() == 1
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_ratings(spark, p, mode="FAILFAST").collect()
 
 
 def test_read_items_keeps_quoted_commas(spark):

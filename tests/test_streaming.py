@@ -10,7 +10,7 @@ from latentforge.streaming import read_rating_stream, running_rmse, score_stream
 def test_stream_scoring_matches_batch(spark):
     tmp = tempfile.mkdtemp(dir="/tmp", prefix="lf-stream-")
     lines = [f"{u}::{i}::{(u * i) % 5 + 1}.0::{u * 10 + i}" for u in range(1, 6)
-             for i in range(1, 5)] + ["bad::line"]
+             for i in range(1, 5)] + ["bad::line", "1::3::::11"]
     with open(f"{tmp}/part-0.dat", "w") as f:
         f.write("\n".join(lines) + "\n")
     stream = read_rating_stream(spark, tmp)
