@@ -35,11 +35,12 @@ from .textblock import Block, blocks
 HIDDEN = 8
 SEGMENT = 96
 #: labelled rows per language, and bytes of each that are learned from
-SAMPLE = 400
+SAMPLE = 300
 SAMPLE_BYTES = 6 * SEGMENT
-EPOCHS = 24
-BATCH = 128
-RATE = 0.02
+#: updates, and segments of each
+UPDATES = 200
+BATCH = 384
+RATE = 0.03
 #: segments that run side by side
 LANES = 4096
 
@@ -151,17 +152,18 @@ def train(pieces: list[bytes], labels: np.ndarray, n_labels: int, seed: int = 0)
     start, end = off[:-1], off[1:]
     m = {n: np.zeros_like(v) for n, v in net.p.items()}
     v = {n: np.zeros_like(w) for n, w in net.p.items()}
-    step = 0
-    for epoch in range(EPOCHS):
-        rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS))
-        for some in np.array_split(rng.permutation(len(pieces)), max(1, len(pieces) // BATCH)):
-            x, mask = lanes(data, start[some], end[some])
-            step += 1
-            for n, g in net.gradients(x, mask, labels[some]).items():
-                m[n] += 0.1 * (g - m[n])
-                v[n] += 0.001 * (g * g - v[n])
-                net.p[n] -= rate * (m[n] / (1 - 0.9 ** step)) / (
-                    np.sqrt(v[n] / (1 - 0.999 ** step)) + 1e-6)
+    order = np.zeros(0, np.int64)
+    for step in range(1, UPDATES + 1):
+        while len(order) < BATCH:  # pass after pass over the segments
+            order = np.concatenate([order, rng.permutation(len(pieces))])
+        some, order = order[:BATCH], order[BATCH:]
+        x, mask = lanes(data, start[some], end[some])
+        rate = RATE * 0.5 * (1 + np.cos(np.pi * step / (UPDATES + 1)))
+        for n, g in net.gradients(x, mask, labels[some]).items():
+            m[n] += 0.1 * (g - m[n])
+            v[n] += 0.001 * (g * g - v[n])
+            net.p[n] -= rate * (m[n] / (1 - 0.9 ** step)) / (
+                np.sqrt(v[n] / (1 - 0.999 ** step)) + 1e-6)
     return net
 
 
