@@ -71,6 +71,28 @@ def join_back(big: DataFrame, small: DataFrame, key: str, size: str, spread: Col
     return out.select(*[F.col(c) for c in big.columns], *[F.col("_got")[c].alias(c) for c in vals])
 
 
+#: bits of the membership bitmap: 4 MB, whatever the data
+BITMAP_BITS = 1 << 25
+BITMAP_BUCKET = 1 << 15
+
+
+def maybe_in(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Rows of ``big`` whose key may be in ``small``: those whose hash is set
+    in a bitmap of fixed size, which is broadcast. No row whose key is in
+    ``small`` is lost; a few others stay, so an exact join still follows, but
+    few texts have to be shuffled for it."""
+    def place(df):
+        return df.withColumn("_h", F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))).withColumn(
+            "_bucket", F.expr(f"_h div {BITMAP_BUCKET}"))
+
+    bitmaps = place(small.select(key)).groupBy("_bucket").agg(
+        F.expr(f"bitmap_construct_agg(_h % {BITMAP_BUCKET})").alias("_bits"))
+    byte = f"conv(hex(substring(_bits, cast(_h % {BITMAP_BUCKET} div 8 as int) + 1, 1)), 16, 10)"
+    return (place(big).join(F.broadcast(bitmaps), "_bucket")
+            .filter(f"(shiftright(cast({byte} as int), cast(_h % 8 as int)) & 1) = 1")
+            .select(big.columns))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(id, component)`` with
     the smallest reachable id, by alternating large-star and small-star steps

@@ -6,26 +6,25 @@ A byte goes when a 400-byte string that covers it also starts anywhere else
 be many times the input, so only *anchors* are indexed: of the 201 starts of
 200-byte strings inside a 400-byte window, the one with the least fingerprint.
 Equal windows have the same anchor at the same offset, so two equal windows
-always meet at an anchor (about one per 100 bytes). An entry of the suffix
-array is ``(gram, ctx, n)``: the fingerprint of the anchored 200 bytes, the
-fingerprint of the whole stretch of windows that share the anchor (400 to 600
-bytes), and the number of places; entries are kept sorted by (gram, ctx), so
-equal suffixes are neighbours. (The order of suffixes is that of their
-fingerprints, not the alphabet; a merge scan needs equal ones side by side,
-nothing else.)
-
-Index family: every batch of documents gets its sorted array; while a level of
-the same rank is occupied, the two are merged into one of the next rank, as in
-a binary counter; the array that results is scanned, and merge-scanned against
-every level that stays, for grams and stretches met twice. So each entry is
-rewritten log2(batches) times.
-
-From the scans: a stretch met twice makes all of its windows repeats at once,
-and a window whose anchor has a gram met once is no repeat. What is left are
-anchors near the ends of repeats. Each of their windows holds one of ``CORES``
-longer strings around the anchor; windows whose core was met twice too, some
-tens at each end, are compared by their own fingerprint. Fingerprints have 64 bits (range sums of a byte polynomial,
-finalised); equal texts are first reduced to one, by SHA-256.
+always meet at an anchor (about one per 100 bytes). The suffix array of a batch
+is its sorted table of anchored 200-byte strings, as 64-bit fingerprints with
+the number of places. (The order of suffixes is that of their fingerprints, not
+the alphabet: a merge scan needs equal ones side by side, nothing else.)
+
+Index family: every batch of documents gets its array, a table bucketed and
+sorted by fingerprint. While a level of the same rank is occupied, the two are
+merged into one of the next rank, as in a binary counter, and the array that
+results is merge-scanned against every level that stays; both are sort-merge
+joins without a shuffle. So each entry is rewritten log2(batches) times.
+
+Windows that share an anchor are a range; it has a *core*, the bytes common to
+all windows the range can have, and a *whole*, the bytes from its first to its
+last window. A core met once means that no window of the range is a repeat; a
+whole met twice that all of them are. Anchors whose string the index has met
+twice start as ranges of up to 201 windows; ranges that are neither settled
+way, near the ends of repeats, are cut into ranges of 40, 5 and 1. Of wholes met
+twice one place stays in the game for others with the same core. Fingerprints have 64
+bits (range sums of a byte polynomial, finalised).
 
 Edge cases: null text counts as empty; texts under 400 bytes lose nothing;
 repeated rows are copies of each other and lose everything from 400 bytes on;
@@ -36,16 +35,18 @@ processed whole (memory in a task: about 60 bytes per byte of the longest).
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_back, materialize
-from .textblock import GOLDEN, U, Block, Prefix, blocks, column_bytes, lists, mix
+from ..session import drop_path, new_scratch_path
+from .common import join_back, materialize, maybe_in, width
+from .textblock import U, Block, Prefix, blocks, lists
 
 LENGTH = 400
 GRAM = 200
@@ -93,11 +94,11 @@ def anchors(block: Block, prefix: Prefix):
     return doc, at, lo, hi, gram[at], prefix.ranges(lo, hi + LENGTH)
 
 
-MARKS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.string()),
-                   ("n_bytes", pa.int64()), ("gram", pa.list_(pa.int64())),
-                   ("ctx", pa.list_(pa.int64()))])
-MARKS_DDL = ("uid long, doc_id long, sha string, n_bytes long, gram array<long>, "
-             "ctx array<long>")
+MARKS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.binary()),
+                   ("n_bytes", pa.int64()), ("core", pa.list_(pa.int64())),
+                   ("whole", pa.list_(pa.int64()))])
+MARKS_DDL = ("uid long, doc_id long, sha binary, n_bytes long, core array<long>, "
+             "whole array<long>")
 
 
 def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,270 +106,249 @@ def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     uid = TaskContext.get().partitionId() << 36
     for batch in batches:
         for block in blocks(batch.column("text")):
-            doc, _, _, _, gram, ctx = anchors(block, Prefix(block.data))
+            doc, _, _, _, core, whole = anchors(block, Prefix(block.data))
             counts = np.bincount(doc, minlength=block.n)
             yield pa.record_batch([
                 pa.array(np.arange(uid, uid + block.n)),
                 batch.column("doc_id").slice(block.row0, block.n),
                 batch.column("sha").slice(block.row0, block.n),
                 pa.array(np.diff(block.offsets)),
-                lists(gram.view(np.int64), counts, pa.int64()),
-                lists(ctx.view(np.int64), counts, pa.int64())], schema=MARKS)
+                lists(core.view(np.int64), counts, pa.int64()),
+                lists(whole.view(np.int64), counts, pa.int64())], schema=MARKS)
             uid += block.n
 
 
 class SuffixIndex:
-    """The levels; ``levels[k]`` holds 2^k batches or nothing."""
-
-    def __init__(self):
-        self.levels: list[DataFrame | None] = []
-        self.grams: list[DataFrame] = []
-        self.stretches: list[DataFrame] = []
-
-    @staticmethod
-    def sorted_array(entries: DataFrame, name: str) -> DataFrame:
-        return materialize(
-            entries.groupBy("gram", "ctx").agg(F.sum("n").alias("n"), F.min("uid").alias("uid"))
-            .sortWithinPartitions("gram", "ctx"), name)
-
-    def scan(self, array: DataFrame) -> None:
-        """Notes grams and stretches that the sorted array has twice."""
-        self.grams.append(materialize(
-            array.groupBy("gram").agg(F.sum("n").alias("n"), F.min("ctx").alias("lo"),
-                                      F.max("ctx").alias("hi"))
-            .filter("n >= 2").select("gram", F.expr("lo <> hi").alias("several")), "grams"))
-        self.stretches.append(materialize(
-            array.groupBy("gram", "ctx").agg(F.sum("n").alias("n"), F.min("uid").alias("uid"))
-            .filter("n >= 2").select("gram", "ctx", "uid"), "stretches"))
-
-    def add(self, entries: DataFrame) -> None:
-        """``entries(gram, ctx, n, uid)`` of a new batch."""
-        array, rank = self.sorted_array(entries, "array"), 0
+    """The levels: ``levels[k]`` is the table of 2^k batches, or nothing.
+
+    A level is a folder with a table ``(gram, n)``, bucketed and sorted by
+    ``gram``; merged levels are deleted."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int):
+        self.spark, self.path, self.buckets = spark, path, buckets
+        self.levels: list[str | None] = []
+        self.found: list[DataFrame] = []
+
+    def _store(self, rows: DataFrame) -> str:
+        name = "suffix_level_" + uuid.uuid4().hex[:12]
+        self.spark.sql(f"CREATE TABLE {name} (gram BIGINT, n BIGINT) USING parquet "
+                       f"CLUSTERED BY (gram) SORTED BY (gram) INTO {self.buckets} BUCKETS "
+                       f"LOCATION '{self.path}/tables/{name}'")
+        rows.select("gram", "n").write.insertInto(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        drop_path(self.spark, f"{self.path}/tables/{name}")
+
+    def _merge(self, a: str, b: str) -> str:
+        x, y = self.spark.table(a), self.spark.table(b).withColumnRenamed("n", "m")
+        out = self._store(x.join(y.hint("merge"), "gram", "full").select(
+            "gram", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n")))
+        self._drop(a)
+        self._drop(b)
+        return out
+
+    def add(self, grams: DataFrame) -> None:
+        """``grams(gram)`` of a new batch, one row per place."""
+        array, rank = self._store(grams.groupBy("gram").agg(F.count("*").alias("n"))), 0
         while rank < len(self.levels) and self.levels[rank] is not None:
-            array = self.sorted_array(array.unionByName(self.levels[rank]), "level")
+            array = self._merge(self.levels[rank], array)
             self.levels[rank] = None
             rank += 1
         if rank == len(self.levels):
             self.levels.append(None)
-        others = [x for x in self.levels if x is not None]
+        table = self.spark.table(array)
+        found = table.filter("n >= 2").select("gram")
+        for other in filter(None, self.levels):
+            found = found.unionByName(table.join(
+                self.spark.table(other).select("gram").hint("merge"), "gram").select("gram"))
         self.levels[rank] = array
-        self.scan(array)
-        for level in others:
-            self.scan(array.unionByName(level))
-
-    def repeated_grams(self) -> DataFrame:
-        out = self.grams[0]
-        for x in self.grams[1:]:
-            out = out.unionByName(x)
-        return out.groupBy("gram").agg(F.max("several").alias("several"))
+        self.found.append(materialize(found, "grams"))
 
-    def repeated_stretches(self) -> DataFrame:
-        """``gram, ctx, uid``: one row (``uid``) stands for all of them."""
-        out = self.stretches[0]
-        for x in self.stretches[1:]:
+    def repeated(self) -> DataFrame:
+        """Fingerprints met at two places or more so far."""
+        out = self.found[0]
+        for x in self.found[1:]:
             out = out.unionByName(x)
-        return out.groupBy("gram", "ctx").agg(F.min("uid").alias("uid"))
-
-
-#: what the scans say of an anchor
-MET, WHOLE, SPEAKS, SEVERAL = 1, 2, 4, 8
-
-#: a window that starts r bytes before its anchor holds core r // STEP: the
-#: CORE bytes from STEP * (r // STEP) before the anchor on
-CORES = 4
-STEP = (SPAN - 1) // CORES
-CORE = LENGTH - STEP
-
-
-def pair(gram: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-    return mix(gram.astype(U) + ctx.astype(U) * GOLDEN)
-
-
-class Known:
-    """The flags of a batch's anchors, from lists of (gram, ctx, flag)."""
-
-    def __init__(self, known: pa.ListArray):
-        self.off = np.concatenate(
-            ([0], np.cumsum(known.value_lengths().to_numpy(zero_copy_only=False))))
-        gram, ctx, self.flag = (x.to_numpy() for x in known.flatten().flatten())
-        self.key = pair(gram.view(U), ctx.view(U))
-
-    def of(self, block: Block, doc: np.ndarray, gram: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        """Flags of the block's anchors (0 where the gram was met once)."""
-        out, key = np.zeros(len(doc), np.int64), pair(gram, ctx)
-        first = np.searchsorted(doc, np.arange(block.n + 1))
-        for i in range(block.n):
-            a, b = self.off[block.row0 + i], self.off[block.row0 + i + 1]
-            if a == b or first[i] == first[i + 1]:
-                continue
-            order = np.argsort(self.key[a:b])
-            have, mine = self.key[a:b][order], key[first[i]:first[i + 1]]
-            k = np.minimum(np.searchsorted(have, mine), len(have) - 1)
-            out[first[i]:first[i + 1]] = np.where(have[k] == mine, self.flag[a:b][order][k], 0)
-        return out
-
-
-def asking(flag: np.ndarray) -> np.ndarray:
-    """Anchors with open windows, and one place of each repeated stretch that
-    such windows may equal."""
-    return ((flag & SEVERAL) > 0) & (((flag & WHOLE) == 0) | ((flag & SPEAKS) > 0))
-
-
-def core_spans(at: np.ndarray, lo: np.ndarray, hi: np.ndarray):
-    """``(anchor, core, first window, last window)`` of the cores in use."""
-    near = at[:, None] - STEP * np.arange(CORES)
-    far = np.maximum(near - STEP + 1, lo[:, None])
-    far[:, -1] = lo  # the last core also holds the farthest start
-    near = np.minimum(near, hi[:, None])
-    return *np.nonzero(far <= near), far[far <= near], near[far <= near]
-
-
-def core_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cores of the asking anchors: ``uid, hash[], slot[]``."""
-    for batch in batches:
-        known = Known(batch.column("known"))
-        for block in blocks(batch.column("text")):
-            prefix = Prefix(block.data)
-            doc, at, lo, hi, gram, ctx = anchors(block, prefix)
-            ask = np.flatnonzero(asking(known.of(block, doc, gram, ctx)))
-            a, core, _, _ = core_spans(at[ask], lo[ask], hi[ask])
-            start = at[ask][a] - STEP * core
-            owner = doc[ask][a]
-            first = np.searchsorted(doc, owner)
-            yield pa.record_batch([
-                batch.column("uid").slice(block.row0, block.n),
-                lists(prefix.ranges(start, start + CORE).view(np.int64),
-                      np.bincount(owner, minlength=block.n), pa.int64()),
-                lists((ask[a] - first) * CORES + core, np.bincount(owner, minlength=block.n),
-                      pa.int64())], names=["uid", "hash", "slot"])
-
-
-def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of the cores met twice: ``uid, hash[], at[]``."""
-    for batch in batches:
-        known = Known(batch.column("known"))
-        slots = batch.column("slots").to_pylist()
-        for block in blocks(batch.column("text")):
-            prefix = Prefix(block.data)
-            doc, at, lo, hi, gram, ctx = anchors(block, prefix)
-            ask = np.flatnonzero(asking(known.of(block, doc, gram, ctx)))
-            a, core, far, near = core_spans(at[ask], lo[ask], hi[ask])
-            first = np.searchsorted(doc, np.arange(block.n))
-            met = np.zeros(len(doc) * CORES, bool)
-            for i in range(block.n):
-                met[np.asarray(slots[block.row0 + i], np.int64) + first[i] * CORES] = True
-            use = met[ask[a] * CORES + core]
-            far, n = far[use], (near - far + 1)[use]
-            p = np.repeat(far - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            owner = np.searchsorted(block.offsets, p, "right") - 1
-            counts = np.bincount(owner, minlength=block.n)
-            yield pa.record_batch([
-                batch.column("uid").slice(block.row0, block.n),
-                lists(prefix.ranges(p, p + LENGTH).view(np.int64), counts, pa.int64()),
-                lists(p - block.offsets[owner], counts, pa.int64())], names=["uid", "hash", "at"])
-
-
-def stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows (first, last) of the stretches that are repeats as a whole."""
-    for batch in batches:
-        known = Known(batch.column("known"))
-        for block in blocks(batch.column("text")):
-            doc, _, lo, hi, gram, ctx = anchors(block, Prefix(block.data))
-            whole = (known.of(block, doc, gram, ctx) & WHOLE) > 0
-            base = block.offsets[doc[whole]]
-            counts = np.bincount(doc[whole], minlength=block.n)
-            yield pa.record_batch([
-                batch.column("uid").slice(block.row0, block.n),
-                lists(lo[whole] - base, counts, pa.int64()),
-                lists(hi[whole] - base, counts, pa.int64())], names=["uid", "lo", "hi"])
-
-
-VERDICT = pa.schema([("sha", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
+        return materialize(out.distinct(), "repeated-grams")
+
+    def close(self) -> None:
+        for name in filter(None, self.levels):
+            self._drop(name)
+
+
+#: sizes of the ranges that open ones are cut into, each a divisor of the last
+STEPS = (40, 5, 1)
+
+
+def cut_ranges(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int):
+    """Windows ``lo..hi`` (before their anchor ``at``) in groups by how far
+    before the anchor they start: ``(parent, far, near, nearest)``; a group's
+    possible windows start ``nearest - step + 1 .. nearest``."""
+    first, last = (at - hi) // step, (at - lo) // step
+    n = last - first + 1
+    parent = np.repeat(np.arange(len(at)), n)
+    group = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    nearest = at[parent] - group * step
+    return (parent, np.maximum(nearest - step + 1, lo[parent]),
+            np.minimum(nearest, hi[parent]), nearest)
+
+
+RANGES = ["uid", "core", "whole", "at", "lo", "hi"]
+RANGES_DDL = ("uid long, core array<long>, whole array<long>, at array<long>, "
+              "lo array<long>, hi array<long>")
+
+
+def flat(column: pa.ListArray, row0: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of ``n`` lists, and how many each has."""
+    part = column.slice(row0, n)
+    return (part.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
+            part.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+def open_ranges(step: int):
+    """Worker: cuts the asking anchors (first step) or ranges of each text into
+    ranges of ``step`` windows, with the fingerprints of core and whole."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                prefix = Prefix(block.data)
+                pick, counts = flat(batch.column("ask"), block.row0, block.n)
+                owner = np.repeat(np.arange(block.n), counts)
+                if step == STEPS[0]:
+                    doc, at, lo, hi, _, _ = anchors(block, prefix)
+                    rows = np.searchsorted(doc, owner) + pick
+                    at, lo, hi = at[rows], lo[rows], hi[rows]
+                else:
+                    (at, size), (lo, _), (hi, _) = (flat(batch.column(c), block.row0, block.n)
+                                                    for c in ("at", "lo", "hi"))
+                    rows = (np.cumsum(size) - size)[owner] + pick
+                    base = block.offsets[owner]
+                    at, lo, hi = at[rows] + base, lo[rows] + base, hi[rows] + base
+                parent, far, near, nearest = cut_ranges(at, lo, hi, step)
+                owner = owner[parent]
+                n, base = np.bincount(owner, minlength=block.n), block.offsets[owner]
+                core = prefix.ranges(nearest, nearest + LENGTH - step + 1)
+                whole = prefix.ranges(far, near + LENGTH)
+                yield pa.record_batch([
+                    batch.column("uid").slice(block.row0, block.n),
+                    lists(core.view(np.int64), n, pa.int64()),
+                    lists(whole.view(np.int64), n, pa.int64()),
+                    lists(at[parent] - base, n, pa.int64()), lists(far - base, n, pa.int64()),
+                    lists(near - base, n, pa.int64())], names=RANGES)
+    return run
+
+
+def exploded(ranges: DataFrame) -> DataFrame:
+    return ranges.select("uid", F.posexplode(F.arrays_zip("core", "whole")).alias("idx", "r")).select(
+        "uid", "idx", "r.core", "r.whole")
+
+
+def settle(rows: DataFrame) -> DataFrame:
+    """Of ranges ``(uid, idx, core, whole)``: by ``uid``, ``done`` (wholes met
+    twice) and ``ask`` (still open, or speaking for equal wholes)."""
+    kinds = materialize(rows.groupBy("core", "whole").agg(
+        F.count("*").alias("n"), F.min("uid").alias("speaker")), "kinds")
+    cores = materialize(kinds.groupBy("core").agg(
+        F.sum("n").alias("places"), F.count("*").alias("kinds"))
+        .filter("places >= 2").select("core", "kinds"), "cores")
+    met = materialize(kinds.join(cores.hint("merge"), "core"), "met")
+    ask = (F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("speaker") == F.col("uid")))
+    return (rows.join(met.hint("merge"), ["core", "whole"])
+            .withColumn("asks", ask).filter("asks or n >= 2").groupBy("uid").agg(
+                F.collect_list(F.when(F.col("n") >= 2, F.col("idx"))).alias("done"),
+                F.collect_list(F.when(F.col("asks"), F.col("idx"))).alias("ask")))
+
+
+VERDICT = pa.schema([("sha", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                      ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removes covered bytes. ``kept_text`` leaves out what a cut has left of a
+    """Removes the bytes of the repeated windows: those of the anchors
+    ``done``, and ``lo..hi``. ``kept_text`` leaves out what a cut has left of a
     character; the digest is that of the remaining bytes."""
     for batch in batches:
-        data, off = column_bytes(batch.column("text"))
-        spans = [batch.column(c).to_pylist() for c in ("lo", "hi")]
-        rows = []
-        for i, sha in enumerate(batch.column("sha").to_pylist()):
-            doc = data[off[i]:off[i + 1]]
-            depth = np.zeros(len(doc) + 1, np.int64)
-            np.add.at(depth, np.asarray(spans[0][i] or [], np.int64), 1)
-            np.add.at(depth, np.asarray(spans[1][i] or [], np.int64) + LENGTH, -1)
+        for block in blocks(batch.column("text")):
+            doc, _, lo, hi, _, _ = anchors(block, Prefix(block.data))
+            done, n_done = flat(batch.column("done"), block.row0, block.n)
+            rows = np.searchsorted(doc, np.repeat(np.arange(block.n), n_done)) + done
+            (more, n_more), (upto, _) = (flat(batch.column(c), block.row0, block.n)
+                                         for c in ("lo", "hi"))
+            base = np.repeat(block.offsets[:-1], n_more)
+            depth = np.zeros(len(block.data) + 1, np.int64)
+            np.add.at(depth, np.concatenate([lo[rows], more + base]), 1)
+            np.add.at(depth, np.concatenate([hi[rows], upto + base]) + LENGTH, -1)
             gone = np.cumsum(depth[:-1]) > 0
-            kept = doc[~gone].tobytes()
-            runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            rows.append((sha, int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(),
-                         kept.decode("utf-8", "ignore")))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, VERDICT, strict=True)],
-                              schema=VERDICT)
-
-
-def twice(probes: DataFrame, place: str, name: str) -> DataFrame:
-    """Of ``probes(uid, hash[], place[])``, by ``uid``, the places whose hash
-    occurs at two places or more."""
-    rows = probes.select("uid", F.explode(F.arrays_zip("hash", place)).alias("w")).select(
-        "uid", "w.hash", F.col(f"w.{place}").alias("_place"))
-    met = materialize(rows.groupBy("hash").count().filter("count >= 2").select("hash"), "met")
-    return rows.join(met.hint("merge"), "hash").groupBy("uid").agg(
-        F.collect_list("_place").alias(name))
+            out = []
+            for i in range(block.n):
+                a, b = block.offsets[i], block.offsets[i + 1]
+                part = gone[a:b]
+                kept = block.data[a:b][~part].tobytes()
+                runs = int(part[:1].sum() + (part[1:] & ~part[:-1]).sum())
+                out.append((int(part.sum()), runs, hashlib.sha256(kept).hexdigest(),
+                            kept.decode("utf-8", "ignore")))
+            cols = zip(*out, strict=True)
+            yield pa.record_batch(
+                [batch.column("sha").slice(block.row0, block.n),
+                 *[pa.array(c, f.type) for c, f in zip(cols, list(VERDICT)[1:], strict=True)]],
+                schema=VERDICT)
 
 
 def suffix_dedup(docs: DataFrame, batches: int = 4) -> tuple[DataFrame, DataFrame]:
     """``(marks, verdicts)``: a narrow row per document, and for each text that
     may lose bytes ``sha, n_removed, n_spans, kept_sha256, kept_text, copies``."""
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select(F.col("doc_id").cast("long"),
-                         F.sha2(text.cast("binary"), 256).alias("sha"), text.alias("text"))
+                         F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"),
+                         text.alias("text"))
     who = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     marks = materialize(source.mapInArrow(mark, MARKS_DDL), "marks")
-    reps = materialize(
-        marks.filter(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(
-            F.min("uid").alias("uid"), F.count("*").alias("copies"))
-        .join(marks.select("uid", "doc_id", "n_bytes", "gram", "ctx"), "uid"), "texts")
-    entries = reps.select("uid", "sha", "copies",
-                          F.explode(F.arrays_zip("gram", "ctx")).alias("a")).select(
-        "uid", "sha", F.col("copies").alias("n"), "a.gram", "a.ctx")
-    index = SuffixIndex()
+    entries = exploded(marks)
+    index = SuffixIndex(spark, new_scratch_path(spark, "suffix-index"), width(spark))
     for k in range(batches):
-        index.add(entries.filter(F.pmod(F.xxhash64("sha"), F.lit(batches)) == k)
-                  .select("gram", "ctx", "n", "uid"))
-    grams = materialize(index.repeated_grams(), "repeated-grams")
-    stretches = materialize(index.repeated_stretches().withColumnRenamed("uid", "speaker"),
-                            "repeated-stretches")
-    flagged = (entries.select("uid", "gram", "ctx").join(grams.hint("merge"), "gram")
-               .join(stretches.hint("merge"), ["gram", "ctx"], "left"))
-    flag = (F.lit(MET) + F.when(F.col("speaker").isNotNull(), WHOLE).otherwise(0)
-            + F.when(F.col("speaker") == F.col("uid"), SPEAKS).otherwise(0)
-            + F.when(F.col("several"), SEVERAL).otherwise(0))
-    known = materialize(
-        flagged.groupBy("uid").agg(F.collect_list(F.struct(
-            "gram", "ctx", flag.cast("long").alias("flag"))).alias("known")), "known")
+        batch = entries.filter(F.pmod(F.xxhash64("uid"), F.lit(batches)) == k)
+        index.add(batch.select(F.col("core").alias("gram")))
+    grams = index.repeated().withColumnRenamed("gram", "core")
+    index.close()
+    near = materialize(maybe_in(entries, grams, "core").join(grams.hint("merge"), "core",
+                                                             "left_semi"), "near")
+    copies = materialize(marks.filter(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(
+        F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes")).filter("copies > 1"),
+        "copies")
+    # a text that has copies goes as a whole: it is read again only to speak
+    state = settle(near).join(marks.select("uid", who.alias("who"), "sha"), "uid")
+    state = materialize(
+        state.join(copies.select("sha", "copies"), "sha", "left")
+        .withColumn("copies", F.coalesce("copies", F.lit(1)))
+        .filter("copies = 1 or size(ask) > 0"), "state")
     asked = materialize(
-        known.join(reps.select("uid", who.alias("who"), "sha", "copies"), "uid")
-        .join(source.select(who.alias("who"), "sha", "text").hint("merge"), ["who", "sha"]).select(
-            "uid", "sha", "copies", "known", "text"), "asked")
-    cores = twice(materialize(asked.select("uid", "known", "text").mapInArrow(
-        core_rows, "uid long, hash array<long>, slot array<long>"), "cores"), "slot", "slots")
-    hits = twice(materialize(
-        asked.select("uid", "known", "text").join(materialize(cores, "repeated-cores"), "uid")
-        .select("known", "text", "uid", "slots")
-        .mapInArrow(window_rows, "uid long, hash array<long>, at array<long>"), "windows"),
-        "at", "at")
-    whole = asked.select("uid", "known", "text").mapInArrow(
-        stretch_rows, "uid long, lo array<long>, hi array<long>")
-    spans = (whole.join(hits, "uid", "left").select(
-        "uid", F.concat("lo", F.coalesce("at", F.array().cast("array<long>"))).alias("lo"),
-        F.concat("hi", F.coalesce("at", F.array().cast("array<long>"))).alias("hi")))
-    once = asked.filter("copies = 1").select("uid", "sha", "text").join(spans, "uid")
-    cuts = once.select("sha", "text", "lo", "hi").mapInArrow(
-        cut, "sha string, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    copied = reps.filter("copies > 1").select(
+        state.join(maybe_in(source.select(who.alias("who"), "sha", "text"), state, "sha")
+                   .hint("merge"), ["who", "sha"])
+        .select("uid", "sha", "copies", "done", "ask", "text"), "asked")
+    spans, texts = [], asked.filter("size(ask) > 0").select("uid", "ask", "text")
+    for step in STEPS:
+        ranges = materialize(texts.mapInArrow(open_ranges(step), RANGES_DDL), "ranges")
+        answer = materialize(settle(exploded(ranges)), "answer")
+        both = ranges.join(answer, "uid")
+        spans.append(both.select("uid", *[F.expr(f"transform(done, i -> get({c}, i))").alias(c)
+                                          for c in ("lo", "hi")]))
+        texts = (both.filter("size(ask) > 0").select("uid", "ask", "at", "lo", "hi")
+                 .join(asked.select("uid", "text"), "uid"))
+    found = spans[0]
+    for x in spans[1:]:
+        found = found.unionByName(x)
+    found = found.groupBy("uid").agg(F.flatten(F.collect_list("lo")).alias("lo"),
+                                     F.flatten(F.collect_list("hi")).alias("hi"))
+    none = F.array().cast("array<long>")
+    cuts = (asked.filter("copies = 1").join(found, "uid", "left")
+            .select("sha", "text", "done", F.coalesce("lo", none).alias("lo"),
+                    F.coalesce("hi", none).alias("hi"))
+            .mapInArrow(cut, "sha binary, n_removed long, n_spans long, kept_sha256 string, "
+                             "kept_text string"))
+    copied = copies.select(
         "sha", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
         F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit("").alias("kept_text"),
         "copies")
@@ -383,7 +363,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
                     F.col("uid"), "left")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
                       F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-                      F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+                      F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256"))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -392,8 +372,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     _, verdicts = suffix_dedup(docs.select("doc_id", "text"))
     small = materialize(verdicts.filter("n_removed > 0").select("sha", "kept_text", "copies"),
                         "verdicts")
-    packed = docs.select(F.struct("*").alias("doc"), F.sha2(
-        F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    packed = docs.select(F.struct("*").alias("doc"), F.unhex(F.sha2(
+        F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("sha"))
     out = join_back(packed, small, "sha", "copies", F.col("doc.doc_id"), "left")
     text = F.when(F.col("kept_text").isNull(), F.col("doc.text")).otherwise(F.col("kept_text"))
     made = {"text": text}
