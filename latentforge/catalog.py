@@ -848,9 +848,10 @@ GROUP BY t.item_id, a.k, b.k"""
 
 @query("als_gram", _gram_sql(GRAM_K))
 def q_als_gram(spark, sf):
-    train, _ = _split(spark, sf)
-    users = fac.init_factors(train.select("user_id").distinct(), "user_id", "u", GRAM_K,
-                             seed=SEED, noise=NOISE)
+    train, _ = _stored_split(spark, sf)
+    users = write_table(fac.init_factors(train.select("user_id").distinct(), "user_id", "u",
+                                         GRAM_K, seed=SEED, noise=NOISE),
+                        new_scratch_path(spark, "factors"))
     ne = als_plan.normal_equations(train, users, "item_id", GRAM_K, CHECK_PARAMS.lam)
     z = ne.select(F.col("id").alias("item_id"), F.posexplode("gram").alias("p", "value"))
     return z.select("item_id", (F.col("p") / GRAM_K).cast("int").alias("k1"),
@@ -867,9 +868,10 @@ FROM train t JOIN uf u ON u.id = t.user_id GROUP BY t.item_id"""
 
 @query("als_half_step", _half_step_sql())
 def q_als_half_step(spark, sf):
-    train, _ = _split(spark, sf)
-    users = fac.init_factors(train.select("user_id").distinct(), "user_id", "u", 1,
-                             seed=SEED, noise=NOISE)
+    train, _ = _stored_split(spark, sf)
+    users = write_table(fac.init_factors(train.select("user_id").distinct(), "user_id", "u", 1,
+                                         seed=SEED, noise=NOISE),
+                        new_scratch_path(spark, "factors"))
     x = als_plan.als_half_step(train, users, "item_id", 1, CHECK_PARAMS.lam)
     return x.select("id", r6(F.element_at("factors", 1)).alias("value"))
 
@@ -1022,13 +1024,13 @@ FROM i, u"""
 
 @query("rmse_dense", _dense_sql())
 def q_rmse_dense(spark, sf):
-    train, _ = _split(spark, sf)
+    train, _ = _stored_split(spark, sf)
     uf, itf = _init_side(train, "u"), _init_side(train, "i")
     ut = synth.planted_factors(train.select("user_id").distinct(), "user_id", "u",
                                SYNTH_RANK, SEED)
     it = synth.planted_factors(train.select("item_id").distinct(), "item_id", "m",
                                SYNTH_RANK, SEED)
-    r = ev.rmse_dense(uf, itf, ut, it)
+    r = ev.rmse_dense(uf, itf, ut, it, width=K_CHECK + SYNTH_RANK)
     return r.withColumn("rmse", r6(F.col("rmse")))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import prefix_sums
-from ..functions.vectors import dot
+from ..functions.vectors import at, dot
 from ..operators.joins import join_factors
 
 
@@ -88,21 +88,24 @@ def rmse_pairs(pairs: DataFrame, truth: DataFrame, user_f: DataFrame, item_f: Da
          .alias("rmse"))
 
 
-def _gram(side: DataFrame, vec_col: str, prefix: str) -> DataFrame:
-    """Σ over rows of v vᵀ as (k1, k2, g); partial sums per task."""
-    e = side.select(F.posexplode(vec_col).alias("k1", "a"), F.col(vec_col).alias("_v"))
-    e = e.select("k1", "a", F.posexplode("_v").alias("k2", "b"))
-    return e.groupBy("k1", "k2").agg(F.sum(F.col("a") * F.col("b")).alias(prefix))
+def _gram(side: DataFrame, width: int) -> DataFrame:
+    """One row: ``n`` and ``g``, the upper triangle of Σ v vᵀ over the rows;
+    fixed-width sums, one partial row per task."""
+    v = F.col("v")
+    return side.agg(F.count(F.lit(1)).alias("n"), F.array(*[
+        F.coalesce(F.sum(at(v, a) * at(v, b)), F.lit(0.0))
+        for a in range(width) for b in range(a, width)]).alias("g"))
 
 
 def rmse_dense(user_f: DataFrame, item_f: DataFrame, user_t: DataFrame,
-               item_t: DataFrame) -> DataFrame:
+               item_t: DataFrame, *, width: int | None = None) -> DataFrame:
     """RMSE of M·Uᵀ against the planted M₀·U₀ᵀ over every (item, user) cell.
 
     No cell is enumerated: with A = [M, M₀] and B = [U, −U₀],
     Σ_ij (m_i·u_j − m0_i·u0_j)² = ‖A Bᵀ‖² = Σ_kl (AᵀA)_kl (BᵀB)_kl,
-    two Gram matrices of size (K+R)² built by grouped sums.
-    Inputs are (id, factors) tables; the two sides must share their ids.
+    two Gram matrices of ``width``² cells (K + R, read from a row if not given),
+    each one row. Inputs are (id, factors) tables; the two sides must share
+    their ids.
     """
     a = item_f.select("id", F.col("factors").alias("m")).join(
         item_t.select("id", F.col("factors").alias("m0")), "id")
@@ -110,18 +113,18 @@ def rmse_dense(user_f: DataFrame, item_f: DataFrame, user_t: DataFrame,
         user_t.select("id", F.col("factors").alias("u0")), "id")
     a = a.select(F.concat("m", "m0").alias("v"))
     b = b.select(F.concat("u", F.transform("u0", lambda x: -x)).alias("v"))
-    ga = _gram(a, "v", "ga")
-    gb = _gram(b, "v", "gb")
-    # One union, one aggregate: the squared error and both side counts.
-    parts = (ga.join(gb, ["k1", "k2"]).select(F.lit("sse").alias("t"),
-                                              (F.col("ga") * F.col("gb")).alias("v"))
-               .unionByName(a.select(F.lit("items").alias("t"), F.lit(1.0).alias("v")))
-               .unionByName(b.select(F.lit("users").alias("t"), F.lit(1.0).alias("v"))))
-    tot = parts.agg(*[F.sum(F.when(F.col("t") == n, F.col("v")).otherwise(0.0)).alias(n)
-                      for n in ("sse", "items", "users")])
-    return tot.select(F.col("items").cast("long").alias("n_items"),
-                      F.col("users").cast("long").alias("n_users"),
-                      F.sqrt(F.col("sse") / (F.col("items") * F.col("users"))).alias("rmse"))
+    if width is None:
+        first = a.first()
+        width = len(first["v"]) if first else 0
+    ga, gb = _gram(a, width), _gram(b, width).withColumnsRenamed({"n": "m", "g": "h"})
+    # off the diagonal a cell stands for two
+    twice = F.array(*[F.lit(1.0 if x == y else 2.0) for x in range(width)
+                      for y in range(x, width)])
+    sse = F.aggregate(F.zip_with(F.zip_with("g", "h", lambda x, y: x * y), twice,
+                                 lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
+    return ga.crossJoin(F.broadcast(gb)).select(
+        F.col("n").alias("n_items"), F.col("m").alias("n_users"),
+        F.sqrt(sse / (F.col("n") * F.col("m"))).alias("rmse"))
 
 
 def prediction_listing(scored: DataFrame) -> DataFrame:

@@ -26,12 +26,22 @@ def test_scan_is_pruned(spark):
 def test_no_cartesian_anywhere_in_checked_queries(spark):
     for name in catalog.SQL:
         if name in ("read_ratings", "read_items", "read_book_ratings", "reject_counts",
-                    "explicit_ratings", "encode_items"):
-            continue  # these write a fixture file first
+                    "sweep", "best_config", "rmse_trace", "sgd_trace") or name.startswith(
+                        ("fit_", "als_sweep", "als_loop")):
+            continue  # these write a fixture file or fit a model first
         p = _plan(catalog.QUERIES[name](spark, SF_SMALL))
         assert "CartesianProduct" not in p, name
 
 
+def test_ratings_are_joined_once_per_query(spark):
+    """The gradient and the error read the stored ratings once."""
+    for name in ("gradient_step", "rmse"):
+        p = _plan(catalog.QUERIES[name](spark, SF_SMALL))
+        assert "lineitem" not in p, name   # the split is stored
+        # ratings once, the mean's subquery, one scan per factor table
+        assert p.count("FileScan") <= 6, (name, p.count("FileScan"))
+
+
 def test_user_filter_is_pushed_into_the_scan(spark):
     from latentforge.operators import prep
     from latentforge.sources import tables
