@@ -174,10 +174,12 @@ def lexicon_encoder(lexicon: Transducer, tok) -> WordEncoder:
         number = lexicon.find(data, off)
         unseen = np.flatnonzero(number < 0)
         merged = iter(merge([words[i] for i in unseen.tolist()]))
-        return [next(merged) if k < 0 else lexicon.ids[lexicon.id_off[k]:lexicon.id_off[k + 1]]
-                for k in number.tolist()]
+        return [next(merged) if k < 0 else known[k] for k in number.tolist()]
 
-    return WordEncoder(encode, pieces=lambda i: tok.id_to_token(int(i)) or "")
+    flat, off = lexicon.ids.tolist(), lexicon.id_off.tolist()
+    known = [flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+    shown = [(tok.id_to_token(i) or "") + " " for i in range(tok.get_vocab_size())]
+    return WordEncoder(encode, pieces=shown.__getitem__)
 
 
 def transduced(docs: DataFrame, tokenizer: str, limit: int = LEXICON) -> DataFrame:

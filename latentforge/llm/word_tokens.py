@@ -10,9 +10,13 @@ forgets all of it when they pass ``MAX_WORDS`` (bounded memory, same results).
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from .textblock import Block, Prefix
 
@@ -28,8 +32,75 @@ def load_tokenizer(path: str):
     return tok
 
 
+#: fixed values: the pre-tokenizer's pattern in the file, the same pattern for
+#: lower-case words of printable ASCII and Latin-1 letters, and those words
+FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PLAIN_WORD = re.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
+MAX_RUNS = 200_000
+
+
+def byte_symbols() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: itself
+    where it is printable, else the next code point from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    out, extra = [], 256
+    for b in range(256):
+        out.append(chr(b if b in shown else extra))
+        extra += b not in shown
+    return out
+
+
+def has_plain_rules(tok) -> bool:
+    """Whether the file normalises and splits as ``PLAIN_PATTERN`` assumes."""
+    d = json.loads(tok.to_str())
+    steps = [n.get("type") for n in (d.get("normalizer") or {}).get("normalizers", [])]
+    parts = (d.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (steps == ["NFC", "Replace", "Lowercase"]
+            and [x.get("type") for x in parts] == ["Split", "ByteLevel"]
+            and parts[0].get("pattern") == {"Regex": FILE_PATTERN}
+            and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
+            and all(t["content"].startswith("<|") for t in d.get("added_tokens", [])))
+
+
 def library_ids(tok) -> Callable[[Sequence[str]], list[list[int]]]:
-    return lambda words: [e.ids for e in tok.encode_batch(list(words), add_special_tokens=False)]
+    """Ids of words as the tokenizer gives them.
+
+    Words of printable ASCII and Latin-1 letters are split here by the file's
+    own rules, and their runs are merged by the tokenizer's model, each run
+    once; every other word goes through the whole tokenizer."""
+    def whole(words):
+        return [e.ids for e in tok.encode_batch(list(words), add_special_tokens=False)]
+
+    if not has_plain_rules(tok):
+        return whole
+    symbol = {i: c for i, c in enumerate(byte_symbols())}
+    model, runs = tok.model, {}
+
+    def merged(run: str) -> list[int]:
+        got = runs.get(run)
+        if got is None:
+            if len(runs) >= MAX_RUNS:
+                runs.clear()
+            text = run if run.isascii() else run.encode("utf-8").decode("latin-1").translate(symbol)
+            got = runs[run] = [t.id for t in model.tokenize(text)]
+        return got
+
+    def encode(words):
+        out, odd = [], []
+        for i, w in enumerate(words):
+            if PLAIN_WORD.fullmatch(w) and "<|" not in w:
+                found = PLAIN_PATTERN.findall(w.lower())
+                out.append(merged(found[0]) if len(found) == 1
+                           else [x for run in found for x in merged(run)])
+            else:
+                out.append(None)
+                odd.append(i)
+        for i, ids in zip(odd, whole([words[i] for i in odd]) if odd else (), strict=True):
+            out[i] = ids
+        return out
+
+    return encode
 
 
 class Flat:
@@ -39,9 +110,9 @@ class Flat:
         self.values, self.used = np.zeros(1 << 16, dtype), 0
         self.start, self.length, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
 
-    def extend(self, items: Sequence[np.ndarray]) -> None:
-        lens = np.fromiter((len(x) for x in items), np.int64, len(items))
-        need, rows = self.used + int(lens.sum()), self.n + len(items)
+    def extend(self, values: np.ndarray, lens: np.ndarray) -> None:
+        """Adds strings: their values end to end, and their lengths."""
+        need, rows = self.used + len(values), self.n + len(lens)
         if need > len(self.values):
             self.values = np.concatenate([self.values[:self.used],
                                           np.zeros(2 * need - self.used, self.values.dtype)])
@@ -49,8 +120,7 @@ class Flat:
             grow = np.zeros(2 * rows - self.n, np.int64)
             self.start = np.concatenate([self.start[:self.n], grow])
             self.length = np.concatenate([self.length[:self.n], grow])
-        if len(items):
-            self.values[self.used:need] = np.concatenate(items)
+        self.values[self.used:need] = values
         self.start[self.n:rows] = self.used + np.cumsum(lens) - lens
         self.length[self.n:rows] = lens
         self.used, self.n = need, rows
@@ -64,8 +134,18 @@ class Flat:
         return self.values[at], lens
 
 
+def words_at(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+    """The byte ranges as strings."""
+    off = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(end - start, out=off[1:])
+    at = np.repeat(start - off[:-1], end - start) + np.arange(off[-1])
+    return pa.Array.from_buffers(pa.string(), len(start), [
+        None, pa.py_buffer(off), pa.py_buffer(data[at])]).to_pylist()
+
+
 class WordEncoder:
-    """Ids (and, where ``pieces`` is given, decoded text) of blocks."""
+    """Ids of blocks, and decoded text where ``pieces`` gives what each id
+    adds to it."""
 
     def __init__(self, encode: Callable[[Sequence[str]], list[list[int]]],
                  pieces: Callable[[int], str] | None = None):
@@ -86,17 +166,15 @@ class WordEncoder:
         listed = keys.tolist()
         fresh = [i for i, k in enumerate(listed) if k not in self.slot]
         if fresh:
-            at = index[fresh]
-            raw = block.data
-            words = [raw[a:b].tobytes().decode("utf-8")
-                     for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-            got = self.encode(words)
-            for i in fresh:
-                self.slot[listed[i]] = len(self.slot)
-            self.ids.extend([np.asarray(x, np.uint32) for x in got])
+            got = self.encode(words_at(block.data, start[index[fresh]], end[index[fresh]]))
+            n = len(self.slot)
+            self.slot.update(zip([listed[i] for i in fresh], range(n, n + len(fresh)), strict=True))
+            lens = np.fromiter(map(len, got), np.int64, len(got))
+            self.ids.extend(np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())), lens)
             if self.pieces is not None:
-                self.text.extend([np.frombuffer("".join(
-                    self.pieces(i) + " " for i in x).encode("utf-8"), np.uint8) for x in got])
+                texts = ["".join([self.pieces(i) for i in x]).encode("utf-8") for x in got]
+                self.text.extend(np.frombuffer(b"".join(texts), np.uint8),
+                                 np.fromiter(map(len, texts), np.int64, len(texts)))
         rows = np.fromiter((self.slot[k] for k in listed), np.int64, len(listed))
         return rows[inverse], first
 

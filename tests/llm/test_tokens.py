@@ -59,6 +59,15 @@ def test_word_encoder_on_any_text(text):
         ids_of(text), skip_special_tokens=False)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abzAZéÉßÿÿþÞ×÷ªº²'sStrevmld09.,<|>!-#\xad\xa1ŸΣİ"),
+               min_size=1, max_size=12))
+def test_plain_words_as_the_library(word):
+    from latentforge.llm.word_tokens import has_plain_rules, library_ids
+    assert has_plain_rules(TOK)
+    assert library_ids(TOK)([word, word.upper()]) == [ids_of(word), ids_of(word.upper())]
+
+
 def test_transducer_is_minimal_and_numbers_words():
     words = sorted({a + b for a in ("walk", "talk", "jump", "") for b in ("", "ed", "ing", "s", "er")} - {""})
     t = lexicon.Transducer.compile(words, [[i, i + 1] for i in range(len(words))])
