@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_back, materialize
+from .common import components, join_back, materialize, maybe_in
 from .textblock import U, GOLDEN, Block, Prefix, blocks, lists, mix, seeds
 
 SHINGLE = 5
@@ -221,9 +221,10 @@ def candidates(classes: DataFrame) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Confirmed links ``(a, b)`` that span the components."""
     met = materialize(candidates(classes), "candidates")
-    wanted = met.select("id").unionByName(met.select(F.col("centre").alias("id"))).distinct()
-    texts = (docs.select(F.col("doc_id").cast("long"), "text")
-             .join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
+    wanted = (met.select(F.col("id").alias("doc_id"))
+              .unionByName(met.select(F.col("centre").alias("doc_id"))).distinct())
+    texts = maybe_in(docs.select(F.col("doc_id").cast("long"), "text"), wanted,
+                     "doc_id").join(wanted.hint("merge"), "doc_id")
     sets = materialize(texts.mapInArrow(sets_of, "id long, shingles array<long>")
                        .filter(F.size("shingles") > 0), "sets")
     sizes = classes.groupBy("id").agg(F.max("n_shingles").alias("n"))
