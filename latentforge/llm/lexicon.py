@@ -1,10 +1,10 @@
 """BPE encoding through a minimal acyclic transducer of frequent words.
 
 The words with at least a ``LEXICON``-th of all occurrences (at most ``LEXICON``
-words, then) are compiled, with their ids as outputs, into an automaton that shares prefixes and suffixes: each
-transition carries how many words come before those that pass it, so the sum
-along a word's path is its number in the lexicon, and that number indexes its
-ids. The automaton is a few flat arrays (sorted transition keys, targets,
+words, then) are compiled, with their ids as outputs, into an automaton that
+shares prefixes and suffixes: each transition carries how many words come before
+those that pass it, so the sum along a word's path is its number in the lexicon,
+and that number indexes its ids. The automaton is a few flat arrays (sorted transition keys, targets,
 sums), written to one file that a worker maps into memory; a block's distinct
 words walk it in lock step by binary search. Words it does not know are merged
 exactly by the tokenizer itself. Decoding joins the tokens of the ids.

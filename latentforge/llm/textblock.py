@@ -29,7 +29,6 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
-SAME = np.arange(256, dtype=np.uint8)
 
 
 def times_golden(n: int) -> np.uint64:
@@ -114,9 +113,6 @@ class Block:
         s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
         return s, e, np.searchsorted(s, self.offsets)
 
-    def text(self, i: int) -> bytes:
-        return self.data[self.offsets[i]:self.offsets[i + 1]].tobytes()
-
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; null counts as empty."""
