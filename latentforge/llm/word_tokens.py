@@ -20,7 +20,7 @@ import pyarrow as pa
 
 from .textblock import Block, Prefix
 
-MAX_WORDS = 900_000
+MAX_WORDS = 500_000
 
 
 def load_tokenizer(path: str):
@@ -37,7 +37,7 @@ def load_tokenizer(path: str):
 FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 PLAIN_WORD = re.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
-MAX_RUNS = 300_000
+MAX_RUNS = 150_000
 
 
 def byte_symbols() -> list[str]:
