@@ -48,6 +48,11 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(library_ids(load_tokenizer(path)))
 
 
+def id_width(path: str) -> int:
+    """Bytes of a stored id: 2 where the vocabulary fits, else 4."""
+    return 2 if load_tokenizer(path).get_vocab_size() <= 1 << 16 else 4
+
+
 def document_ids(batches: Iterator[pa.RecordBatch], path: str):
     """``(batch, block, ids, offsets)`` per block; every document ends in END_ID."""
     enc = encoder(path)
@@ -63,8 +68,8 @@ def document_ids(batches: Iterator[pa.RecordBatch], path: str):
 
 
 def pieces(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
-    """``uid, doc_id, piece, start, length, ids_crc32`` (and ``ids``, 32-bit
-    little-endian) of ``docs(doc_id, text)``; ``uid`` numbers the documents, and
+    """``uid, doc_id, piece, start, length, ids_crc32`` (and ``ids``,
+    little-endian, ``id_width`` bytes each) of ``docs(doc_id, text)``; ``uid`` numbers the documents, and
     ``alone`` (below 0) is the sequence that a full piece is by itself."""
     fields = [("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()),
               ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -74,7 +79,7 @@ def pieces(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
     if with_ids:
         fields.append(("ids", pa.binary()))
         ddl += ", ids binary"
-    schema = pa.schema(fields)
+    schema, width = pa.schema(fields), id_width(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 36
@@ -95,7 +100,9 @@ def pieces(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
                                       0))]
             alone -= int((hi - lo == CAPACITY).sum())
             if with_ids:
-                cols.append(pa.array([bytes(raw[a:b]) for a, b in spans], pa.binary()))
+                small = memoryview(ids.astype(f"<u{width}").view(np.uint8))
+                cols.append(pa.array([bytes(small[a * width // 4:b * width // 4])
+                                      for a, b in spans], pa.binary()))
             yield pa.record_batch(cols, schema=schema)
             uid += block.n
 
@@ -234,7 +241,7 @@ def packed_matrices(docs: DataFrame, tokenizer: str) -> DataFrame:
     seq = rows.groupBy("sequence_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
     return seq.select(
         "sequence_id", F.expr("aggregate(s, 0L, (n, x) -> n + x.length)").alias("n_tokens"),
-        F.expr(f"rpad(aggregate(s.ids, X'', (a, x) -> concat(a, x)), {4 * CAPACITY}, X'00')")
+        F.expr(f"rpad(aggregate(s.ids, X'', (a, x) -> concat(a, x)), {id_width(tokenizer) * CAPACITY}, X'00')")
         .alias("ids"),
         F.expr("concat(array(0L), transform(s, x -> x.offset + x.length))").alias("cu_seqlens"),
         F.expr("transform(filter(s, x -> x.start = 0), x -> x.offset)").alias("position_resets"),

@@ -125,7 +125,7 @@ def test_matrices_round_trip(spark):
                   for r in rows for k in range(0, len(ids_of(r[1])) + 1, 4096))
     found = []
     for r in got:
-        ids = np.frombuffer(r.ids, "<u4")
+        ids = np.frombuffer(r.ids, f"<u{packing.id_width(PATH)}").astype("<u4")
         assert len(ids) == 4096 and r.cu_seqlens[-1] == r.n_tokens and not ids[r.n_tokens:].any()
         for a, b, start in zip(r.cu_seqlens[:-1], r.cu_seqlens[1:], r.starts, strict=True):
             found.append(zlib.crc32(ids[a:b].tobytes()))
