@@ -19,7 +19,7 @@ def test_imports_without_the_llm_subpackage():
     """Taken out as a whole, it leaves the other queries as they are."""
     import subprocess
     import sys
-    code = ("import sys; sys.modules['latentforge.llm'] = None; import __spark_entry__ as e; "
+    code = ("import sys; sys.modules['corpus_pipeline'] = sys.modules['latentforge.llm'] = None; import __spark_entry__ as e; "
             "q = e.queries(); assert 'rmse' in q and 'pipeline' not in q; "
             "assert set(e.oracle_sql()) <= set(q)")
     subprocess.run([sys.executable, "-c", code], check=True, cwd=E.__file__.rpartition("/")[0])
