@@ -10,8 +10,9 @@ multiset of word bigrams with each template:
 A template of m bigrams can only reach ``THRESHOLD`` t with a passage of n
 bigrams where m t / (2 - t) <= n <= m (2 - t) / t; templates are sorted by
 size, so a passage is compared with the few in that range, and passages longer
-than every template's bound with none. The templates are a small table given
-by the caller; the registered query uses short published licence notices.
+than every template's bound with none. The templates are a table given by the
+caller, with one text or several per licence; the registered query uses that of
+``licence_templates``: whole licence texts, standard headers and short forms.
 
 Edge cases: null and empty texts have no match; passages and templates of one
 word have the word itself as their only item; ties take the first template by
@@ -30,30 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .licence_templates import NOTICES, TEMPLATES
+
 THRESHOLD = 0.8
 WORDS = re.compile(r"[^\W_]+")
 
-#: fixed values: usual short notices of published licences
-NOTICES = {
-    "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without "
-                    "modification, are permitted.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 "
-                 "International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 "
-                    "International License.",
-    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and "
-               "related rights to this work.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, "
-               "v. 2.0.",
-    "proprietary": "All rights reserved.",
-}
-
 
 def bigrams(text: str) -> Counter:
     words = WORDS.findall(text.lower())
@@ -65,8 +47,9 @@ def bigrams(text: str) -> Counter:
 class Templates:
     """Templates in order of size."""
 
-    def __init__(self, texts: dict[str, str], threshold: float = THRESHOLD):
-        rows = [(sum(b.values()), name, b) for name, t in texts.items() if (b := bigrams(t))]
+    def __init__(self, texts: dict[str, str | tuple[str, ...]], threshold: float = THRESHOLD):
+        rows = [(sum(b.values()), name, b) for name, forms in texts.items()
+                for t in ((forms,) if isinstance(forms, str) else forms) if (b := bigrams(t))]
         self.rows = sorted(rows, key=lambda r: (r[0], r[1]))
         self.sizes, self.threshold = [r[0] for r in self.rows], threshold
         self.longest = int(max(self.sizes, default=0) * (2 - threshold) / threshold)
@@ -119,11 +102,11 @@ def scan_text(text: str, templates: Templates) -> list[tuple[int, int, str, floa
 MATCHES = "array<struct<start:int,end:int,licence:string,dice:double>>"
 
 
-def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None,
+def scan_licences(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = None,
                   threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, n_matches, licences`` (sorted names), ``best_dice`` (null
     without a match) and ``matches`` (character spans) per document."""
-    chosen = templates if templates is not None else NOTICES
+    chosen = templates if templates is not None else TEMPLATES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(chosen, threshold)

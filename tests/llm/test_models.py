@@ -227,3 +227,25 @@ def test_licence_scan(spark):
     assert names == {1: ["MIT"], 4: ["GPL-3.0"], 5: ["Apache-2.0"], 7: ["MIT", "proprietary"]}
     assert all(r.best_dice is None for r in got if not r.n_matches)
     assert licences.scan_licences(empty(spark)).count() == 0
+
+
+def test_licences_that_no_fixture_has(spark):
+    """Bodies, headers, short forms, the Creative Commons family."""
+    isc = licences.TEMPLATES["ISC"][-1]
+    epl = licences.TEMPLATES["EPL-1.0"][-1]
+    texts = {
+        "MIT": licences.TEMPLATES["MIT"][-1], "ISC": "Copyright 2020 X\n\n" + isc,
+        "EPL-1.0": epl.replace("Contributor", "Author"), "EPL-2.0": "Eclipse Public License - v 2.0",
+        "Unlicense": licences.TEMPLATES["Unlicense"][-1], "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+        "CC-BY-ND-3.0": "This work is licensed under a Creative Commons Attribution-NoDerivs 3.0 "
+                        "Unported License.",
+        "CC-BY-NC-SA-2.5": "CC BY-NC-SA 2.5", "CC-BY-NC-ND-4.0": licences.TEMPLATES["CC-BY-NC-ND-4.0"][-1],
+        "BSD-2-Clause": licences.TEMPLATES["BSD-2-Clause"][-1], "Zlib": licences.TEMPLATES["Zlib"][-1],
+        "AGPL-3.0": licences.TEMPLATES["AGPL-3.0"][-1], "GPL-2.0": licences.TEMPLATES["GPL-2.0"][-1]}
+    rows = [(i, t) for i, t in enumerate(texts.values())]
+    got = licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    names = list(texts)
+    assert len(got) == len(rows)
+    for r in got:
+        best = max(r.matches, key=lambda m: (m.dice, m.end - m.start))
+        assert best.licence == names[r.doc_id] and best.dice > .9
