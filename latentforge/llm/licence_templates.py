@@ -143,6 +143,16 @@ NAMED = {
                     "Todos os direitos reservados"),
 }
 
+#: words that tell one licence from another: with the numbers, those that a short
+#: template has must stand in what matches it ("Foo License, Version 2.0" has four
+#: of the five words of Apache's name and is not it)
+NAMES = frozenset(
+    "academic affero afl agpl apache artistic attribution boost bsd by cc cc0 cddl commons creative "
+    "database documentation domain ecl eclipse educational epl eupl european expat freebsd gfdl gnu "
+    "gpl isc lesser lgpl library libpng mark microsoft mit modified mozilla mpl nc nd new "
+    "noderivatives noderivs noncommercial odbl odc ofl pddl psf python revised sa sharealike "
+    "simplified sil unlicense wtfpl zero zlib".split())
+
 #: licences with a file in ``licence_texts/``
 WITH_TEXT = (
     "0BSD", "AGPL-3.0", "Apache-2.0", "Artistic-1.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0",

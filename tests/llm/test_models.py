@@ -249,3 +249,41 @@ def test_licences_that_no_fixture_has(spark):
     for r in got:
         best = max(r.matches, key=lambda m: (m.dice, m.end - m.start))
         assert best.licence == names[r.doc_id] and best.dice > .9
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_windows_equal_brute_force(threshold):
+    import random
+    rng = random.Random(2)
+    forms = {"a": "one two three one two four", "b": "two three", "c": "five one two one two one"}
+    known = licences.Templates(forms, threshold)
+    for _ in range(300):
+        words = [rng.choice("one two three four five".split()) for _ in range(rng.randint(2, 24))]
+        got = known.windows(words)
+        for k, (_, name, _) in enumerate(known.rows):
+            best = max(brute_dice(" ".join(words[i:j]), forms[name])
+                       for i in range(len(words)) for j in range(i + 2, len(words) + 1))
+            mine = sorted((x for x in got if x[2] == k), key=lambda x: x[0])
+            assert bool(mine) == (best >= threshold)
+            assert not mine or max(x[3] for x in mine) == best
+            assert all(x[1] <= y[0] for x, y in zip(mine, mine[1:]))
+            for a, b, _, dice, _ in mine:
+                assert dice == brute_dice(" ".join(words[a:b + 1]), forms[name])
+
+
+def test_notices_inside_lines_and_across_them(spark):
+    rows = [("Copyright 2020 Foo Inc. All rights reserved.", "proprietary", "All rights reserved"),
+            ("Released under the MIT License. See LICENSE file.", "MIT", "Released under the MIT License"),
+            ("words " * 5000 + "and licensed under the Apache License, Version 2.0, by " + "them " * 5000,
+             "Apache-2.0", "licensed under the Apache License, Version 2.0"),
+            ("A line, and\nthis work is licensed under the GNU General\nPublic License, version 3. "
+             "More\nlines.", "GPL-3.0",
+             "this work is licensed under the GNU General\nPublic License, version 3"),
+            ("Foo License, Version 2.0", None, None), ("\u0130 MIT License", "MIT", "MIT License"),
+            (licences.TEMPLATES["GPL-3.0"][-1].replace("\n", " "), "GPL-3.0", None)]
+    docs = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id long, text string")
+    for r in licences.scan_licences(docs).collect():
+        text, name, span = rows[r.doc_id]
+        assert list(r.licences) == ([name] if name else [])
+        if span:
+            assert text[r.matches[0].start:r.matches[0].end] == span and r.best_dice == 1
