@@ -39,6 +39,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: column of a row's own key
+ROW = "_row"
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key per row, whatever the ids: written once, because
+    computed anew the keys could come out otherwise."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def without_rows(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """``keyed`` without the rows of ``gone(_row)``, and without the key."""
+    return keyed.join(materialize(gone.select(ROW), "gone"), ROW, "left_anti").select(
+        [c for c in keyed.columns if c != ROW])
+
+
 def width(spark: SparkSession) -> int:
     """The session's shuffle width: how the user sized this job."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

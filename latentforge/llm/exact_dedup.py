@@ -10,24 +10,26 @@ batch the largest ``doc_id`` does.
 
 Edge cases: null text equals empty text; null ids never win over ids (a text
 whose ids are all null keeps them all); repeated rows share one verdict;
-an empty batch appends nothing; further columns are ignored.
+an empty batch appends nothing; further columns are ignored. ``keep_exact``
+goes by a key per row instead: of each text exactly one row stays, that of the
+largest id, or of no id where none has one, and of rows that share it the first.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_scratch_path
-from .common import ascii_lower, join_back, materialize, width
+from .common import ROW, ascii_lower, join_back, materialize, width, with_row_key, without_rows
 
 
-def with_digest(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, digest``: one narrow row per document."""
+def with_digest(docs: DataFrame, text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, digest`` and the columns ``also``: one narrow row per document."""
     norm = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    return docs.select("doc_id", F.unhex(F.sha2(norm.cast("binary"), 256)).alias("digest"))
+    return docs.select("doc_id", *also, F.unhex(F.sha2(norm.cast("binary"), 256)).alias("digest"))
 
 
 class DigestIndex:
@@ -53,9 +55,10 @@ class DigestIndex:
         (materialize(fresh, "digests-new").repartition(self.buckets, "digest")
          .write.insertInto(self.table))
 
-    def verdicts(self, digests: DataFrame) -> DataFrame:
-        """``digest, keep_id, group_size`` for the digests of a batch."""
-        sizes = digests.groupBy("digest").agg(F.count("*").alias("group_size"))
+    def verdicts(self, digests: DataFrame, *more: Column) -> DataFrame:
+        """``digest, keep_id, group_size`` (and further aggregates) for the
+        digests of a batch."""
+        sizes = digests.groupBy("digest").agg(F.count("*").alias("group_size"), *more)
         return sizes.join(self.rows().hint("merge"), "digest")
 
     def close(self) -> None:
@@ -81,25 +84,38 @@ def id_batches(digests: DataFrame, n: int) -> list[DataFrame]:
     return spans
 
 
+def indexed(digests: DataFrame, batches: int, path: str | None, *more: Column) -> DataFrame:
+    """Verdict per digest, after ``batches`` spans of descending ids have each
+    been checked against the index so far."""
+    spark = digests.sparkSession
+    index = DigestIndex(spark, path or new_scratch_path(spark, "digest-index"), width(spark))
+    for part in id_batches(digests, batches):
+        index.append(part)
+    found = materialize(index.verdicts(digests, *more), "digest-verdicts")
+    index.close()
+    return found
+
+
 def exact_dedup(docs: DataFrame, batches: int = 2, path: str | None = None) -> DataFrame:
     """Verdict per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     The documents arrive in ``batches`` spans of descending ids, each checked
     against the index so far, so the largest id of equal texts stays."""
-    spark = docs.sparkSession
     digests = materialize(with_digest(docs), "digests")
-    index = DigestIndex(spark, path or new_scratch_path(spark, "digest-index"), width(spark))
-    for part in id_batches(digests, batches):
-        index.append(part)
-    found = materialize(index.verdicts(digests), "digest-verdicts")
-    index.close()
+    found = indexed(digests, batches, path)
     return join_back(digests, found, "digest", "group_size", F.col("doc_id")).select(
         "doc_id", "keep_id", "group_size",
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def keep_exact(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text another row keeps."""
-    gone = exact_dedup(docs.select("doc_id", "text")).filter("not kept").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
+def keep_exact(docs: DataFrame, batches: int = 2) -> DataFrame:
+    """``docs`` with exactly one row of each text."""
+    keyed = with_row_key(docs)
+    digests = materialize(with_digest(keyed, also=(ROW,)), "digests")
+    # null ids come before all others, so the largest id wins, then the first row
+    lead = F.max(F.struct("doc_id", (-F.col(ROW)).alias("back"))).alias("lead")
+    found = indexed(digests, batches, None, lead).filter("group_size > 1").select(
+        "digest", "group_size", (-F.col("lead").getField("back")).alias("lead"))
+    return without_rows(keyed, join_back(digests, found, "digest", "group_size", F.col(ROW))
+                        .filter(F.col(ROW) != F.col("lead")))

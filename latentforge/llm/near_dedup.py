@@ -26,6 +26,7 @@ Plan:
 Edge cases: null and empty texts, and texts of white space, have no set: size
 0, own component. Null ids take part through their text and get the component
 of their class. Rows that repeat an id are one node. Other columns are ignored.
+``keep_near`` goes by a key per row instead of the ids.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_back, materialize, maybe_in
+from .common import (ROW, components, join_back, materialize, maybe_in, with_row_key,
+                     without_rows)
 from .textblock import U, GOLDEN, Block, Prefix, blocks, lists, mix, seeds
 
 SHINGLE = 5
@@ -267,6 +269,17 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_near(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component."""
-    gone = near_dedup(docs.select("doc_id", "text")).filter("not kept").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with exactly one row of each component: that of the smallest
+    id, or of no id where none has one, and of rows that share it the first.
+    Rows are the nodes, so null and repeated ids are searched like others."""
+    keyed = with_row_key(docs)
+    found = materialize(near_dedup(keyed.select(F.col(ROW).alias("doc_id"), "text")).select(
+        F.col("doc_id").alias(ROW), "component_id"), "near")
+    rows = materialize(keyed.select(ROW, "doc_id").join(found, ROW), "near-rows")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("lead")
+    groups = materialize(
+        rows.groupBy("component_id").agg(F.count("*").alias("members"), lead)
+        .filter("members > 1").select("component_id", "members", F.col("lead")[ROW].alias("lead")),
+        "near-groups")
+    return without_rows(keyed, join_back(rows, groups, "component_id", "members", F.col(ROW))
+                        .filter(F.col(ROW) != F.col("lead")))

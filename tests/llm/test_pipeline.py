@@ -89,6 +89,48 @@ def test_pipeline_equals_brute_force(spark):
     check_pieces([(r.doc_id, r.text) for r in left], out)
 
 
+def test_pipeline_keeps_one_row_of_repeats_and_null_ids(spark):
+    """Repeated rows, copies without an id, ids on two texts, near copies
+    without ids: one row of each group stays, with its text."""
+    rng = random.Random(4)
+    rest = SCHEMA.count(",") - 1
+
+    def row(i, text):
+        return (i, text, "en", "src1", *[None] * (rest - 2))
+
+    def near(text):
+        return text + " ending"
+
+    texts = [prose(rng, 150) for _ in range(8)]
+    rows = [row(1, texts[0])] * 3                                  # the same row thrice
+    rows += [row(2, texts[1]), row(None, texts[1]), row(None, texts[1].replace("s", "S"))]
+    rows += [row(None, texts[2])] * 2                              # no id at all
+    rows += [row(3, texts[3]), row(3, texts[4]), row(4, texts[3])]  # one id, two texts
+    rows += [row(None, texts[5]), row(None, near(texts[5]))]       # near copies without ids
+    rows += [row(5, texts[6]), row(5, near(texts[6])), row(None, near(near(texts[6])))]
+    rows += [row(6, texts[7])]
+    path = write(spark, rows)
+    docs = spark.read.parquet(path + "/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, path), name)
+    left = sorted(((r.doc_id, r.text.lower()) for r in docs.collect()), key=str)
+    want = [(1, texts[0]), (2, texts[1]), (None, texts[2]), (4, texts[3]), (3, texts[4]),
+            (None, texts[5]), (None, near(texts[5])), (5, texts[6]), (5, near(texts[6])),
+            (None, near(near(texts[6]))), (6, texts[7])]
+    assert left == sorted(((i, t.lower()) for i, t in want), key=str)
+    docs = corpus_pipeline.materialize(corpus_pipeline.STAGES[2][1](spark, docs, path), "near")
+    left = docs.collect()
+    groups = [next(k for k, t in enumerate(texts) if r.text.lower().startswith(t.lower()))
+              for r in left]
+    assert sorted(groups) == list(range(8))
+    assert {k: r.doc_id for k, r in zip(groups, left, strict=True)} == {
+        0: 1, 1: 2, 2: None, 3: 4, 4: 3, 5: None, 6: 5, 7: 6}
+    cut = corpus_pipeline.materialize(corpus_pipeline.STAGES[3][1](spark, docs, path), "cut")
+    assert sorted(r.text for r in cut.collect()) == sorted(r.text for r in left)
+    out = corpus_pipeline.run(spark, path).collect()
+    check_pieces([(r.doc_id, r.text) for r in left], out)
+
+
 def test_pipeline_of_nothing(spark):
     assert corpus_pipeline.run(spark, write(spark, [])).count() == 0
 
