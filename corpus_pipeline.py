@@ -19,6 +19,9 @@ from latentforge.llm.packing import best_fit_packing
 from latentforge.llm.queries import tokenizer_path
 from latentforge.llm.suffix_dedup import cut_repeats
 
+#: similarity from which near copies go; tests/llm holds the stage to this value
+NEAR_PERCENT = 85
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2."""
@@ -32,7 +35,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10."""
-    return keep_near(docs)
+    return keep_near(docs, NEAR_PERCENT)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

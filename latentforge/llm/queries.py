@@ -72,7 +72,7 @@ def op9_packed_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components by tensored MinHash banding."""
-    return near_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return near_dedup(documents(spark, sf_dir).select("doc_id", "text"), 85)
 
 
 QUERIES = {f.__name__: f for f in (

@@ -195,3 +195,26 @@ def test_cut_repeats_changes_text_only(spark):
 @pytest.mark.parametrize("op", [exact_dedup, near.near_dedup, suffix.repeated_bytes])
 def test_empty_table(spark, op):
     assert op(empty(spark)).count() == 0
+
+
+def test_near_at_a_lower_threshold(spark):
+    """Pairs between 0.80 and 0.85 are linked at 80 and not at 85."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(12):
+        base = [f"w{k}_{i}" for i in range(160)]
+        other = list(base)
+        for at in (20, 75, 130):  # 15 of 156 shingles: 141 / 171 = 0.82
+            other[at] = f"x{rng.integers(0, 1000)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    at80 = {r.doc_id: r.component_id for r in near.near_dedup(docs, 80).collect()}
+    assert at80 == {d: d // 2 * 2 for d, _ in rows}
+    at85 = {r.doc_id: r.component_id for r in near.near_dedup(docs, 85).collect()}
+    assert at85 == {d: d for d, _ in rows}
+    assert near.keep_near(docs, 80).count() == 12
+
+
+def test_collections_bound_the_missed_pairs():
+    assert near.collections_for(85) == near.COLLECTIONS and near.collections_for(80) == 14
+    assert near.missed(80, 14) < 2e-5 < 2.5e-4 < near.missed(80, 11)
