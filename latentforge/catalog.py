@@ -805,6 +805,46 @@ def q_sgd_trace(spark, sf):
                                             & (F.col("rmse") < 1e6)).cast("int").alias("finite"))
 
 
+SGD_SETTINGS = [fac.SgdParams(k=5, epochs=3, decay=0.9),
+                fac.SgdParams(k=5, epochs=3, lam=0.02, decay=0.9),
+                fac.SgdParams(k=10, epochs=3, lr=0.005, decay=0.9)]
+SGD_NAMES = [tuning.config_name(p) for p in SGD_SETTINGS]
+_sgd_names = ", ".join(f"'{n}'" for n in SGD_NAMES)
+_finite = "CAST(rmse IS NOT NULL AND NOT isnan(rmse) AND rmse < 1e6 AS INT)"
+
+
+def _sgd_sweep(spark, sf):
+    train, test = _stored_split(spark, sf)
+    return tuning.sweep(train, test, SGD_SETTINGS, rows_per_block=FIT_ROWS_PER_BLOCK)
+
+
+@query("fit_sgd_sweep", with_(W_RATINGS, W_DEDUP, W_SPLIT) + f"""
+SELECT c.config, e.epoch, s.split, s.n, CAST(1 AS INTEGER) AS finite
+FROM (SELECT 'train' AS split, count(*) AS n FROM train
+      UNION ALL SELECT 'test' AS split, count(*) AS n FROM test) s,
+     (SELECT CAST(unnest([0, 3]) AS INTEGER) AS epoch) e,
+     (SELECT unnest([{_sgd_names}]) AS config) c""")
+def q_fit_sgd_sweep(spark, sf):
+    """Traces of the stochastic fits, one per setting."""
+    return _sgd_sweep(spark, sf).select("config", "epoch", "split", "n",
+                                        F.expr(_finite).alias("finite"))
+
+
+@query("fit_sgd_best_config", with_(W_RATINGS, W_DEDUP, W_SPLIT) + """
+SELECT count(*) AS n_test, CAST(1 AS INTEGER) AS n_best, CAST(1 AS INTEGER) AS known,
+       CAST(1 AS INTEGER) AS finite
+FROM test""")
+def q_fit_sgd_best_config(spark, sf):
+    """The sweep's best setting: one of those swept, with the least final test RMSE."""
+    trace = _sgd_sweep(spark, sf)
+    final = trace.where("split = 'test' AND epoch = 3")
+    best = tuning.best_config(trace).select("config", F.col("rmse").alias("least"))
+    return (final.join(best, "config").where("rmse = least")
+            .agg(F.max("n").alias("n_test"), F.count("*").cast("int").alias("n_best"),
+                 F.max(F.col("config").isin(SGD_NAMES).cast("int")).alias("known"),
+                 F.max(F.expr(_finite)).alias("finite")))
+
+
 @query("als_sweep", with_(W_RATINGS, W_DEDUP, W_SPLIT) + """
 SELECT CAST(r.rank AS INTEGER) AS rank, g.reg, count(*) AS n_train, CAST(1 AS INTEGER) AS fitted,
        CAST(1 AS INTEGER) AS n_best

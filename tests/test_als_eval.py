@@ -106,3 +106,14 @@ def test_fit_als_encodes_wide_ids(spark):
     assert pred.count() == r.count()
     assert pred.agg(F.min("user_id")).first()[0] >= 10 ** 12
     assert pred.where(F.isnan("prediction")).count() == 0
+
+
+def test_sgd_sweep_is_registered(spark):
+    from latentforge import catalog
+    rows = catalog.QUERIES["fit_sgd_sweep"](spark, SF_SMALL).collect()
+    assert {r.config for r in rows} == set(catalog.SGD_NAMES) and len(set(catalog.SGD_NAMES)) == 3
+    assert {(r.epoch, r.split) for r in rows} == {(e, s) for e in (0, 3) for s in ("train", "test")}
+    assert len(rows) == 12 and all(r.finite == 1 and r.n > 0 for r in rows)
+    (best,) = catalog.QUERIES["fit_sgd_best_config"](spark, SF_SMALL).collect()
+    assert (best.n_best, best.known, best.finite) == (1, 1, 1)
+    assert best.n_test == next(r.n for r in rows if r.split == "test")
