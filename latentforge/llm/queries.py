@@ -15,6 +15,8 @@ from .maxent_lm import score_corpus
 from .near_dedup import near_dedup
 from .packing import best_fit_packing, packed_matrices
 from .suffix_dedup import repeated_bytes
+from .term_scan import search
+from .toxicity import score_toxicity
 
 
 def tokenizer_path() -> str:
@@ -75,8 +77,24 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir).select("doc_id", "text"), 85)
 
 
+def op11_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by compression distance, learned from labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_toxicity(documents(spark, sf_dir).select("doc_id", "text"),
+                          labels.select("doc_id", "toxic"))
+
+
+def op12_aho_corasick_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return search(documents(spark, sf_dir).select("doc_id", "text"),
+                  items.select("item_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_maxent_lm, op2_host_quality_rules, op3_byte_gru_language_id, op4_exact_dedup_index,
     op5_best_fit_packing, op6_transducer_bpe, op7_licence_scan, op8_suffix_array_dedup,
-    op9_packed_token_matrices, op10_tensored_minhash)}
-SQL = {"op2_host_quality_rules": sql.HOST_RULES, "op4_exact_dedup_index": sql.EXACT_DEDUP}
+    op9_packed_token_matrices, op10_tensored_minhash,
+    op11_compression_toxicity, op12_aho_corasick_search)}
+SQL = {"op2_host_quality_rules": sql.HOST_RULES, "op4_exact_dedup_index": sql.EXACT_DEDUP,
+       "op12_aho_corasick_search": sql.TERM_SCAN}
