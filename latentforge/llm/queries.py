@@ -14,6 +14,7 @@ from .licences import scan_licences
 from .maxent_lm import score_corpus
 from .near_dedup import near_dedup
 from .packing import best_fit_packing, packed_matrices
+from .prefix_trie import prefix_trie
 from .suffix_dedup import repeated_bytes
 from .term_scan import search
 from .toxicity import score_toxicity
@@ -91,10 +92,18 @@ def op12_aho_corasick_search(spark: SparkSession, sf_dir: str) -> DataFrame:
                   items.select("item_id", "text"))
 
 
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return prefix_trie(turns.select("conv_id", "turn", "role", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_maxent_lm, op2_host_quality_rules, op3_byte_gru_language_id, op4_exact_dedup_index,
     op5_best_fit_packing, op6_transducer_bpe, op7_licence_scan, op8_suffix_array_dedup,
     op9_packed_token_matrices, op10_tensored_minhash,
-    op11_compression_toxicity, op12_aho_corasick_search)}
+    op11_compression_toxicity, op12_aho_corasick_search,
+    op13_conversation_prefix_trie)}
 SQL = {"op2_host_quality_rules": sql.HOST_RULES, "op4_exact_dedup_index": sql.EXACT_DEDUP,
-       "op12_aho_corasick_search": sql.TERM_SCAN}
+       "op12_aho_corasick_search": sql.TERM_SCAN,
+       "op13_conversation_prefix_trie": sql.PREFIX_TRIE}

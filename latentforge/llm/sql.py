@@ -61,3 +61,36 @@ o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DES
              doc_id, score FROM x JOIN m USING (r) WHERE score > 0)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 10
 """
+
+PREFIX_TRIE = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda b: list_reduce(
+               list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+               lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+sized AS (SELECT conv_id::BIGINT AS c, count(*) AS n,
+                 list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                      ORDER BY turn NULLS FIRST) AS own
+          FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hashed AS (SELECT c, n, own, c - c % 5 AS base, (xor(4294967295, list_reduce(
+             list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''),
+                                                             lambda x: ascii(x)::BIGINT)),
+             lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 9)::BIGINT AS h
+           FROM sized, tab),
+built AS (SELECT x.c, coalesce(y.own[1:x.h], []) || x.own[x.h + 1:] AS turns
+          FROM hashed x LEFT JOIN sized y ON y.c = x.base),
+pre AS (SELECT c, unnest(range(0, len(turns) + 1)) AS d, turns FROM built),
+p AS (SELECT c, d, len(turns) AS n, sha256(turns[1:d]::VARCHAR || d) AS k,
+             sha256(turns[1:d - 1]::VARCHAR || (d - 1)) AS up,
+             CASE WHEN d > 0 THEN strlen(turns[d].text) ELSE 0 END AS b FROM pre),
+node AS (SELECT k, min(c) AS conv_id, any_value(d) AS depth, any_value(up) AS up, count(*) AS n_convs,
+                any_value(b) AS b, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c)
+                                            FILTER (WHERE d = n), '') AS ends
+         FROM p GROUP BY k),
+kids AS (SELECT up AS k, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY up),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (k)),
+sub AS (SELECT a.k, sum((z.n_convs - 1) * z.b)::BIGINT AS saved_tokens,
+               count(*) FILTER (WHERE z.n_children = 0) AS n_leaves
+        FROM full_node z JOIN p a ON a.c = z.conv_id AND a.d <= z.depth GROUP BY a.k)
+SELECT x.conv_id, x.depth::BIGINT AS depth, y.conv_id AS parent_conv_id, x.n_convs, x.n_children,
+       n_leaves, saved_tokens, sha256(x.ends) AS ends_sha256
+FROM full_node x JOIN sub USING (k) LEFT JOIN full_node y ON x.depth > 0 AND y.k = x.up
+"""
