@@ -676,6 +676,129 @@ def q_fit_sgd_sampled(spark, sf):
                                          sample_from=d.select("user_id", "item_id")))
 
 
+# ---- SGD by value: the serial pass, replayed rating by rating in SQL ---------
+# Nations rate part sizes by the mean rating of all their order lines.
+
+VALUE_K, VALUE_EPOCHS, VALUE_ROWS = 2, 2, 128
+VALUE = fac.SgdParams(k=VALUE_K, epochs=VALUE_EPOCHS, lr=0.1, lr_bias=0.2, lam=0.1, bias_reg=0.1,
+                      decay=0.9, noise=0.5, seed=SEED)
+VALUE_SETTINGS = {
+    "biased": VALUE,
+    "unbiased": sgd.with_params(VALUE, biased=False),
+    "step": sgd.with_params(VALUE, decay=0.999, schedule="step"),
+}
+
+
+def _nation_ratings(spark, sf):
+    """(user_id = nation, item_id = part size, mean rating) of every line."""
+    r = _ratings(spark, sf).select("user_id", "item_id", "rating")
+    customer = tables.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("long").alias("nation"))
+    part = tables.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("item_id"), F.col("p_size").cast("long").alias("size"))
+    return (r.join(customer, "user_id").join(part, "item_id")
+            .groupBy(F.col("nation").alias("user_id"), F.col("size").alias("item_id"))
+            .agg(F.avg("rating").alias("rating")))
+
+
+W_NATIONS = """train AS (
+  SELECT CAST(c.c_nationkey AS BIGINT) AS user_id, CAST(p.p_size AS BIGINT) AS item_id,
+         avg(r.rating) AS rating
+  FROM ratings r JOIN customer c ON c.c_custkey = r.user_id JOIN part p ON p.p_partkey = r.item_id
+  GROUP BY c.c_nationkey, p.p_size)"""
+
+
+def _replay_sql():
+    """Serial SGD as a recursion over the ratings in the order of the fit. A
+    step changes one place in each list of biases and features."""
+    def block(kind, col):
+        return sql_hash_bucket(sql_key(sql_lit(kind + "blk"), str(SEED), col, "0"), "n_blk")
+
+    def mixed(x, shift, mul):
+        return (f"CAST((CAST(xor({x}, {x} >> {shift}) AS UHUGEINT) * CAST({mul} AS UHUGEINT))"
+                " % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT)")
+
+    def side(col, s):
+        def f(q):
+            return (sql_hash_uniform(sql_key(sql_lit("init"), str(SEED), sql_lit(s), "id", str(q)))
+                    + f" * {VALUE.noise!r}")
+        lists = ", ".join(f"list({f(q)} ORDER BY id) AS {s}{q}" for q in range(VALUE_K))
+        return (f"(SELECT list(0.0::DOUBLE ORDER BY id) AS b{s}, {lists} "
+                f"FROM (SELECT DISTINCT {col} AS id FROM train))")
+
+    def put(name, at, value):
+        return f"{name}[1:{at} - 1] || [{value}] || {name}[{at} + 1:] AS {name}"
+
+    settings = ", ".join(
+        f"('{n}', {int(p.biased)}, '{p.schedule}', {p.lr!r}, {p.decay!r})"
+        for n, p in VALUE_SETTINGS.items())
+    lam, lb, breg = VALUE.lam, VALUE.lr_bias, VALUE.bias_reg * VALUE.lam
+    dot = " + ".join(f"u{q}[s.u] * i{q}[s.i]" for q in range(VALUE_K))
+    state = ["bu", "bi"] + [f"{x}{q}" for x in "ui" for q in range(VALUE_K)]
+    moved = [put("bu", "u", f"bu[u] + CASE WHEN biased = 1 THEN {lb!r} * (err - {breg!r} * bu[u]) ELSE 0 END"),
+             put("bi", "i", f"bi[i] + CASE WHEN biased = 1 THEN {lb!r} * (err - {breg!r} * bi[i]) ELSE 0 END")]
+    for own, at, other, oat in (("u", "u", "i", "i"), ("i", "i", "u", "u")):
+        moved += [put(f"{own}{q}", at, f"{own}{q}[{at}] + rate * (err * {other}{q}[{oat}]"
+                                       f" - {lam!r} * {own}{q}[{at}])") for q in range(VALUE_K)]
+    ids = {"u": "user_id", "i": "item_id"}
+    out = "\nUNION ALL\n".join(
+        f"SELECT config, '{name}' AS side, x.id AS id, CAST({k} AS INTEGER) AS k, "
+        f"round({lst}[x.n], 6) AS value FROM last, {s}ids x"
+        for s, name in (("u", "user"), ("i", "item"))
+        for k, lst in [(-1, "b" + s)] + [(q, f"{s}{q}") for q in range(VALUE_K)])
+    return "WITH RECURSIVE " + ",\n".join([W_RATINGS, W_NATIONS, f"""size AS (
+  SELECT avg(rating) AS mu, count(*) AS n,
+         CAST(greatest(2, ceil(sqrt(count(*) / {VALUE_ROWS}.0))) AS BIGINT) AS n_blk FROM train)""",
+        *[f"""{s}ids AS (SELECT id, row_number() OVER (ORDER BY id) AS n
+  FROM (SELECT DISTINCT {col} AS id FROM train))""" for s, col in ids.items()],
+        f"""placed AS (
+  SELECT user_id, item_id, rating, n_blk, {block('u', 'user_id')} AS ublk, {block('i', 'item_id')} AS iblk,
+         {sql_hash_int(sql_key(sql_lit('sgd'), str(SEED), 'user_id', 'item_id'))} AS ord FROM train, size)""",
+        f"""cut AS (
+  SELECT *, (iblk - ublk + n_blk) % n_blk AS stratum,
+         CASE WHEN count(*) OVER b > {VALUE_ROWS}
+              THEN ord % CAST(ceil(count(*) OVER b / {VALUE_ROWS}.0) AS BIGINT) ELSE 0 END AS piece
+  FROM placed WINDOW b AS (PARTITION BY ublk, iblk))""",
+        f"""keyed AS (
+  SELECT c.*, e, xor(CAST(ord AS UBIGINT), CAST(e + 1 AS UBIGINT) << 32) AS x0
+  FROM cut c, range({VALUE_EPOCHS}) r(e))""",
+        f"m1 AS (SELECT *, {mixed('x0', 30, '13787848793156543929')} AS x1 FROM keyed)",
+        f"m2 AS (SELECT *, {mixed('x1', 27, '10723151780598845931')} AS x2 FROM m1)",
+        """turns AS (
+  SELECT row_number() OVER (ORDER BY e, stratum, ublk, piece, xor(x2, x2 >> 31), user_id, item_id) AS t,
+         e, u.n AS u, i.n AS i, rating
+  FROM m2 JOIN uids u ON u.id = user_id JOIN iids i ON i.id = item_id)""",
+        f"setting(config, biased, schedule, lr, decay) AS (VALUES {settings})",
+        f"""run AS (
+  SELECT config, CAST(0 AS BIGINT) AS t, {', '.join(state)}
+  FROM setting, {side('user_id', 'u')}, {side('item_id', 'i')}
+  UNION ALL
+  SELECT config, t, {', '.join(moved)} FROM (
+    SELECT r.*  EXCLUDE (t), s.t, s.u AS u, s.i AS i, biased,
+           lr * pow(decay, CASE WHEN schedule = 'step' THEN s.t - 1 ELSE s.e END) AS rate,
+           s.rating - ({dot} + CASE WHEN biased = 1
+             THEN (SELECT mu FROM size) + bu[s.u] + bi[s.i] ELSE 0 END) AS err
+    FROM run r JOIN turns s ON s.t = r.t + 1 JOIN setting USING (config)))""",
+        "last AS (SELECT * FROM run WHERE t = (SELECT max(t) FROM turns))"]) + "\n" + out
+
+
+@query("fit_sgd_values", _replay_sql())
+def q_fit_sgd_values(spark, sf):
+    """Every bias and feature after the epochs, for the biased and unbiased model
+    and for a rate that decays with each update."""
+    train = write_table(_nation_ratings(spark, sf), new_scratch_path(spark, "ratings"))
+    ready = sgd.prepare(train, seed=SEED, rows_per_block=VALUE_ROWS)
+    out = None
+    for name, p in VALUE_SETTINGS.items():
+        m = sgd.fit_sgd(p=p, prepared=ready)
+        for side, f in (("user", m.user_factors), ("item", m.item_factors)):
+            flat = fac.flat_factors(f, side).select(
+                F.lit(name).alias("config"), "side", "id", F.col("k").cast("int").alias("k"),
+                r6(F.col("value")).alias("value"))
+            out = flat if out is None else out.unionByName(flat)
+    return out
+
+
 LEARNED_SHARE = 0.75     # of the standard deviation of the planted ratings
 
 

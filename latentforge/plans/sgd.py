@@ -26,10 +26,17 @@ Data flow (all DataFrame operations):
   folder and the previous files deleted: plans stay small for any B, and a
   lost executor costs a few strata.
 
-Every id follows one update rule. ``split_threshold`` is off unless set: it
-trains ids with more ratings than that as replicas (dealt by hash of the
-partner id, averaged after every epoch), a different algorithm for
-data in which one id outgrows a task.
+Every id follows one update rule. A block with more than ``rows_per_block``
+ratings, as one that holds a hot user or item, is cut into pieces (by the
+ratings' hashes, so that a hot id's row is cut by partner): the pieces of a
+block are groups of their own and run one after another, blocks without
+further pieces wait. So no group grows with a hot id, and a fit is still the
+serial pass over (stratum, user block, piece, order of the epoch), in which
+blocks of one stratum do not touch each other.
+
+``split_threshold`` is off unless set: it trains ids with more ratings than
+that as replicas (dealt by hash of the partner id, averaged after every
+epoch), a different algorithm that runs a hot id's ratings in parallel.
 """
 
 from __future__ import annotations
@@ -79,6 +86,8 @@ class Prepared:
     base: DataFrame          # user_id, item_id, rating as read
     reps: DataFrame | None   # (kind, id, n_rep) of split ids
     labels: DataFrame        # (blk, label)
+    cut_blocks: DataFrame | None   # (stratum, ublk, n_pieces) of blocks in pieces
+    pieces: dict             # stratum -> most pieces of a block, where over 1
     blocks: int
     n: int
     mu: float
@@ -170,7 +179,8 @@ def _make_step(mu: float, p: SgdParams, epoch: int, n_total: int):
 
     ``schedule="epoch"``: rate lr·decay^epoch. ``schedule="step"``: the rate
     decays with every update and the count goes on over blocks and epochs;
-    ``first_step`` is the number of updates before the block in its epoch.
+    ``first_step`` is the number of updates before the block (or piece) in its
+    epoch, to which a rating's place in the block's serial order is added.
     """
     lam, lb, td = p.lam, p.lr_bias, p.train_dims
     breg = p.bias_reg * p.lam
@@ -187,13 +197,14 @@ def _make_step(mu: float, p: SgdParams, epoch: int, n_total: int):
         bu = users["bias"].to_numpy(dtype=np.float64).copy()
         bi = items["bias"].to_numpy(dtype=np.float64).copy()
         r = ratings["rating"].to_numpy(dtype=np.float64)
+        # the serial order of the block
         order = np.lexsort((ratings["item_id"].to_numpy(), ratings["user_id"].to_numpy(),
                             epoch_order(ratings["ord"].to_numpy(), epoch)))
         kk = U.shape[1] if td is None else min(td, U.shape[1])
         rounds = conflict_free_rounds(ui[order], ii[order])
-        # serial order: by round, then by the epoch's order inside a round
-        seq = order[np.lexsort((np.arange(len(order)), rounds))]
-        steps = np.arange(len(seq), dtype=np.float64)
+        # rounds one after another give what the serial order gives
+        steps = np.lexsort((np.arange(len(order)), rounds))
+        seq = order[steps]
         if p.schedule == "step":
             first = float(ratings["first_step"].iloc[0]) + float(epoch) * n_total
             rate = p.lr * p.decay ** (first + steps)
@@ -270,13 +281,26 @@ def prepare(train: DataFrame, *, seed: int = 0, blocks: int | None = None,
           .withColumn("iblk", _block("i", "@item_id", "@irep", seed, B))
           .withColumn("ord", hash_int(key("sgd", seed, "@user_id", "@item_id")))
           .withColumn("stratum", F.pmod(F.col("iblk") - F.col("ublk"), F.lit(B))))
+    over = write_table(
+        r.groupBy("stratum", "ublk").agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > F.lit(rows_per_block))
+        .select("stratum", "ublk", F.ceil(F.col("n") / F.lit(rows_per_block)).cast("int")
+                .alias("n_pieces")), new_scratch_path(spark, "sgd-cut-blocks"))
+    pieces = {x["stratum"]: x["m"] for x in     # at most a row per stratum
+              over.groupBy("stratum").agg(F.max("n_pieces").alias("m")).collect()}
+    piece = F.lit(0)
+    if pieces:
+        r = r.join(over, ["stratum", "ublk"], "left")
+        piece = F.when(F.col("n_pieces").isNull(), F.lit(0)).otherwise(
+            F.pmod(F.col("ord"), F.col("n_pieces")))
+    r = r.withColumn("piece", piece.cast("int")).drop("n_pieces")
     files = max(1, n // B // ROWS_PER_FILE)
     path = new_scratch_path(spark, "sgd-strata")
-    (r.repartition("stratum", F.pmod(F.hash("user_id"), F.lit(files)))
-      .write.partitionBy("stratum").parquet(path))
+    (r.repartition("stratum", "piece", F.pmod(F.hash("user_id"), F.lit(files)))
+      .write.partitionBy("stratum", "piece").parquet(path))
     ratings = spark.read.schema(r.schema).parquet(path)
     labels = spark.createDataFrame(list(enumerate(block_labels(spark, B))), "blk int, label int")
-    return Prepared(ratings, base, reps, labels, B, n,
+    return Prepared(ratings, base, reps, labels, over if pieces else None, pieces, B, n,
                     float(st["mu"]) if st["mu"] is not None else 0.0, seed)
 
 
@@ -308,9 +332,16 @@ def _collapse(factors: DataFrame, kind: str, k: int, split: bool) -> DataFrame:
                     "n_updates")
 
 
+def _group_block(g: int, blocks: int):
+    """User block of the group that a factor row belongs to in stratum ``g``."""
+    return F.when(F.col("kind") == "u", F.col("hblk")).otherwise(
+        F.pmod(F.col("hblk") - F.lit(g), F.lit(blocks)))
+
+
 def stratum_step(factors: DataFrame, ratings: DataFrame, prep: Prepared, g: int,
-                 step) -> DataFrame:
-    """Factors after stratum ``g``: one cogroup, a group per block."""
+                 step, piece: int = 0) -> DataFrame:
+    """Factors after the ``piece``-th pieces of the blocks of stratum ``g``:
+    one cogroup, a group per block."""
     B = prep.blocks
     cols = ["label", "user_id", "urep", "item_id", "irep", "rating", "ord"]
     if "first_step" in ratings.columns:
@@ -319,21 +350,43 @@ def stratum_step(factors: DataFrame, ratings: DataFrame, prep: Prepared, g: int,
         return F.broadcast(prep.labels.select(F.col("blk").alias("blk"),
                                               F.col("label").alias("label")))
 
-    r = (ratings.where(F.col("stratum") == F.lit(g)).withColumn("blk", F.col("ublk"))
+    r = (ratings.where((F.col("stratum") == F.lit(g)) & (F.col("piece") == F.lit(piece)))
+         .withColumn("blk", F.col("ublk"))
          .join(labels(), "blk").select(*cols).repartition(B, "label"))
-    blk = F.when(F.col("kind") == "u", F.col("hblk")).otherwise(
-        F.pmod(F.col("hblk") - F.lit(g), F.lit(B)))
-    f = (factors.withColumn("blk", blk).join(labels(), "blk").drop("blk")
+    f = (factors.withColumn("blk", _group_block(g, B)).join(labels(), "blk").drop("blk")
          .repartition(B, "label"))
     return r.groupBy("label").cogroup(f.groupBy("label")).applyInPandas(step, FACTORS_OUT)
 
 
+def further_pieces(factors: DataFrame, ratings: DataFrame, prep: Prepared, g: int,
+                   step) -> tuple[DataFrame, list[str]]:
+    """``factors`` (a stored table) after the second and later pieces of the
+    cut blocks of stratum ``g``, and the files that it still reads. Only the
+    factors of these blocks move; every few pieces they are stored."""
+    spark = factors.sparkSession
+    of = factors.withColumn("blk", _group_block(g, prep.blocks))
+    cut = F.broadcast(prep.cut_blocks.where(F.col("stratum") == F.lit(g))   # at most B rows
+                      .select(F.col("ublk").alias("blk")))
+    act, rest = (of.join(cut, "blk", how).drop("blk") for how in ("left_semi", "left_anti"))
+    held: list[str] = []
+    for i in range(1, prep.pieces[g]):
+        act = stratum_step(act, ratings, prep, g, step, i)
+        if i % STRATA_PER_JOB == 0:
+            path = new_scratch_path(spark, "sgd-pieces")
+            act = write_table(act, path)
+            for old in held:
+                drop_path(spark, old)
+            held = [path]
+    return rest.select(OUT_COLUMNS).unionByName(act.select(OUT_COLUMNS)), held
+
+
 def _with_first_steps(prep: Prepared, ratings: DataFrame) -> DataFrame:
-    """Adds the number of updates before each block in an epoch (B² rows)."""
-    sizes = ratings.groupBy("stratum", "ublk").agg(F.count(F.lit(1)).alias("n"))
-    before = prefix_sums(sizes, ["stratum", "ublk"], ["n"])
-    return ratings.join(before.select("stratum", "ublk", F.col("n_before").alias("first_step")),
-                        ["stratum", "ublk"])
+    """Adds the number of updates before each block, or piece of a block, in an
+    epoch (a row for each)."""
+    at = ["stratum", "ublk", "piece"]
+    sizes = ratings.groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
+    before = prefix_sums(sizes, at, ["n"])
+    return ratings.join(before.select(*at, F.col("n_before").alias("first_step")), at)
 
 
 def fit_sgd(train: DataFrame | None = None, p: SgdParams = SgdParams(), *,
@@ -414,6 +467,11 @@ def fit_sgd(train: DataFrame | None = None, p: SgdParams = SgdParams(), *,
         for g in range(prep.blocks):
             fac = stratum_step(fac, epoch_ratings, prep, g, step)
             last = g == prep.blocks - 1
+            if g in prep.pieces:
+                fac, own = further_pieces(cut(fac), epoch_ratings, prep, g, step)
+                fac = cut(fac)
+                for path in own:
+                    drop_path(spark, path)
             if last and split:
                 fac = both(*sides(fac))
             if last or (g + 1) % STRATA_PER_JOB == 0:
@@ -422,8 +480,8 @@ def fit_sgd(train: DataFrame | None = None, p: SgdParams = SgdParams(), *,
     if eval_sets:
         record(p.epochs, fac)
     uf, itf = sides(fac)
-    # diagnostic, B² rows; computed only if asked for
-    block_sizes = prep.ratings.groupBy("ublk", "iblk").agg(F.count(F.lit(1)).alias("n_ratings"))
+    # diagnostic, a row per group; computed only if asked for
+    block_sizes = prep.ratings.groupBy("ublk", "iblk", "piece").agg(F.count(F.lit(1)).alias("n_ratings"))
     return SgdModel(uf, itf, mu, p, trace, block_sizes, epoch_seconds, prep.blocks)
 
 

@@ -52,12 +52,10 @@ def test_block_step_is_serial_sgd(biased, train_dims, schedule):
     # the same permutation, applied one rating at a time
     order = np.lexsort((r.item_id.to_numpy(), r.user_id.to_numpy(),
                         sgd.epoch_order(r["ord"].to_numpy(), 2)))
-    rounds = sgd.conflict_free_rounds(r.user_id.to_numpy()[order], r.item_id.to_numpy()[order])
-    seq = order[np.lexsort((np.arange(len(order)), rounds))]
     U, V, bu, bi = U0.copy(), V0.copy(), np.zeros(n_u), np.zeros(n_i)
     # by step, the count goes on: 2 epochs of 1000 and 70 earlier in this one
     rates = [0.05 * 0.999 ** (2 if schedule == "epoch" else 2070 + t) for t in range(n_r)]
-    _serial(r, U, V, bu, bi, seq, 3.0, p, rates)
+    _serial(r, U, V, bu, bi, order, 3.0, p, rates)
     assert out.n_updates.sum() == 2 * n_r
     assert (out[out.kind == "u"].n_updates.to_numpy()
             == np.bincount(r.user_id, minlength=n_u)).all()
