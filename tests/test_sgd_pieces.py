@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from latentforge.plans import factors as fac
 from latentforge.plans import sgd
 
-ROWS = 60
+ROWS = 40
 
 
 def hot_ratings(spark):
