@@ -679,7 +679,7 @@ def q_fit_sgd_sampled(spark, sf):
 # ---- SGD by value: the serial pass, replayed rating by rating in SQL ---------
 # Nations rate part sizes by the mean rating of all their order lines.
 
-VALUE_K, VALUE_EPOCHS, VALUE_ROWS = 2, 2, 128
+VALUE_K, VALUE_EPOCHS, VALUE_ROWS = 2, 2, 192
 VALUE = fac.SgdParams(k=VALUE_K, epochs=VALUE_EPOCHS, lr=0.1, lr_bias=0.2, lam=0.1, bias_reg=0.1,
                       decay=0.9, noise=0.5, seed=SEED)
 VALUE_SETTINGS = {
@@ -1069,10 +1069,122 @@ def q_als_loop(spark, sf):
     return side(users, "user").unionByName(side(items, "item"))
 
 
+ALS_RANK = 3
+
+
+def _als_rank_sql():
+    """K = 3: each half step is a 3 by 3 system per id, solved by determinants."""
+    lam = 0.1
+
+    def half(name, col, other, of):
+        g = {}
+        for a in range(ALS_RANK):
+            for b in range(a, ALS_RANK):
+                extra = f" + {lam!r} * count(*)" if a == b else ""
+                g[a, b] = f"sum(f.v{a} * f.v{b}){extra} AS g{a}{b}"
+        sums = ", ".join([*g.values(), *[f"sum(f.v{a} * t.rating) AS r{a}" for a in range(ALS_RANK)]])
+
+        def m(a, b, put=None):
+            return f"r{a}" if b == put else f"g{min(a, b)}{max(a, b)}"
+
+        def det(put=None):
+            c = lambda a, b: m(a, b, put)
+            return (f"({c(0, 0)} * ({c(1, 1)} * {c(2, 2)} - {c(1, 2)} * {c(2, 1)})"
+                    f" - {c(0, 1)} * ({c(1, 0)} * {c(2, 2)} - {c(1, 2)} * {c(2, 0)})"
+                    f" + {c(0, 2)} * ({c(1, 0)} * {c(2, 1)} - {c(1, 1)} * {c(2, 0)}))")
+        x = ", ".join(f"{det(q)} / {det()} AS v{q}" for q in range(ALS_RANK))
+        return f"""{name} AS (SELECT id, {x} FROM (
+  SELECT t.{col} AS id, {sums} FROM train t JOIN {of} f ON f.id = t.{other} GROUP BY t.{col}))"""
+
+    init = ", ".join(sql_hash_uniform(sql_key(sql_lit("init"), str(SEED), sql_lit("u"), "x.id", str(q)))
+                     + f" AS v{q}" for q in range(ALS_RANK))
+    ctes = [f"u0 AS (SELECT x.id, {init} FROM (SELECT DISTINCT user_id AS id FROM train) x)"]
+    for it in range(ALS_LOOP_ITERS):
+        ctes += [half(f"i{it}", "item_id", "user_id", f"u{it}"),
+                 half(f"u{it + 1}", "user_id", "item_id", f"i{it}")]
+    out = "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS side, id, CAST({q} AS INTEGER) AS k, round(v{q}, 6) AS value FROM {t}"
+        for name, t in (("user", f"u{ALS_LOOP_ITERS}"), ("item", f"i{ALS_LOOP_ITERS - 1}"))
+        for q in range(ALS_RANK))
+    return with_(W_RATINGS, W_DEDUP, W_SPLIT, *ctes) + out
+
+
+@query("als_blocked_loop", _als_rank_sql())
+def q_als_blocked_loop(spark, sf):
+    """User and item vectors of rank 3 after two rounds over in-blocks."""
+    train, _ = _stored_split(spark, sf)
+    users, items, _ = als_plan.als_blocked_loop(train, k=ALS_RANK, iters=ALS_LOOP_ITERS, lam=0.1,
+                                                seed=SEED)
+    side = lambda f, name: f.select(
+        F.lit(name).alias("side"), "id", F.posexplode("factors").alias("k", "value")).withColumn(
+        "value", r6(F.col("value")))
+    return side(users, "user").unionByName(side(items, "item"))
+
+
 def _svm_bucket_sql():
     return sql_hash_bucket(sql_key(sql_lit("svm"), str(SEED), "vec_id"), 10)
 
 
+HINGE_STEPS = 6
+HINGE_REG, HINGE_RATE = 0.05, 1.0
+HINGE_BATCHES = {"full": 1.0, "mini": 0.5}
+
+
+def _hinge_sql():
+    """The steps unrolled: one row (n, gradient sums, intercept's sum) per step."""
+    def step(name, fraction, t):
+        eta = HINGE_RATE / t ** 0.5
+        h = sql_hash_int(sql_key(sql_lit("batch"), str(SEED), str(t), "vec_id"))
+        where = "" if fraction >= 1 else f"WHERE {h} < {int(fraction * 2 ** 28)}"
+        return f"""g_{name}_{t} AS (
+  SELECT count(*) AS n, sum(g) AS b, list_transform(range(1, any_value(len(x)) + 1),
+           lambda j: 0.0) AS zero
+  FROM (SELECT x, CASE WHEN y * (list_dot_product(x, w) + c) < 1 THEN -y ELSE 0.0 END AS g
+        FROM e, w_{name}_{t - 1} {where})),
+s_{name}_{t} AS (
+  SELECT list(s ORDER BY j) AS s FROM (
+    SELECT j, sum(g * v) AS s FROM (
+      SELECT CASE WHEN y * (list_dot_product(x, w) + c) < 1 THEN -y ELSE 0.0 END AS g,
+             unnest(x) AS v, unnest(range(len(x))) AS j
+      FROM e, w_{name}_{t - 1} {where}) GROUP BY j)),
+w_{name}_{t} AS (
+  SELECT list_transform(range(1, len(w) + 1), lambda j: {1 - eta * HINGE_REG!r} * w[j] - {eta!r} * s[j] / n) AS w,
+         c - {eta!r} * b / n AS c
+  FROM w_{name}_{t - 1}, g_{name}_{t}, s_{name}_{t})"""
+
+    ctes = [f"""e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x,
+         CASE WHEN embedding[1]::DOUBLE + embedding[2]::DOUBLE > 0 THEN 1.0 ELSE -1.0 END AS y
+  FROM embeddings)"""]
+    for name, fraction in HINGE_BATCHES.items():
+        ctes.append(f"w_{name}_0 AS (SELECT list_transform(max(x), lambda v: 0.0::DOUBLE) AS w, "
+                    "0.0::DOUBLE AS c FROM e)")
+        ctes += [step(name, fraction, t) for t in range(1, HINGE_STEPS + 1)]
+    out = "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS batch, CAST(j AS INTEGER) AS j, round(v, 6) AS weight FROM ("
+        f"SELECT unnest(list_prepend(c, w)) AS v, unnest(range(len(w) + 1)) AS j "
+        f"FROM w_{name}_{HINGE_STEPS})" for name in HINGE_BATCHES)
+    return "WITH " + ",\n".join(ctes) + "\n" + out
+
+
+@query("fit_hinge", _hinge_sql())
+def q_fit_hinge(spark, sf):
+    """Intercept (j = 0) and weights of an SVM after hinge steps over all vectors,
+    full-batch and on hashed mini-batches; the class is planted as in ``fit_svm``."""
+    v = F.col("embedding").cast("array<double>")
+    rows = write_table(tables.table(spark, sf, "embeddings").select(
+        "vec_id", v.alias("features"), (v[0] + v[1] > 0).cast("int").alias("label")),
+        new_scratch_path(spark, "vectors"))
+    dims = rows.agg(F.max(F.size("features"))).first()[0]
+    out = []
+    for name, fraction in HINGE_BATCHES.items():
+        m = linear.fit_hinge(rows, dims, steps=HINGE_STEPS, step_size=HINGE_RATE, reg=HINGE_REG,
+                             fraction=fraction, seed=SEED)
+        out += [(name, j, w) for j, w in enumerate([m.intercept, *m.weights])]
+    return spark.createDataFrame(out, "batch string, j int, w double").select(
+        "batch", "j", r6(F.col("w")).alias("weight"))
+
+
 @query("fit_svm", f"""
 WITH e AS (SELECT embedding[1] + embedding[2] > 0 AS pos, {_svm_bucket_sql()} < 8 AS is_train
            FROM embeddings)
