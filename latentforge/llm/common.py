@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +34,34 @@ def crc_mod(col: Column, m: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % m
 
 
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that operators make for helper tables inside the block. They
+    are the caller's to delete (``session.drop_path``), once what was built on
+    them is stored or no longer wanted."""
+    paths: list[str] = []
+    _recording.append(paths)
+    try:
+        yield paths
+    finally:
+        _recording.pop()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a helper table, inside the shared folder."""
+    path = new_scratch_path(spark, name)
+    for paths in _recording:
+        paths.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` into the shared folder once and returns it re-read, so
     that a lost executor costs no recomputation of what came before."""
-    path = new_scratch_path(df.sparkSession, name)
+    path = scratch_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -45,14 +72,26 @@ ROW = "_row"
 
 def with_row_key(docs: DataFrame) -> DataFrame:
     """``docs`` with a key per row, whatever the ids: written once, because
-    computed anew the keys could come out otherwise."""
+    computed anew the keys could come out otherwise. An input column of the
+    key's name gets another until ``without_rows`` gives it back."""
+    own = _aside(docs.columns)
+    docs = docs.select([F.col(c).alias(own if c == ROW else c) for c in docs.columns])
     return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
-def without_rows(keyed: DataFrame, gone: DataFrame) -> DataFrame:
-    """``keyed`` without the rows of ``gone(_row)``, and without the key."""
+def _aside(columns: list[str]) -> str:
+    """A name that none of the columns has."""
+    name = ROW + "_given"
+    while name in columns:
+        name += "_"
+    return name
+
+
+def without_rows(keyed: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The ``columns`` of the rows of ``keyed`` that are not in ``gone(_row)``."""
+    own = _aside(columns)
     return keyed.join(materialize(gone.select(ROW), "gone"), ROW, "left_anti").select(
-        [c for c in keyed.columns if c != ROW])
+        [F.col(own if c == ROW else c).alias(c) for c in columns])
 
 
 def width(spark: SparkSession) -> int:
@@ -70,7 +109,7 @@ def join_back(big: DataFrame, small: DataFrame, key: str, size: str, spread: Col
     more than 1/1000 of the rows; rows settled by the broadcast, and rows
     without a key, are dealt by ``spread`` there and meet nothing. Rows whose
     key is not in ``small`` go, or stay with nulls (``how="left"``)."""
-    total = small.agg(F.sum(size)).first()[0] or 0
+    total = small.agg(F.sum(size)).first()[0] or 1
     is_hot = F.col(size) * HOT_SHARE >= F.lit(total)
     vals = [c for c in small.columns if c != key]
     hot = small.filter(is_hot).select(key, F.struct(*vals).alias("_hot"))

@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import new_scratch_path
-from .common import ROW, ascii_lower, join_back, materialize, width, with_row_key, without_rows
+from .common import (ROW, ascii_lower, join_back, materialize, scratch_folder, width, with_row_key,
+                     without_rows)
 
 
 def with_digest(docs: DataFrame, text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
@@ -35,15 +36,27 @@ def with_digest(docs: DataFrame, text: str = "text", also: tuple[str, ...] = ())
 class DigestIndex:
     """A bucketed, sorted table of ``(digest, keep_id)`` at ``path``.
 
-    Opening the path of an existing index continues it."""
+    Opening the path of an existing index continues it, in the buckets it was
+    made with (they are noted beside the files), whatever ``buckets`` says."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.path, self.buckets = spark, path, buckets
+        self.spark, self.path = spark, path
+        self.buckets = buckets = self.layout(buckets)
         self.table = "digest_index_" + uuid.uuid4().hex[:12]
         spark.sql(f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT) USING parquet "
                   f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS "
                   f"LOCATION '{path}'")
 
+    def layout(self, buckets: int) -> int:
+        """The number of buckets at ``path``, noted there by the first opening."""
+        note = self.path.rstrip("/") + "/_layout"  # hidden from the table's scans
+        try:
+            return self.spark.read.schema("buckets int").parquet(note).first()["buckets"]
+        except AnalysisException:
+            self.spark.range(1).select(F.lit(buckets).cast("int").alias("buckets")).coalesce(
+                1).write.parquet(note)
+            return buckets
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -88,7 +101,7 @@ def indexed(digests: DataFrame, batches: int, path: str | None, *more: Column) -
     """Verdict per digest, after ``batches`` spans of descending ids have each
     been checked against the index so far."""
     spark = digests.sparkSession
-    index = DigestIndex(spark, path or new_scratch_path(spark, "digest-index"), width(spark))
+    index = DigestIndex(spark, path or scratch_folder(spark, "digest-index"), width(spark))
     for part in id_batches(digests, batches):
         index.append(part)
     found = materialize(index.verdicts(digests, *more), "digest-verdicts")
@@ -118,4 +131,4 @@ def keep_exact(docs: DataFrame, batches: int = 2) -> DataFrame:
     found = indexed(digests, batches, None, lead).filter("group_size > 1").select(
         "digest", "group_size", (-F.col("lead").getField("back")).alias("lead"))
     return without_rows(keyed, join_back(digests, found, "digest", "group_size", F.col(ROW))
-                        .filter(F.col(ROW) != F.col("lead")))
+                        .filter(F.col(ROW) != F.col("lead")), docs.columns)

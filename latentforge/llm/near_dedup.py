@@ -308,4 +308,4 @@ def keep_near(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .filter("members > 1").select("component_id", "members", F.col("lead")[ROW].alias("lead")),
         "near-groups")
     return without_rows(keyed, join_back(rows, groups, "component_id", "members", F.col(ROW))
-                        .filter(F.col(ROW) != F.col("lead")))
+                        .filter(F.col(ROW) != F.col("lead")), docs.columns)

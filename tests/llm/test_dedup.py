@@ -155,8 +155,9 @@ def brute_cut(rows, n=400):
 def test_suffix_matches_brute_force(spark, batches, monkeypatch):
     rows = corpus(seed=batches, n=25)
     real = suffix.suffix_dedup
-    monkeypatch.setattr(suffix, "suffix_dedup", lambda d: real(d, batches))
-    got = Counter(tuple(r) for r in suffix.repeated_bytes(frame(spark, rows)).collect())
+    monkeypatch.setattr(suffix, "suffix_dedup", lambda d, **kw: real(d, batches, **kw))
+    got = Counter(tuple(r) for r in suffix.repeated_bytes(
+        frame(spark, rows)).drop("n_shared_passages").collect())
     assert got == brute_cut(rows)
 
 
@@ -218,3 +219,64 @@ def test_near_at_a_lower_threshold(spark):
 def test_collections_bound_the_missed_pairs():
     assert near.collections_for(85) == near.COLLECTIONS and near.collections_for(80) == 14
     assert near.missed(80, 14) < 2e-5 < 2.5e-4 < near.missed(80, 11)
+
+
+def test_shared_passages(spark):
+    """One at least for 50 words in a row that another document has too, none
+    without 26 such words."""
+    import random
+    rng = random.Random(8)
+    rows = corpus(5)
+    fresh = [f"{w}{k}" for k in range(60) for w in ("al", "be", "ga", "de", "ep")]
+    start = len(rows) + 100
+    for j, n in enumerate((24, 26, 40, 49, 50, 51, 90)):
+        shared = [f"p{j}x{i}" for i in range(n)]
+        for k in range(2):
+            mine = [f"{w}{j}{k}" for w in rng.sample(fresh, 120)]
+            words = mine[:30 + k] + shared + mine[30 + k:]
+            rows.append((start + 2 * j + k, "\n".join(words), *[None] * 8))
+    got = {}
+    for r in suffix.repeated_bytes(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append(r.n_shared_passages)
+
+    def runs(text, n):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+
+    for n, least in ((50, True), (26, False)):
+        own = [runs(r[1], n) for r in rows]
+        seen = Counter(x for s in own for x in s)
+        for r, s in zip(rows, own):
+            shares = any(seen[x] > 1 for x in s)
+            if least and shares:
+                assert min(got[r[0]]) >= 1, r[0]
+            if not least and not shares:
+                assert max(got[r[0]]) == 0, r[0]
+
+
+def test_index_opened_again_under_another_width(spark, tmp_path):
+    """The buckets are those the index was made with: all texts stay known."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string")
+    digests = with_digest(docs)
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (8, 4, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            index = DigestIndex(spark, str(tmp_path / "index"), n)
+            assert index.buckets == 8
+            index.append(digests)
+            assert index.rows().count() == 400
+            assert index.verdicts(digests).count() == 400
+            index.close()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+
+
+def test_column_of_the_row_key_s_name_stays(spark):
+    rows = [(i, f"a text of some words number {i % 5}", f"v{i}") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    for keep in (keep_exact, near.keep_near):
+        out = keep(docs)
+        assert out.columns == docs.columns
+        assert {r["_row"] for r in out.collect()} <= {f"v{i}" for i in range(10)}
+        assert all(r["_row"] == f"v{r['doc_id']}" for r in out.collect()) and out.count() == 5

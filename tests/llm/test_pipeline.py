@@ -11,7 +11,7 @@ from test_tokens import check_pieces
 import __spark_entry__
 import corpus_pipeline
 from latentforge.llm.common import join_back, maybe_in
-from latentforge.session import new_scratch_path
+from latentforge.session import new_scratch_path, scratch_path
 
 
 def write(spark, rows):
@@ -142,10 +142,11 @@ def test_stages_are_the_given_ones():
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names
-    assert {"op2_host_quality_rules", "op4_exact_dedup_index"} <= set(__spark_entry__.oracle_sql())
+    assert {"op2_host_quality_rules", "op4_exact_dedup_index", "op12_aho_corasick_search",
+            "op13_conversation_prefix_trie"} <= set(__spark_entry__.oracle_sql())
 
 
 @pytest.mark.parametrize("name", ["op4_exact_dedup_index", "op7_licence_scan"])
@@ -171,3 +172,24 @@ def test_bitmap_keeps_every_member(spark):
     small = big.filter("k % 97 = 0")
     kept = {r.k for r in maybe_in(big, small, "k").collect()}
     assert {r.k for r in small.collect()} <= kept and len(kept) < 1000
+
+
+def test_helper_tables_go(spark):
+    """After a run only its result is left in the shared folder."""
+    import os
+    path = write(spark, corpus(2, 20))
+    folder = scratch_path(spark, "").replace("file:", "")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = corpus_pipeline.run(spark, path)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("stage-packing")
+    assert out.count() > 0
+
+
+def test_helper_tables_stay_while_they_are_read(spark):
+    """A stage called on a result that was not written leaves its tables."""
+    path = write(spark, corpus(2, 20))
+    docs = spark.read.parquet(path + "/documents.parquet")
+    lazy = corpus_pipeline.exact_dedup(spark, docs, path)
+    near = corpus_pipeline.near_dedup(spark, lazy, path)
+    assert near.count() > 0 and lazy.count() > 0
