@@ -97,6 +97,23 @@ def contexts(types: np.ndarray, off: np.ndarray) -> np.ndarray:
                      mix(two + times_golden(2)), mix(three + times_golden(3))])
 
 
+def row_sums(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of ``(features, tokens)`` and for each the sum of the
+    gradients of the tokens that have it as a feature."""
+    parts, sums = [], []
+    for r in rows:  # rows are few enough for a 16-bit radix sort
+        order = np.argsort(r.astype(np.uint16), kind="stable")
+        r = r[order]
+        first = np.flatnonzero(np.diff(r, prepend=-1))
+        parts.append(r[first])
+        sums.append(np.add.reduceat(grad[order], first))
+    touched = np.unique(np.concatenate(parts))
+    out = np.zeros((len(touched), grad.shape[1]), grad.dtype)
+    for r, s in zip(parts, sums, strict=True):
+        out[np.searchsorted(touched, r)] += s
+    return touched, out
+
+
 class Model:
     """Vocabulary (sorted fingerprints and their slots), log priors, weights.
 
@@ -153,19 +170,17 @@ class Model:
         return out * LOG10E
 
     def update(self, number: np.ndarray, ctx: np.ndarray, memory: np.ndarray) -> None:
-        """One AdaGrad step on a mini-batch; ``memory`` sums squared gradients."""
+        """One AdaGrad step on a mini-batch; ``memory`` sums squared gradients.
+        Only the rows that the batch touches are read and written."""
         cls, slot, at = number // SLOTS, number % SLOTS, np.arange(len(number))
         both = self.rows(ctx, cls)
         for rows, (_, e, total), pick in zip(both, self.softmaxes(*both, cls), (cls, slot),
                                              strict=True):
             grad = e / total
             grad[at, pick] -= 1
-            lo, size = (0, CLASS_ROWS) if rows is both[0] else (CLASS_ROWS, WORD_ROWS)
-            cell = ((rows - lo)[:, :, None] * SLOTS + np.arange(SLOTS)).ravel()
-            flat = np.broadcast_to(grad, (FEATURES, *grad.shape)).ravel()
-            step = np.bincount(cell, flat, size * SLOTS).reshape(size, SLOTS).astype(np.float32)
-            memory[lo:lo + size] += step * step
-            self.weights[lo:lo + size] -= RATE * step / np.sqrt(memory[lo:lo + size] + 1e-3)
+            touched, step = row_sums(rows, grad)
+            memory[touched] += step * step
+            self.weights[touched] -= RATE * step / np.sqrt(memory[touched] + 1e-3)
 
 
 def train_round(docs: DataFrame, model: Model) -> np.ndarray | None:
