@@ -217,32 +217,37 @@ def best_fit_packing(docs: DataFrame, tokenizer: str) -> DataFrame:
     cut = materialize(pieces(docs, tokenizer, False), "pieces")
     placed = place(cut, best_fit)
     part = cut.filter(F.col("length") < CAPACITY).join(placed, ["uid", "piece"])
-    return _with_full(cut, part).select("doc_id", "piece", "start", "length", "ids_crc32",
+    return part.unionByName(_full(cut)).select("doc_id", "piece", "start", "length", "ids_crc32",
                                         "sequence_id", "offset")
 
 
-def _with_full(cut: DataFrame, part: DataFrame) -> DataFrame:
-    whole = cut.filter(F.col("length") == CAPACITY).withColumns(
+def _full(cut: DataFrame) -> DataFrame:
+    """The full pieces, each a sequence by itself."""
+    return cut.filter(F.col("length") == CAPACITY).withColumns(
         {"sequence_id": F.col("alone"), "offset": F.lit(0).cast("long")})
-    return part.unionByName(whole)
 
 
 def packed_matrices(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """One row per sequence: ``sequence_id, n_tokens, ids`` (``capacity`` 32-bit
-    little-endian ids, padded with zeros), ``cu_seqlens`` (0, then the end of
-    each segment), ``position_resets`` (where positions start at 0: the start
-    of every segment that starts a document), ``doc_ids, pieces, starts``."""
+    """One row per sequence: ``sequence_id, n_tokens, ids`` (``CAPACITY``
+    little-endian ids of ``id_bytes`` bytes each, padded with zeros),
+    ``id_bytes`` (2 where the vocabulary has at most 65,536 ids, else 4),
+    ``cu_seqlens`` (0, then the end of each segment), ``position_resets`` (where
+    positions start at 0: the start of every segment that starts a document),
+    ``doc_ids, pieces, starts``. Full pieces are sequences as they are and are
+    not shuffled."""
+    width = id_width(tokenizer)
     cut = materialize(pieces(docs, tokenizer, True), "id-pieces")
     placed = materialize(place(cut, best_fit_decreasing), "placed")
     part = cut.filter(F.col("length") < CAPACITY).join(placed, ["uid", "piece"])
-    rows = _with_full(cut, part).select("sequence_id", F.struct(
-        "offset", "length", "doc_id", "piece", "start", "ids").alias("s"))
+    segment = F.struct("offset", "length", "doc_id", "piece", "start", "ids")
+    rows = part.select("sequence_id", segment.alias("s"))
     # a sequence has at most `capacity` segments of one id or more
     seq = rows.groupBy("sequence_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    seq = seq.unionByName(_full(cut).select("sequence_id", F.array(segment).alias("s")))
     return seq.select(
         "sequence_id", F.expr("aggregate(s, 0L, (n, x) -> n + x.length)").alias("n_tokens"),
-        F.expr(f"rpad(aggregate(s.ids, X'', (a, x) -> concat(a, x)), {id_width(tokenizer) * CAPACITY}, X'00')")
-        .alias("ids"),
+        F.expr(f"rpad(aggregate(s.ids, X'', (a, x) -> concat(a, x)), {width * CAPACITY}, X'00')")
+        .alias("ids"), F.lit(width).alias("id_bytes"),
         F.expr("concat(array(0L), transform(s, x -> x.offset + x.length))").alias("cu_seqlens"),
         F.expr("transform(filter(s, x -> x.start = 0), x -> x.offset)").alias("position_resets"),
         F.col("s.doc_id").alias("doc_ids"), F.col("s.piece").alias("pieces"),
