@@ -44,9 +44,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import drop_path, new_scratch_path
-from .common import join_back, materialize, maybe_in, width
-from .textblock import U, Block, Prefix, blocks, lists
+from ..session import drop_path
+from .common import join_back, materialize, maybe_in, scratch_folder, width
+from .textblock import BASE, U, Block, Prefix, blocks, lists, mix
 
 LENGTH = 400
 GRAM = 200
@@ -94,19 +94,53 @@ def anchors(block: Block, prefix: Prefix):
     return doc, at, lo, hi, gram[at], prefix.ranges(lo, hi + LENGTH)
 
 
+#: words of a passage, and of the strings by which passages are met
+PASSAGE, STRING = 50, 26
+
+
+def passage_strings(block: Block, prefix: Prefix) -> tuple[np.ndarray, np.ndarray]:
+    """``(document, fingerprint)`` of strings of ``STRING`` words, distinct in
+    each document: of those inside a window of ``PASSAGE`` words the one with the
+    least fingerprint. Equal windows choose equal strings."""
+    start, end, first = block.words()
+    n, none = len(start), np.zeros(0, np.int64)
+    if n < PASSAGE:
+        return none, np.zeros(0, U)
+    word = prefix.ranges(start, end)
+    gram = np.zeros(n - STRING + 1, U)
+    for k in range(STRING):
+        gram = gram * U(BASE) + word[k:n - STRING + 1 + k]
+    gram = mix(gram)
+    packed = (gram & U(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=U)
+    least = (sliding_min(packed, PASSAGE - STRING + 1) & U(0xFFFFFFFF)).astype(np.int64)
+    doc = np.repeat(np.arange(block.n), np.diff(first))
+    window = np.flatnonzero(doc[:n - PASSAGE + 1] == doc[PASSAGE - 1:])
+    window = window[np.diff(least[window], prepend=-1) != 0]
+    owner, print_ = doc[window], gram[least[window]]
+    order = np.lexsort((print_, owner))
+    owner, print_ = owner[order], print_[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (print_[1:] != print_[:-1])
+    return owner[new], print_[new]
+
+
 MARKS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.binary()),
                    ("n_bytes", pa.int64()), ("core", pa.list_(pa.int64())),
-                   ("whole", pa.list_(pa.int64()))])
+                   ("whole", pa.list_(pa.int64())), ("strings", pa.list_(pa.int64()))])
 MARKS_DDL = ("uid long, doc_id long, sha binary, n_bytes long, core array<long>, "
-             "whole array<long>")
+             "whole array<long>, strings array<long>")
 
 
-def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of every document; rows are numbered within the task."""
+def mark(batches: Iterator[pa.RecordBatch], passages: bool = False) -> Iterator[pa.RecordBatch]:
+    """Anchors of every document (and the strings of its passages); rows are
+    numbered within the task."""
     uid = TaskContext.get().partitionId() << 36
     for batch in batches:
         for block in blocks(batch.column("text")):
-            doc, _, _, _, core, whole = anchors(block, Prefix(block.data))
+            prefix = Prefix(block.data)
+            doc, _, _, _, core, whole = anchors(block, prefix)
+            owner, strings = (passage_strings(block, prefix) if passages
+                              else (np.zeros(0, np.int64), np.zeros(0, U)))
             counts = np.bincount(doc, minlength=block.n)
             yield pa.record_batch([
                 pa.array(np.arange(uid, uid + block.n)),
@@ -114,7 +148,9 @@ def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("sha").slice(block.row0, block.n),
                 pa.array(np.diff(block.offsets)),
                 lists(core.view(np.int64), counts, pa.int64()),
-                lists(whole.view(np.int64), counts, pa.int64())], schema=MARKS)
+                lists(whole.view(np.int64), counts, pa.int64()),
+                lists(strings.view(np.int64), np.bincount(owner, minlength=block.n), pa.int64())],
+                schema=MARKS)
             uid += block.n
 
 
@@ -296,7 +332,8 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 schema=VERDICT)
 
 
-def suffix_dedup(docs: DataFrame, batches: int = 4) -> tuple[DataFrame, DataFrame]:
+def suffix_dedup(docs: DataFrame, batches: int = 4, passages: bool = False
+                 ) -> tuple[DataFrame, DataFrame]:
     """``(marks, verdicts)``: a narrow row per document, and for each text that
     may lose bytes ``sha, n_removed, n_spans, kept_sha256, kept_text, copies``."""
     spark = docs.sparkSession
@@ -305,9 +342,9 @@ def suffix_dedup(docs: DataFrame, batches: int = 4) -> tuple[DataFrame, DataFram
                          F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"),
                          text.alias("text"))
     who = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    marks = materialize(source.mapInArrow(mark, MARKS_DDL), "marks")
+    marks = materialize(source.mapInArrow(lambda b: mark(b, passages), MARKS_DDL), "marks")
     entries = exploded(marks)
-    index = SuffixIndex(spark, new_scratch_path(spark, "suffix-index"), width(spark))
+    index = SuffixIndex(spark, scratch_folder(spark, "suffix-index"), width(spark))
     for k in range(batches):
         batch = entries.filter(F.pmod(F.xxhash64("uid"), F.lit(batches)) == k)
         index.add(batch.select(F.col("core").alias("gram")))
@@ -355,23 +392,42 @@ def suffix_dedup(docs: DataFrame, batches: int = 4) -> tuple[DataFrame, DataFram
     return marks, cuts.withColumn("copies", F.lit(1).cast("long")).unionByName(copied)
 
 
+def shared_strings(marks: DataFrame) -> DataFrame:
+    """``uid, n_shared_passages``: how many passage strings of a document occur
+    in another one too (0 is left out)."""
+    rows = marks.select("uid", F.explode("strings").alias("string"))
+    shared = materialize(rows.groupBy("string").agg(F.count("*").alias("n")).filter("n >= 2"),
+                         "shared-strings")
+    return join_back(maybe_in(rows, shared, "string"), shared, "string", "n", F.col("uid")).groupBy(
+        "uid").agg(F.count("*").alias("n_shared_passages"))
+
+
 def repeated_bytes(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per document."""
-    marks, verdicts = suffix_dedup(docs.select("doc_id", "text"))
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per document, and
+    ``n_shared_passages``, which finds repeats that are too short for a cut: at
+    least 1 where 50 words in a row occur in another document too, and 0 where no
+    26 words in a row do (counted are chosen strings of 26 words)."""
+    marks, verdicts = suffix_dedup(docs.select("doc_id", "text"), passages=True)
+    met = materialize(shared_strings(marks), "passages")
     small = materialize(verdicts.drop("kept_text"), "verdicts")
     out = join_back(marks.select("uid", "doc_id", "sha", "n_bytes"), small, "sha", "copies",
                     F.col("uid"), "left")
+    out = out.join(met.hint("merge"), "uid", "left")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
                       F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-                      F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256"))
+                      F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256"),
+                      F.coalesce("n_shared_passages", F.lit(0)).alias("n_shared_passages"))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text`` (and ``n_chars``,
     where there is one, counted anew). No row goes."""
     _, verdicts = suffix_dedup(docs.select("doc_id", "text"))
-    small = materialize(verdicts.filter("n_removed > 0").select("sha", "kept_text", "copies"),
-                        "verdicts")
+    # only texts that have copies can be hot, and of these nothing is kept: no
+    # text is broadcast
+    hot = F.when(F.col("copies") > 1, F.col("copies")).otherwise(0).cast("long")
+    small = materialize(verdicts.filter("n_removed > 0").select(
+        "sha", "kept_text", hot.alias("copies")), "verdicts")
     packed = docs.select(F.struct("*").alias("doc"), F.unhex(F.sha2(
         F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("sha"))
     out = join_back(packed, small, "sha", "copies", F.col("doc.doc_id"), "left")
