@@ -4,19 +4,29 @@ Tokens are A-Z lower-cased words plus one end per text. The model is
 
     p(w | h) = p(class(w) | h) * p(w | class(w), h)
 
-over the ``CLASSES * SLOTS`` most frequent types (grouped by frequency), one of
-which stands for all other words; those share its probability by their smoothed
-corpus counts, so the model is a proper distribution over every word, seen or
-not. Both factors are softmaxes over sums of hashed feature rows: the previous
-word, the previous two words, and the words two and three back (skips), added to
-logs of corpus frequencies.
-
-Training: the training documents are dealt to ``ROUNDS`` rounds, so each is
-visited once. In a round every task starts from the current weights, makes
-AdaGrad updates on mini-batches of its documents, and returns its weights;
-they are averaged by token counts in a tree of grouped sums with at most
-``FAN_IN`` models per task. The weights are a fixed 2.5 MB, whatever the
-corpus; the word counts behind every probability are of the whole corpus.
+over the ``CLASSES * SLOTS`` most frequent types, grouped by frequency. The first
+of them stands for all other words, which are factored further: a word's
+fingerprint deals it to one of ``CLASSES * SLOTS`` clusters,
+
+    p(w | h) = ... * p(tail class | h) * p(cluster | tail class, h) * p(w | cluster)
+
+where p(w | cluster) follows the smoothed corpus counts, with one unseen word per
+cluster. So every word, seen or not, meets the history, and the probabilities add
+up to one. Each of the four factors is a softmax over sums of hashed feature rows:
+the previous word, the previous two words, and the words two and three back
+(skips), added to logs of corpus frequencies. The rows of a factor grow with the
+square root of the training tokens (``rows_for``) up to ``MOST_ROWS``, the bound of
+what is broadcast; a class gets rows in proportion to its tokens and shares none.
+
+Training: the gradient of the training texts' log likelihood is, in every cell
+(row, slot), the observed minus the expected count. At the corpus frequencies the
+expected count is the row's count times the slot's frequency, so a pass that counts
+gives the exact gradient over all training tokens. Every task adds up the counts of
+its documents; they are summed in a tree of grouped sums with at most ``FAN_IN``
+arrays per task. The update is damped and scaled by the curvature (the expected
+count): ``RATE * log((observed + DAMP) / (expected + DAMP))``. It is a sum over
+tokens, so the model does not depend on how the documents are dealt to tasks.
+Counting tasks are as many as keep their arrays smaller than the texts.
 
 Scoring: one pass gives each document its model terms; the counts of words
 with less than a ``FREQUENT``-th of all tokens are not broadcast but joined, as
@@ -24,12 +34,15 @@ with less than a ``FREQUENT``-th of all tokens are not broadcast but joined, as
 
 Edge cases: null text counts as empty (the end token alone); with nothing to
 learn from, counts are zero and the model is uniform over its types; repeated
-rows are scored alike; other columns are ignored.
+rows, and ties of frequency (broken by fingerprint), are scored alike; a very
+long text is a block of its own; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -37,22 +50,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize
+from ..session import drop_path
+from .common import crc_mod, materialize, recorded
 from .textblock import GOLDEN, U, Block, Prefix, blocks, lists, mix, times_golden
 
 CLASSES = SLOTS = 32
-#: rows of hashed weights for the class factor and for the word factor
-CLASS_ROWS, WORD_ROWS = 1 << 12, 1 << 14
+#: rows of hashed weights per factor: fewest and most
+FEWEST_ROWS, MOST_ROWS = 1 << 14, 1 << 17
 #: bound on the counts broadcast to the scoring tasks (16 bytes each)
 FREQUENT = 1 << 17
-FEATURES = 4
-ROUNDS = 2
-RATE = 0.1
+RATE = 0.5
+DAMP = 1.0
 MINI_BATCH = 1 << 13
 FAN_IN = 32
-#: weights travel in chunks of so many rows
+#: a counting task has at least so many tokens for each row of a factor
+TOKENS_A_ROW = 32
+#: counts and weights travel in chunks of so many rows
 CHUNK = 1024
 SMOOTH = 0.1
+#: mass of a slot without a type: next to nothing, but with a logarithm
+UNUSED = 1e-12
 
 END = U(0)
 LOG10E = float(np.log10(np.e))
@@ -97,42 +114,71 @@ def contexts(types: np.ndarray, off: np.ndarray) -> np.ndarray:
                      mix(two + times_golden(2)), mix(three + times_golden(3))])
 
 
-def row_sums(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of ``(features, tokens)`` and for each the sum of the
-    gradients of the tokens that have it as a feature."""
-    parts, sums = [], []
-    for r in rows:  # rows are few enough for a 16-bit radix sort
-        order = np.argsort(r.astype(np.uint16), kind="stable")
-        r = r[order]
-        first = np.flatnonzero(np.diff(r, prepend=-1))
-        parts.append(r[first])
-        sums.append(np.add.reduceat(grad[order], first))
-    touched = np.unique(np.concatenate(parts))
-    out = np.zeros((len(touched), grad.shape[1]), grad.dtype)
-    for r, s in zip(parts, sums, strict=True):
-        out[np.searchsorted(touched, r)] += s
-    return touched, out
+def rows_for(n_tokens: int) -> int:
+    """Hashed rows of a factor: a power of two from four times the root of the tokens."""
+    rows = FEWEST_ROWS
+    while rows < MOST_ROWS and rows * rows < 16 * n_tokens:
+        rows *= 2
+    return rows
+
+
+def cluster(types: np.ndarray) -> np.ndarray:
+    """The tail cluster of each type: the top bits of its fingerprint."""
+    return (types >> U(64 - CLUSTER_BITS)).astype(np.int64)
+
+
+CLUSTER_BITS = (CLASSES * SLOTS - 1).bit_length()
+
+
+class Level:
+    """A class-factored softmax: log priors and the places of its rows.
+
+    Row numbers from ``first`` on: ``rows`` for the class factor, then each
+    class's own for the slot factor."""
+
+    def __init__(self, mass: np.ndarray, rows: int, first: int):
+        mass = mass.reshape(CLASSES, SLOTS)
+        of_class = mass.sum(1)
+        self.class_prior = np.log(of_class / of_class.sum()).astype(np.float32)
+        self.slot_prior = np.log(mass / of_class[:, None]).astype(np.float32)
+        self.class_first, self.class_rows = first, rows
+        self.own = np.maximum((of_class / of_class.sum() * rows).astype(np.int64), 1)
+        self.own_first = first + rows + np.cumsum(self.own) - self.own
+        self.end = first + rows + int(self.own.sum())
+
+    def row_priors(self) -> tuple[np.ndarray, np.ndarray]:
+        """``(priors, which of them)`` for every row."""
+        return (np.vstack([self.class_prior[None], self.slot_prior]),
+                np.repeat(np.arange(CLASSES + 1), [self.class_rows, *self.own]))
+
+    def factors(self, leaf: np.ndarray, ctx: np.ndarray):
+        """Per factor: rows of each feature, the slot taken, log priors."""
+        cls, slot = leaf // SLOTS, leaf % SLOTS
+        h = (ctx >> U(24)).astype(np.int64)
+        yield self.class_first + h % self.class_rows, cls, self.class_prior
+        h = (mix(ctx) >> U(24)).astype(np.int64)
+        yield self.own_first[cls] + h % self.own[cls], slot, self.slot_prior[cls]
 
 
 class Model:
-    """Vocabulary (sorted fingerprints and their slots), log priors, weights.
+    """Vocabulary (sorted fingerprints and their numbers), the two levels of
+    classes, weights. Type number 0 is any word of the tail.
 
-    Type number r (by frequency; 0 is "any other word") is slot r % SLOTS of
-    class r // SLOTS."""
+    ``tail[0]`` and ``tail[1]`` are tokens and types of each cluster."""
 
-    def __init__(self, top: list[tuple[int, int]], n_tokens: int, n_types: int):
-        top = top[:CLASSES * SLOTS - 1]
+    def __init__(self, top: list[tuple[int, int]], tail: np.ndarray, rows: int):
+        k = CLASSES * SLOTS
         types = np.array([t for t, _ in top], np.int64).view(U)
         order = np.argsort(types)
         self.types, self.number = types[order], order + 1
-        counts = np.zeros(CLASSES * SLOTS)
-        counts[1:len(top) + 1] = [n for _, n in top]
-        counts[0] = n_tokens - counts.sum()
-        self.rest_tokens, self.rest_types = counts[0], n_types - len(top)
-        prior = (counts + SMOOTH).reshape(CLASSES, SLOTS)
-        self.class_prior = np.log(prior.sum(1) / prior.sum()).astype(np.float32)
-        self.word_prior = np.log(prior / prior.sum(1, keepdims=True)).astype(np.float32)
-        self.weights = np.zeros((CLASS_ROWS + WORD_ROWS, SLOTS), np.float32)
+        mass = np.full(k, UNUSED)
+        mass[1:len(top) + 1] = [n + SMOOTH for _, n in top]
+        mass[0] = tail[0].sum() + SMOOTH
+        self.head = Level(mass, rows, 0)
+        mass = tail[0] + SMOOTH * (tail[1] + 1)
+        self.tail = Level(mass, rows, self.head.end)
+        self.cluster_log = np.log10(mass)
+        self.weights = np.zeros((self.tail.end, SLOTS), np.float16)
 
     def numbers(self, types: np.ndarray) -> np.ndarray:
         if not len(self.types):
@@ -140,98 +186,112 @@ class Model:
         at = np.minimum(np.searchsorted(self.types, types), len(self.types) - 1)
         return np.where(self.types[at] == types, self.number[at], 0)
 
-    def rows(self, ctx: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the class factor and of the word factor, per feature."""
-        own = mix(cls.astype(U) + U(1))
-        return ((ctx >> U(40)).astype(np.int64) % CLASS_ROWS,
-                CLASS_ROWS + (mix(ctx ^ own) >> U(40)).astype(np.int64) % WORD_ROWS)
-
-    def softmaxes(self, class_rows: np.ndarray, word_rows: np.ndarray, cls: np.ndarray):
-        out = []
-        for rows, prior in ((class_rows, self.class_prior), (word_rows, self.word_prior[cls])):
-            logit = prior + self.weights[rows[0]]
-            for r in rows[1:]:
-                logit += self.weights[r]
-            logit -= logit.max(1, keepdims=True)
-            e = np.exp(logit)
-            total = e.sum(1, keepdims=True)
-            out.append((logit, e, total))
+    def factors(self, types: np.ndarray, number: np.ndarray, ctx: np.ndarray):
+        """Per factor: the tokens it is about, and ``Level.factors`` of them."""
+        everyone, other = slice(None), np.flatnonzero(number == 0)
+        for rows, slot, prior in self.head.factors(number, ctx):
+            yield everyone, rows, slot, prior
+        for rows, slot, prior in self.tail.factors(cluster(types[other]), ctx[:, other]):
+            yield other, rows, slot, prior
+
+    def log10(self, types: np.ndarray, number: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+        """log10 probability of the tokens after their contexts; of a word of
+        the tail up to its smoothed count, log10(c + SMOOTH)."""
+        out = np.zeros(len(types))
+        for a in range(0, len(types), MINI_BATCH):
+            to = slice(a, a + MINI_BATCH)
+            part = out[to]
+            for which, rows, slot, prior in self.factors(types[to], number[to], ctx[:, to]):
+                logit = prior + self.weights[rows[0]]
+                for r in rows[1:]:
+                    logit += self.weights[r]
+                logit -= logit.max(1, keepdims=True)
+                taken = logit[np.arange(len(slot)), slot]
+                np.exp(logit, out=logit)
+                part[which] += taken - np.log(logit.sum(1))
+        out *= LOG10E
+        other = number == 0
+        out[other] -= self.cluster_log[cluster(types[other])]
         return out
 
-    def log10(self, number: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        """log10 probability of the type numbers after their contexts."""
-        out = np.zeros(len(number))
-        for a in range(0, len(number), MINI_BATCH):
-            num = number[a:a + MINI_BATCH]
-            cls, slot, at = num // SLOTS, num % SLOTS, np.arange(len(num))
-            soft = self.softmaxes(*self.rows(ctx[:, a:a + MINI_BATCH], cls), cls)
-            for (logit, _, total), pick in zip(soft, (cls, slot), strict=True):
-                out[a:a + MINI_BATCH] += logit[at, pick] - np.log(total[:, 0])
-        return out * LOG10E
-
-    def update(self, number: np.ndarray, ctx: np.ndarray, memory: np.ndarray) -> None:
-        """One AdaGrad step on a mini-batch; ``memory`` sums squared gradients.
-        Only the rows that the batch touches are read and written."""
-        cls, slot, at = number // SLOTS, number % SLOTS, np.arange(len(number))
-        both = self.rows(ctx, cls)
-        for rows, (_, e, total), pick in zip(both, self.softmaxes(*both, cls), (cls, slot),
-                                             strict=True):
-            grad = e / total
-            grad[at, pick] -= 1
-            touched, step = row_sums(rows, grad)
-            memory[touched] += step * step
-            self.weights[touched] -= RATE * step / np.sqrt(memory[touched] + 1e-3)
-
-
-def train_round(docs: DataFrame, model: Model) -> np.ndarray | None:
-    """Averaged weights after one pass over ``docs``; None without tokens."""
+    def observe(self, counts: np.ndarray, types: np.ndarray, ctx: np.ndarray) -> None:
+        """Adds the tokens to the flat ``counts`` of the cells."""
+        for _, rows, slot, _ in self.factors(types, self.numbers(types), ctx):
+            np.add.at(counts, (rows * SLOTS + slot).ravel(), counts.dtype.type(1))
+
+    def update(self, row: int, observed: np.ndarray) -> np.ndarray:
+        """Weights of the rows from ``row`` on, given their observed counts."""
+        priors, which = zip(*(level.row_priors() for level in (self.head, self.tail)), strict=True)
+        which = np.concatenate([which[0], which[1] + CLASSES + 1])[row:row + len(observed)]
+        expected = observed.sum(1, keepdims=True) * np.exp(np.vstack(priors)[which])
+        return (RATE * np.log((observed + DAMP) / (expected + DAMP))).astype(np.float16)
+
+
+def narrow(counts: np.ndarray) -> tuple[int, bytes]:
+    """Counts as bytes of the least width that holds them."""
+    kind = np.min_scalar_type(int(counts.max(initial=0)))
+    return kind.itemsize, counts.astype(kind.newbyteorder("<")).tobytes()
+
+
+def widen(width: int, data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{width}").astype(np.int64)
+
+
+COUNTED = "chunk int, task long, width int, data binary"
+
+
+def learn_weights(docs: DataFrame, model: Model, tasks: int) -> np.ndarray:
+    """The weights after the update by all of ``docs``, counted in ``tasks`` tasks."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    chunks = -(-len(model.weights) // CHUNK)
+    total, step = model.weights.size, CHUNK * SLOTS
+
+    def rows(found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        data = [narrow(c) for _, _, c in found]
+        return pa.record_batch([
+            pa.array([c for c, _, _ in found], pa.int32()), pa.array([t for _, t, _ in found], pa.int64()),
+            pa.array([w for w, _ in data], pa.int32()), pa.array([d for _, d in data], pa.binary())],
+            names=["chunk", "task", "width", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = shipped.value, 0
-        own.weights = own.weights.copy()
-        start = own.weights.copy()
-        memory = np.zeros_like(own.weights)
+        own, counts = shipped.value, np.zeros(total, np.int64)
         for batch in batches:
             for block in blocks(batch.column("text")):
                 types, off = tokens(block)
-                number, ctx = own.numbers(types), contexts(types, off)
-                for a in range(0, len(types), MINI_BATCH):
-                    own.update(number[a:a + MINI_BATCH], ctx[:, a:a + MINI_BATCH], memory)
-                seen += len(types)
-        trained, own.weights = own.weights, start
+                own.observe(counts, types, contexts(types, off))
         task = TaskContext.get().partitionId()
-        if seen:
-            for c in range(chunks):
-                part = trained[c * CHUNK:(c + 1) * CHUNK].astype(np.float64) * seen
-                yield pa.record_batch([pa.array([c], pa.int32()), pa.array([task], pa.int64()),
-                                       pa.array([float(seen)]), pa.array([part.astype("<f4").tobytes()])],
-                                      names=["chunk", "task", "n", "w"])
+        for c in range(0, total, step):
+            part = counts[c:c + step]
+            if part.any():
+                yield rows([(c // step, task, part)])
+
+    def added(table: pa.Table) -> np.ndarray:
+        return sum(widen(w.as_py(), d.as_py())
+                   for w, d in zip(table.column("width"), table.column("data"), strict=True))
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), "<f4").astype(np.float64) for x in table.column("w"))
-        return pa.table({"chunk": table.column("chunk")[:1], "task": pa.array(
-            [table.column("task")[0].as_py() // FAN_IN], pa.int64()),
-            "n": pa.array([float(sum(table.column("n").to_pylist()))]),
-            "w": pa.array([total.astype("<f4").tobytes()])})
-
-    ddl = "chunk int, task long, n double, w binary"
-    parts = materialize(docs.select("text").mapInArrow(run, ddl), "round")
-    left = (parts.agg(F.max("task")).first()[0] or 0) + 1
-    while True:
-        parts = parts.groupBy("chunk", F.expr(f"task div {FAN_IN}").alias("g")).applyInArrow(add, ddl)
+        return pa.Table.from_batches([rows([(
+            table.column("chunk")[0].as_py(), table.column("task")[0].as_py() // FAN_IN,
+            added(table))])])
+
+    def finish(table: pa.Table) -> pa.Table:
+        chunk = table.column("chunk")[0].as_py()
+        w = shipped.value.update(chunk * CHUNK, added(table).reshape(-1, SLOTS))
+        return pa.table({"chunk": pa.array([chunk], pa.int32()), "w": pa.array([w.tobytes()])})
+
+    with recorded() as paths:
+        parts = materialize(docs.select("text").coalesce(tasks).mapInArrow(run, COUNTED), "counts")
+    left = tasks
+    while left > FAN_IN:
+        parts = parts.groupBy("chunk", F.expr(f"task div {FAN_IN}").alias("g")).applyInArrow(add, COUNTED)
         left = -(-left // FAN_IN)
-        if left == 1:
-            break
-    rows = parts.collect()  # the fixed size of the weights, once
-    if not rows:
-        return None
-    out = np.zeros_like(model.weights)
-    for r in rows:
-        w = np.frombuffer(r["w"], "<f4").reshape(-1, SLOTS)
-        out[r["chunk"] * CHUNK:r["chunk"] * CHUNK + len(w)] = w / r["n"]
-    return out
+    weights = np.zeros_like(model.weights)
+    # at most the rows of the weights, whose number is bounded by MOST_ROWS
+    for r in parts.groupBy("chunk").applyInArrow(finish, "chunk int, w binary").collect():
+        w = np.frombuffer(r["w"], np.float16).reshape(-1, SLOTS)
+        weights[r["chunk"] * CHUNK:r["chunk"] * CHUNK + len(w)] = w
+    for path in paths:
+        drop_path(docs.sparkSession, path)
+    return weights
 
 
 SCORED = ("uid long, doc_id long, held_out boolean, n_tokens long, known long, "
@@ -243,7 +303,8 @@ def score_batches(batches: Iterator[pa.RecordBatch], model: Model, types: np.nda
     """Per document the terms that need no join, and its infrequent words."""
     uid = TaskContext.get().partitionId() << 36
     base_log = np.log10(n_tokens + SMOOTH * (n_types + 1))
-    rest_log = np.log10(model.rest_tokens + SMOOTH * (model.rest_types + 1))
+    model = copy(model)
+    model.weights = model.weights.astype(np.float32)
     for batch in batches:
         for block in blocks(batch.column("text")):
             t, off = tokens(block)
@@ -256,7 +317,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], model: Model, types: np.nda
             c = c[inverse]
             log_c = np.where(c > 0, np.log10(c + SMOOTH), 0.0)
             other = number == 0
-            terms = model.log10(number, contexts(t, off)) + np.where(other, log_c - rest_log, 0.0)
+            terms = model.log10(t, number, contexts(t, off)) + np.where(other, log_c, 0.0)
             # infrequent words with their occurrences, by document
             rare = np.flatnonzero(c == 0)
             doc = np.searchsorted(off, rare, "right") - 1
@@ -296,12 +357,18 @@ def score_corpus(docs: DataFrame) -> DataFrame:
     top = sorted(((r[0], r[1]) for r in counts.filter(
         F.col("n") * FREQUENT >= F.lit(n_tokens)).select("type", "n").collect()),
         key=lambda x: (-x[1], x[0]))
-    model = Model(top, n_tokens, n_types)
-    for k in range(ROUNDS):
-        slice_ = learn.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k)
-        weights = train_round(slice_, model)
-        if weights is not None:
-            model.weights = weights
+    head, k = top[:CLASSES * SLOTS - 1], CLASSES * SLOTS
+    tail = np.zeros((2, k), np.int64)
+    by_cluster = counts.groupBy(F.shiftrightunsigned("type", 64 - CLUSTER_BITS).alias("at")).agg(
+        F.sum("n").alias("n"), F.count("*").alias("types"))
+    for r in by_cluster.collect():  # a row per cluster
+        tail[:, r["at"]] = r["n"], r["types"]
+    at = cluster(np.array([t for t, _ in head], np.int64).view(U))
+    np.subtract.at(tail, (0, at), np.array([n for _, n in head], np.int64))
+    np.subtract.at(tail, (1, at), 1)
+    rows = rows_for(n_tokens)
+    model = Model(head, tail, rows)
+    model.weights = learn_weights(learn, model, max(1, int(n_tokens / (TOKENS_A_ROW * rows))))
     types = np.array([t for t, _ in top], np.int64).view(U)
     order = np.argsort(types)
     shipped = spark.sparkContext.broadcast(

@@ -42,26 +42,148 @@ def test_lm_counts_and_base(spark, monkeypatch):
             assert x.score < 0
 
 
-def test_lm_is_a_distribution_and_learns():
-    """Probabilities over the vocabulary sum to one; training on a patterned
-    sequence beats its unigram."""
+def patterned(head):
+    """A sequence with a pattern, and a model of it with so many types in its head."""
     rng = np.random.default_rng(0)
-    words = np.arange(1, 60, dtype=np.uint64) * maxent_lm.GOLDEN
+    words = maxent_lm.mix(np.arange(1, 60, dtype=np.uint64) * maxent_lm.GOLDEN)
     seq = np.array([words[(i * 7) % 59] if rng.random() < .8 else words[rng.integers(59)]
                     for i in range(40000)])
     types, counts = np.unique(seq, return_counts=True)
     top = sorted(zip(types.view(np.int64).tolist(), counts.tolist(), strict=True), key=lambda x: -x[1])
-    model = maxent_lm.Model(top, len(seq), len(types))
-    off = np.array([0, len(seq)])
-    number, ctx = model.numbers(seq), maxent_lm.contexts(seq, off)
-    before = model.log10(number, ctx).sum()
-    memory = np.zeros_like(model.weights)
-    for a in range(0, len(seq), 2000):
-        model.update(number[a:a + 2000], ctx[:, a:a + 2000], memory)
-    assert model.log10(number, ctx).sum() > 0.7 * before
+    tail = np.zeros((2, maxent_lm.CLASSES * maxent_lm.SLOTS), np.int64)
+    for t, n in top[head:]:
+        tail[:, maxent_lm.cluster(np.array([t]).view(U))[0]] += n, 1
+    return seq, types, counts, maxent_lm.Model(top[:head], tail, 1 << 10)
+
+
+@pytest.mark.parametrize("head", [59, 20])
+def test_lm_is_a_distribution_and_learns(head):
+    """Probabilities over all words and an unseen one per cluster sum to one;
+    training on a patterned sequence beats its unigram."""
+    seq, types, counts, model = patterned(head)
+    ctx = maxent_lm.contexts(seq, np.array([0, len(seq)]))
+    before = model.log10(seq, model.numbers(seq), ctx).sum()
+    seen = np.zeros(model.weights.size, np.int64)
+    model.observe(seen, seq, ctx)
+    model.weights = model.update(0, seen.reshape(-1, maxent_lm.SLOTS)).astype(np.float32)
+    after = model.log10(seq, model.numbers(seq), ctx).sum()
+    assert after > (0.7 if head == 59 else 0.71) * before
     k = maxent_lm.CLASSES * maxent_lm.SLOTS
-    one = np.repeat(ctx[:, 500:501], k, 1)
-    assert abs((10.0 ** model.log10(np.arange(k), one)).sum() - 1) < 1e-3
+    unseen = np.arange(k, dtype=np.uint64) << U(64 - maxent_lm.CLUSTER_BITS)
+    words = np.concatenate([types, unseen])
+    n = np.concatenate([counts, np.zeros(k)])
+    for place in (0, 500):
+        p = model.log10(words, model.numbers(words), np.repeat(ctx[:, place:place + 1], len(words), 1))
+        p += np.where(model.numbers(words) == 0, np.log10(n + .1), 0)
+        assert abs((10.0 ** p).sum() - 1) < 1e-3
+
+
+def test_lm_update_is_the_gradient_of_the_likelihood():
+    """Observed minus expected counts are the slopes of the log likelihood."""
+    seq, _, _, model = patterned(20)
+    seq = seq[:400]
+    ctx = maxent_lm.contexts(seq, np.array([0, len(seq)]))
+    seen = np.zeros(model.weights.size, np.int64)
+    model.observe(seen, seq, ctx)
+    seen = seen.reshape(-1, maxent_lm.SLOTS)
+    step = model.update(0, seen).astype(float)
+    model.weights = model.weights.astype(np.float64)
+
+    def likelihood():
+        return model.log10(seq, model.numbers(seq), ctx).sum() / maxent_lm.LOG10E
+
+    for level in (model.head, model.tail):
+        for row in (level.class_first, level.class_first + level.class_rows):
+            r = row + int(np.argmax(seen[row:row + 300].sum(1)))
+            for s in np.argsort(-seen[r])[:3]:
+                # the step is RATE * log((o + DAMP) / (e + DAMP))
+                expected = (seen[r, s] + maxent_lm.DAMP) / np.exp(step[r, s] / maxent_lm.RATE) - maxent_lm.DAMP
+                model.weights[r, s] = 1e-2
+                up = likelihood()
+                model.weights[r, s] = -1e-2
+                slope = (up - likelihood()) / 2e-2
+                model.weights[r, s] = 0
+                assert abs(slope - (seen[r, s] - expected)) < 0.02 * (1 + seen[r, s])
+
+
+def test_lm_score_equals_brute_force(spark, monkeypatch):
+    """Scores replayed token by token with dictionaries; the same in any layout."""
+    monkeypatch.setattr(maxent_lm, "FREQUENT", 60)
+    monkeypatch.setattr(maxent_lm, "FAN_IN", 2)
+    monkeypatch.setattr(maxent_lm, "TOKENS_A_ROW", 0.002)
+    rows = corpus()
+    got = [{r.doc_id: r.score for r in maxent_lm.score_corpus(frame(spark, rows).repartition(p)).collect()
+            if r.doc_id is not None} for p in (1, 7)]
+    learn = [tokens(r[1]) for r in rows if crc(r[0]) % 10]
+    c = Counter(t for x in learn for t in x)
+    n, s = sum(c.values()), maxent_lm.SLOTS
+
+    def fingerprints(x):
+        block = maxent_lm.Block(0, np.frombuffer(" ".join(x[:-1]).encode(), np.uint8),
+                                np.array([0, len(" ".join(x[:-1]).encode())]))
+        return maxent_lm.tokens(block)[0]
+
+    of = {w: int(f) for x in learn for w, f in zip(x, fingerprints(x), strict=True)}
+    ranked = sorted((w for w in c if c[w] * 60 >= n),
+                    key=lambda w: (-c[w], int(np.array(of[w], U).view(np.int64))))[:s * s - 1]
+    head = {of[w]: (i + 1, c[w]) for i, w in enumerate(ranked)}
+    known = {of[w]: k for w, k in c.items()}
+    mass = [np.full(s * s, 1e-12), np.full(s * s, .1)]
+    mass[0][:len(ranked) + 1] = .1
+    for f, k in known.items():
+        if f in head:
+            mass[0][head[f][0]] += k
+        else:
+            mass[0][0] += k
+            mass[1][f >> 54] += k + .1
+    size = maxent_lm.rows_for(n)
+
+    def mixed(x):
+        return int(maxent_lm.mix(np.array([x], U))[0])
+
+    def cells(x):
+        """Per token its (level, factor, class, row of each feature, slot)."""
+        f = fingerprints(x)
+        ctx = maxent_lm.contexts(f, np.array([0, len(f)]))
+        for i, w in enumerate(int(v) for v in f):
+            hs = [int(h) for h in ctx[:, i]]
+            for level, leaf in [(0, head[w][0] if w in head else 0)] + [(1, w >> 54)] * (w not in head):
+                a, b = divmod(leaf, s)
+                share = mass[level].reshape(s, s).sum(1)
+                own = max(int(share[a] / share.sum() * size), 1)
+                yield w, level, None, [(h >> 24) % size for h in hs], a
+                yield w, level, a, [(mixed(h) >> 24) % own for h in hs], b
+
+    seen = defaultdict(Counter)
+    for x in learn:
+        for _, level, cls, at, slot in cells(x):
+            for r in at:
+                seen[level, cls, r][slot] += 1
+
+    def prior(level, cls):
+        m = mass[level].reshape(s, s)
+        m = m.sum(1) if cls is None else m[cls]
+        return m / m.sum()
+
+    for r in rows[::4]:
+        if r[0] is None:
+            continue
+        x, total, last = tokens(r[1]), 0.0, None
+        for w, level, cls, at, slot in cells(x):
+            p = prior(level, cls)
+            logit = np.log(p)
+            for a in at:
+                o = np.array([seen[level, cls, a][j] for j in range(s)], float)
+                logit += .5 * np.log((o + 1) / (o.sum() * p + 1))
+            total += (logit[slot] - np.log(np.exp(logit).sum())) / np.log(10)
+            if level == 1 and cls is not None:
+                total += np.log10((known.get(w, 0) + .1) / mass[1][w >> 54])
+        for g in got:
+            if sum(q[0] == r[0] for q in rows) == 1:
+                assert abs(g[r[0]] - total) < 2e-3 * max(1, abs(total))
+    assert got[0].keys() == got[1].keys()
+    if len({r[0] for r in rows}) == len(rows):
+        assert all(abs(got[0][i] - got[1][i]) < 1e-6 * max(1, abs(got[0][i])) for i in got[0])
 
 
 def test_lm_beats_base_on_held_out(spark):
@@ -73,14 +195,17 @@ def test_lm_beats_base_on_held_out(spark):
     assert sum(r.score for r in got) > 0.9 * sum(r.base_score for r in got)
 
 
-def test_lm_tree_of_sums(spark, monkeypatch):
-    monkeypatch.setattr(maxent_lm, "FAN_IN", 2)
-    monkeypatch.setattr(maxent_lm, "ROUNDS", 1)
-    docs = spark.createDataFrame([(i, "a b c a b") for i in range(40)],
-                                 "doc_id long, text string").repartition(7)
-    model = maxent_lm.Model([(int(U(5).view(np.int64)), 3)], 10, 2)
-    w = maxent_lm.train_round(docs, model)
-    assert w.shape == model.weights.shape and np.isfinite(w).all() and np.abs(w).max() > 0
+def test_lm_edges_and_growing_rows(spark):
+    """Empty tables give no rows; repeated rows score alike; rows grow with the tokens."""
+    assert maxent_lm.score_corpus(frame(spark, [])).count() == 0
+    got = maxent_lm.score_corpus(frame(spark, corpus()[:20] * 2)).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)].add(round(r.score, 6))
+    assert len(got) == 40 and all(len(v) == 1 for v in by.values())
+    sizes = [maxent_lm.rows_for(n) for n in (0, 10 ** 6, 10 ** 8, 10 ** 10, 10 ** 13)]
+    assert sizes[0] == maxent_lm.FEWEST_ROWS and sizes[-1] == maxent_lm.MOST_ROWS
+    assert sizes[2] > sizes[1] == sizes[0] and sizes == sorted(sizes)
 
 
 def test_gru_gradient():
