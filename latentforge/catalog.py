@@ -21,7 +21,7 @@ from .operators import joins, prep
 from .plans import als as als_plan
 from .plans import evaluate as ev
 from .plans import factors as fac
-from .plans import gradient, linear, sgd, tuning
+from .plans import gradient, grid, linear, sgd, tuning
 from .session import new_scratch_path, write_table
 from .sources import files, synth, tables, text
 
@@ -782,15 +782,10 @@ def _replay_sql():
         "last AS (SELECT * FROM run WHERE t = (SELECT max(t) FROM turns))"]) + "\n" + out
 
 
-@query("fit_sgd_values", _replay_sql())
-def q_fit_sgd_values(spark, sf):
-    """Every bias and feature after the epochs, for the biased and unbiased model
-    and for a rate that decays with each update."""
-    train = write_table(_nation_ratings(spark, sf), new_scratch_path(spark, "ratings"))
-    ready = sgd.prepare(train, seed=SEED, rows_per_block=VALUE_ROWS)
+def _flat_models(models):
+    """(config, side, id, k, value) of models by name; k = -1 is the bias."""
     out = None
-    for name, p in VALUE_SETTINGS.items():
-        m = sgd.fit_sgd(p=p, prepared=ready)
+    for name, m in models.items():
         for side, f in (("user", m.user_factors), ("item", m.item_factors)):
             flat = fac.flat_factors(f, side).select(
                 F.lit(name).alias("config"), "side", "id", F.col("k").cast("int").alias("k"),
@@ -799,6 +794,24 @@ def q_fit_sgd_values(spark, sf):
     return out
 
 
+@query("fit_sgd_values", _replay_sql())
+def q_fit_sgd_values(spark, sf):
+    """Every bias and feature after the epochs, for the biased and unbiased model
+    and for a rate that decays with each update."""
+    train = write_table(_nation_ratings(spark, sf), new_scratch_path(spark, "ratings"))
+    ready = sgd.prepare(train, seed=SEED, rows_per_block=VALUE_ROWS)
+    return _flat_models({name: sgd.fit_sgd(p=p, prepared=ready)
+                         for name, p in VALUE_SETTINGS.items()})
+
+
+@query("fit_sgd_grid_values", _replay_sql())
+def q_fit_sgd_grid_values(spark, sf):
+    """The same models, fitted together in one pass over the ratings."""
+    train = write_table(_nation_ratings(spark, sf), new_scratch_path(spark, "ratings"))
+    models = grid.fit_sgd_grid(train, list(VALUE_SETTINGS.values()), rows_per_block=VALUE_ROWS)
+    return _flat_models(dict(zip(VALUE_SETTINGS, models, strict=True)))
+
+
 LEARNED_SHARE = 0.75     # of the standard deviation of the planted ratings
 
 

@@ -38,12 +38,18 @@ class SgdParams:
     schedule: str = "epoch"         # "epoch": lr·decay^epoch; "step": also per update
 
 
+def init_vector(id_col: Column, side: str, k: int, *, seed: int = 0, noise: float = 0.1,
+                gaussian: bool = False) -> Column:
+    """noise * U[0,1) (or N(0,1)) k times; a shorter vector is a prefix of a longer one."""
+    gen = hash_gaussian if gaussian else hash_uniform
+    tag = "gauss" if gaussian else "init"
+    return elementwise(k, lambda j: gen(key(tag, seed, side, id_col, j)) * F.lit(noise))
+
+
 def init_factors(ids: DataFrame, id_col: str, side: str, k: int, *, seed: int = 0,
                  noise: float = 0.1, gaussian: bool = False) -> DataFrame:
     """(id, bias=0, factors) with factors[k] = noise * U[0,1) (or N(0,1))."""
-    gen = hash_gaussian if gaussian else hash_uniform
-    tag = "gauss" if gaussian else "init"
-    vec = elementwise(k, lambda j: gen(key(tag, seed, side, F.col(id_col), j)) * F.lit(noise))
+    vec = init_vector(F.col(id_col), side, k, seed=seed, noise=noise, gaussian=gaussian)
     return ids.select(F.col(id_col).cast("long").alias("id"), F.lit(0.0).alias("bias"),
                       vec.alias("factors"))
 

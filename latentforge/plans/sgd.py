@@ -174,6 +174,28 @@ def _positions(ids: pd.Series, reps: pd.Series, of: pd.DataFrame, side: str) ->
     return at
 
 
+def block_rounds(ratings: pd.DataFrame, ui: np.ndarray, ii: np.ndarray, epoch: int):
+    """The block's ratings in its serial order, as rounds without conflicts:
+    ``(seq, steps, slices)`` with the rows to update one after another, the place
+    of each in the serial order, and the rounds as runs of both."""
+    order = np.lexsort((ratings["item_id"].to_numpy(), ratings["user_id"].to_numpy(),
+                        epoch_order(ratings["ord"].to_numpy(), epoch)))
+    rounds = conflict_free_rounds(ui[order], ii[order])
+    # rounds one after another give what the serial order gives
+    steps = np.lexsort((np.arange(len(order)), rounds))
+    bounds = np.flatnonzero(np.diff(np.sort(rounds))) + 1
+    return order[steps], steps, np.split(np.arange(len(order)), bounds)
+
+
+def step_rates(p: SgdParams, ratings: pd.DataFrame, steps: np.ndarray, epoch: int,
+               n_total: int) -> np.ndarray:
+    """Learning rate of each update."""
+    if p.schedule == "step":
+        first = float(ratings["first_step"].iloc[0]) + float(epoch) * n_total
+        return p.lr * p.decay ** (first + steps)
+    return np.full(len(steps), p.lr * p.decay ** epoch)
+
+
 def _make_step(mu: float, p: SgdParams, epoch: int, n_total: int):
     """The block step of an epoch: serial SGD over the block, vectorised.
 
@@ -197,21 +219,10 @@ def _make_step(mu: float, p: SgdParams, epoch: int, n_total: int):
         bu = users["bias"].to_numpy(dtype=np.float64).copy()
         bi = items["bias"].to_numpy(dtype=np.float64).copy()
         r = ratings["rating"].to_numpy(dtype=np.float64)
-        # the serial order of the block
-        order = np.lexsort((ratings["item_id"].to_numpy(), ratings["user_id"].to_numpy(),
-                            epoch_order(ratings["ord"].to_numpy(), epoch)))
         kk = U.shape[1] if td is None else min(td, U.shape[1])
-        rounds = conflict_free_rounds(ui[order], ii[order])
-        # rounds one after another give what the serial order gives
-        steps = np.lexsort((np.arange(len(order)), rounds))
-        seq = order[steps]
-        if p.schedule == "step":
-            first = float(ratings["first_step"].iloc[0]) + float(epoch) * n_total
-            rate = p.lr * p.decay ** (first + steps)
-        else:
-            rate = np.full(len(seq), p.lr * p.decay ** epoch)
-        bounds = np.flatnonzero(np.diff(np.sort(rounds))) + 1
-        for sl in np.split(np.arange(len(seq)), bounds):
+        seq, steps, slices = block_rounds(ratings, ui, ii, epoch)
+        rate = step_rates(p, ratings, steps, epoch, n_total)
+        for sl in slices:
             t = seq[sl]
             a = ui[t]
             b = ii[t]
@@ -389,6 +400,39 @@ def _with_first_steps(prep: Prepared, ratings: DataFrame) -> DataFrame:
     return ratings.join(before.select(*at, F.col("n_before").alias("first_step")), at)
 
 
+class FactorFiles:
+    """The stored factors of a fit: the files that a write supersedes are deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, None
+
+    def cut(self, f: DataFrame) -> DataFrame:
+        path = new_scratch_path(self.spark, "sgd-factors")
+        out = write_table(f, path)
+        if self.path:
+            drop_path(self.spark, self.path)
+        self.path = path
+        return out
+
+
+def epoch_pass(fac: DataFrame, ratings: DataFrame, prep: Prepared, step, cut,
+               merge=None) -> DataFrame:
+    """Stored factors after every stratum of an epoch, and ``merge``."""
+    for g in range(prep.blocks):
+        fac = stratum_step(fac, ratings, prep, g, step)
+        last = g == prep.blocks - 1
+        if g in prep.pieces:
+            fac, own = further_pieces(cut(fac), ratings, prep, g, step)
+            fac = cut(fac)
+            for path in own:
+                drop_path(fac.sparkSession, path)
+        if last and merge:
+            fac = merge(fac)
+        if last or (g + 1) % STRATA_PER_JOB == 0:
+            fac = cut(fac)
+    return fac
+
+
 def fit_sgd(train: DataFrame | None = None, p: SgdParams = SgdParams(), *,
             blocks: int | None = None, rows_per_block: int = ROWS_PER_BLOCK,
             mu: float | None = None, eval_sets: dict[str, DataFrame] | None = None,
@@ -428,17 +472,7 @@ def fit_sgd(train: DataFrame | None = None, p: SgdParams = SgdParams(), *,
     def sides(f):
         return _collapse(f, "u", p.k, split), _collapse(f, "i", p.k, split)
 
-    held: list[str] = []
-
-    def cut(f):
-        """Writes the factors; the files they came from are deleted."""
-        path = new_scratch_path(spark, "sgd-factors")
-        out = write_table(f, path)
-        for old in held:
-            drop_path(spark, old)
-        held[:] = [path]
-        return out
-
+    cut = FactorFiles(spark).cut
     fac = cut(both(side0("user_id", "u"), side0("item_id", "i")))
     n_users, n_items = fac.where("rep = 0").agg(
         F.count(F.when(F.col("kind") == "u", 1)), F.count(F.when(F.col("kind") == "i", 1))).first()
@@ -464,18 +498,8 @@ def fit_sgd(train: DataFrame | None = None, p: SgdParams = SgdParams(), *,
         if sample_from is not None:
             epoch_ratings = ratings.where(_sample_filter(sample_from, sample_n, p.seed, epoch,
                                                          int(total)))
-        for g in range(prep.blocks):
-            fac = stratum_step(fac, epoch_ratings, prep, g, step)
-            last = g == prep.blocks - 1
-            if g in prep.pieces:
-                fac, own = further_pieces(cut(fac), epoch_ratings, prep, g, step)
-                fac = cut(fac)
-                for path in own:
-                    drop_path(spark, path)
-            if last and split:
-                fac = both(*sides(fac))
-            if last or (g + 1) % STRATA_PER_JOB == 0:
-                fac = cut(fac)
+        fac = epoch_pass(fac, epoch_ratings, prep, step, cut,
+                         (lambda f: both(*sides(f))) if split else None)
         epoch_seconds.append(round(time.time() - te, 3))
     if eval_sets:
         record(p.epochs, fac)
