@@ -33,6 +33,7 @@ SEED = 0
 K_CHECK = 8          # features for the checked factor queries
 NOISE = 0.1
 CHUNK = 16           # list chunk size for user_items / user_rows
+RANGE = 64           # user_rows: ratings of a user beyond which the row is cut by item
 FIRST_N = 100        # first-N users
 SUBSET_MAX_USER = 1000
 SYNTH_RANK = 4
@@ -101,10 +102,13 @@ def _books(spark, sf):
     return tables.book_view(spark, sf).select("user_id", "isbn", "rating")
 
 
+def _stored_dedup(spark, sf):
+    return write_table(_dedup(spark, sf), new_scratch_path(spark, "ratings"))
+
+
 def _stored_split(spark, sf):
     """The split ratings, written once: what a model query reads again."""
-    d = write_table(_dedup(spark, sf), new_scratch_path(spark, "ratings"))
-    return prep.train_test_split(d, SEED)
+    return prep.train_test_split(_stored_dedup(spark, sf), SEED)
 
 
 def _mean(df):
@@ -327,7 +331,7 @@ SELECT user_id, CAST(rn // {CHUNK} AS BIGINT) AS chunk, CAST(rn % {CHUNK} AS INT
 FROM (SELECT user_id, item_id,
              row_number() OVER (PARTITION BY user_id ORDER BY item_id) - 1 AS rn FROM dedup)""")
 def q_user_items(spark, sf):
-    ui = prep.user_items(_dedup(spark, sf), CHUNK)
+    ui = prep.user_items(_stored_dedup(spark, sf), CHUNK)
     return ui.select("user_id", "chunk", F.posexplode("items").alias("pos", "item_id"))
 
 
@@ -345,7 +349,7 @@ SELECT user_id, CAST(rn // {CHUNK} AS BIGINT) AS chunk, CAST(rn % {CHUNK} AS INT
 FROM (SELECT user_id, item_id, rating,
              row_number() OVER (PARTITION BY user_id ORDER BY item_id) - 1 AS rn FROM dedup)""")
 def q_user_rows(spark, sf):
-    ur = prep.user_rows(_dedup(spark, sf), CHUNK)
+    ur = prep.user_rows(_stored_dedup(spark, sf), CHUNK, RANGE)
     z = ur.select("user_id", "chunk",
                   F.posexplode(F.arrays_zip("indices", "values")).alias("pos", "cell"))
     return z.select("user_id", "chunk", "pos", F.col("cell.indices").alias("item_id"),

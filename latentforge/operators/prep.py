@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket, hash_int, key
-from ..functions.ranking import global_position, group_position
+from ..functions.ranking import global_position
+from .chunks import ROWS_PER_RANGE, chunked
 
 # 80/20 split by hash bucket out of 10, default seed 0.
 SPLIT_BUCKETS = 10
@@ -112,29 +113,26 @@ def pair_digest(df: DataFrame) -> DataFrame:
                                                       F.col("item_id").cast("string"))))
 
 
-def user_items(df: DataFrame, chunk_size: int = 4096) -> DataFrame:
+def user_items(df: DataFrame, chunk_size: int = 4096,
+               rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """(user_id, chunk, items): each user's sorted item list in chunks.
 
     A user's items are cut into runs of at most ``chunk_size`` items, so a
     user holding a third of all ratings becomes many bounded rows rather
-    than one unbounded array.
+    than one unbounded array. The ratings are shuffled once (``chunks``).
     """
-    p = group_position(df.select("user_id", "item_id"), ["user_id"], ["item_id"], "pos")
-    return (p.withColumn("chunk", (F.col("pos") / F.lit(chunk_size)).cast("long"))
-             .groupBy("user_id", "chunk")
-             .agg(F.sort_array(F.collect_list("item_id")).alias("items")))
+    return chunked(df.select("user_id", "item_id"), F.col("item_id"), chunk_size,
+                   rows_per_range).withColumnRenamed("cells", "items")
 
 
-def user_rows(df: DataFrame, chunk_size: int = 4096) -> DataFrame:
+def user_rows(df: DataFrame, chunk_size: int = 4096,
+              rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """(user_id, chunk, indices, values): sparse rating rows by item id.
 
     Same chunking as ``user_items``; the chunks of a user add up to the row.
     """
-    p = group_position(df.select("user_id", "item_id", "rating"), ["user_id"],
-                       ["item_id"], "pos")
-    g = (p.withColumn("chunk", (F.col("pos") / F.lit(chunk_size)).cast("long"))
-          .groupBy("user_id", "chunk")
-          .agg(F.sort_array(F.collect_list(F.struct("item_id", "rating"))).alias("cells")))
+    g = chunked(df.select("user_id", "item_id", "rating"), F.struct("item_id", "rating"),
+                chunk_size, rows_per_range)
     return g.select("user_id", "chunk",
                     F.transform("cells", lambda c: c["item_id"]).alias("indices"),
                     F.transform("cells", lambda c: c["rating"]).alias("values"))
