@@ -33,11 +33,12 @@ def load_tokenizer(path: str):
 
 
 #: fixed values: the pre-tokenizer's pattern in the file, the same pattern for
-#: lower-case words of printable ASCII and Latin-1 letters, and those words
+#: lines of lower-case words of printable ASCII and Latin-1 letters, and what
+#: makes a word another one
 FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-PLAIN_WORD = re.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
-MAX_RUNS = 150_000
+PLAIN_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^\na-z0-9ß-öø-ÿ]+")
+ODD_PLACE = re.compile(r"[^\x21-\x7EÀ-ÖØ-öø-ÿ\n]|<\|")
+MAX_RUNS = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -52,7 +53,7 @@ def byte_symbols() -> list[str]:
 
 
 def has_plain_rules(tok) -> bool:
-    """Whether the file normalises and splits as ``PLAIN_PATTERN`` assumes."""
+    """Whether the file normalises and splits as ``PLAIN_RUNS`` assumes."""
     d = json.loads(tok.to_str())
     steps = [n.get("type") for n in (d.get("normalizer") or {}).get("normalizers", [])]
     parts = (d.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -63,46 +64,6 @@ def has_plain_rules(tok) -> bool:
             and all(t["content"].startswith("<|") for t in d.get("added_tokens", [])))
 
 
-def library_ids(tok) -> Callable[[Sequence[str]], list[list[int]]]:
-    """Ids of words as the tokenizer gives them.
-
-    Words of printable ASCII and Latin-1 letters are split here by the file's
-    own rules, and their runs are merged by the tokenizer's model, each run
-    once; every other word goes through the whole tokenizer."""
-    def whole(words):
-        return [e.ids for e in tok.encode_batch(list(words), add_special_tokens=False)]
-
-    if not has_plain_rules(tok):
-        return whole
-    symbol = {i: c for i, c in enumerate(byte_symbols())}
-    model, runs = tok.model, {}
-
-    def merged(run: str) -> list[int]:
-        got = runs.get(run)
-        if got is None:
-            if len(runs) >= MAX_RUNS:
-                runs.clear()
-            text = run if run.isascii() else run.encode("utf-8").decode("latin-1").translate(symbol)
-            got = runs[run] = [t.id for t in model.tokenize(text)]
-        return got
-
-    def encode(words):
-        out, odd = [], []
-        for i, w in enumerate(words):
-            if PLAIN_WORD.fullmatch(w) and "<|" not in w:
-                found = PLAIN_PATTERN.findall(w.lower())
-                out.append(merged(found[0]) if len(found) == 1
-                           else [x for run in found for x in merged(run)])
-            else:
-                out.append(None)
-                odd.append(i)
-        for i, ids in zip(odd, whole([words[i] for i in odd]) if odd else (), strict=True):
-            out[i] = ids
-        return out
-
-    return encode
-
-
 class Flat:
     """Byte or id strings end to end, appended in amortised time."""
 
@@ -134,6 +95,89 @@ class Flat:
         return self.values[at], lens
 
 
+class LibraryIds:
+    """Ids of words as the tokenizer gives them.
+
+    Words of printable ASCII and Latin-1 letters are split here by the file's
+    own rules, all words of a call at once, and their runs are merged by the
+    tokenizer's model, each run once; every other word goes through the whole
+    tokenizer."""
+
+    def __init__(self, tok):
+        self.tok, self.model, self.plain = tok, tok.model, has_plain_rules(tok)
+        self.symbol = {i: c for i, c in enumerate(byte_symbols())}
+        self.reset()
+
+    def reset(self) -> None:
+        # the line break between two words is a run without ids
+        self.slot, self.runs = {"\n": 0}, Flat(np.uint32)
+        self.runs.extend(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def whole(self, words: Sequence[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch(list(words), add_special_tokens=False)]
+
+    def __call__(self, words: Sequence[str]) -> list[list[int]]:
+        if not self.plain:
+            return self.whole(words)
+        ids, lens = self.flat(words)
+        ends = np.cumsum(lens).tolist()
+        listed = ids.tolist()
+        return [listed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def flat(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``words`` end to end, and how many each has."""
+        words = list(words)
+        odd = self.odd(words) if self.plain else range(len(words))
+        given = [words[i] for i in odd]
+        for i in odd:
+            words[i] = ""
+        ids, lens = self.merged(words)
+        if not given:
+            return ids, lens
+        got = self.whole(given)
+        lens[odd] = np.fromiter(map(len, got), np.int64, len(got))
+        is_odd = np.zeros(len(words), bool)
+        is_odd[odd] = True
+        out, at = np.zeros(int(lens.sum()), np.uint32), np.repeat(is_odd, lens)
+        out[~at] = ids
+        out[at] = np.fromiter(chain.from_iterable(got), np.uint32, int(at.sum()))
+        return out, lens
+
+    def odd(self, words: list[str]) -> list[int]:
+        """Places of the words that are left to the whole tokenizer."""
+        text = "\n".join(words)
+        if text.count("\n") != max(0, len(words) - 1):
+            return [i for i, w in enumerate(words) if "\n" in w or ODD_PLACE.search(w)]
+        places = [m.start() for m in ODD_PLACE.finditer(text)]
+        first = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        return np.unique(np.searchsorted(first, places, "right")).tolist()
+
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``flat`` of plain and empty words."""
+        found = PLAIN_RUNS.findall("\n".join(words).lower())
+        fresh = set(found).difference(self.slot)
+        if len(self.slot) + len(fresh) > MAX_RUNS:
+            self.reset()
+            fresh = set(found).difference(self.slot)
+        if fresh:
+            tokenize, symbol = self.model.tokenize, self.symbol
+            got = [[t.id for t in tokenize(
+                run if run.isascii() else run.encode("utf-8").decode("latin-1").translate(symbol))]
+                for run in fresh]
+            n = len(self.slot)
+            self.slot.update(zip(fresh, range(n, n + len(fresh)), strict=True))
+            lens = np.fromiter(map(len, got), np.int64, len(got))
+            self.runs.extend(np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())), lens)
+        rows = np.fromiter(map(self.slot.__getitem__, found), np.int64, len(found))
+        ids, lens = self.runs.gather(rows)
+        of = np.cumsum(rows == 0)
+        return ids, np.bincount(of, lens, minlength=len(words)).astype(np.int64)
+
+
+def library_ids(tok) -> LibraryIds:
+    return LibraryIds(tok)
+
+
 def words_at(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
     """The byte ranges as strings."""
     off = np.zeros(len(start) + 1, np.int32)
@@ -166,16 +210,21 @@ class WordEncoder:
         listed = keys.tolist()
         fresh = [i for i, k in enumerate(listed) if k not in self.slot]
         if fresh:
-            got = self.encode(words_at(block.data, start[index[fresh]], end[index[fresh]]))
+            words = words_at(block.data, start[index[fresh]], end[index[fresh]])
             n = len(self.slot)
             self.slot.update(zip([listed[i] for i in fresh], range(n, n + len(fresh)), strict=True))
-            lens = np.fromiter(map(len, got), np.int64, len(got))
-            self.ids.extend(np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())), lens)
+            if self.pieces is None and isinstance(self.encode, LibraryIds):
+                self.ids.extend(*self.encode.flat(words))
+            else:
+                got = self.encode(words)
+                lens = np.fromiter(map(len, got), np.int64, len(got))
+                self.ids.extend(np.fromiter(chain.from_iterable(got), np.uint32,
+                                            int(lens.sum())), lens)
             if self.pieces is not None:
                 texts = ["".join([self.pieces(i) for i in x]).encode("utf-8") for x in got]
                 self.text.extend(np.frombuffer(b"".join(texts), np.uint8),
                                  np.fromiter(map(len, texts), np.int64, len(texts)))
-        rows = np.fromiter((self.slot[k] for k in listed), np.int64, len(listed))
+        rows = np.fromiter(map(self.slot.__getitem__, listed), np.int64, len(listed))
         return rows[inverse], first
 
     def ids_of(self, rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

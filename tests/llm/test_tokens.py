@@ -68,6 +68,25 @@ def test_plain_words_as_the_library(word):
     assert library_ids(TOK)([word, word.upper()]) == [ids_of(word), ids_of(word.upper())]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abzAÉßÿ×²'stl09.,<|>!-#\xa1Σİ\n中\x1f"),
+                        max_size=8), max_size=12))
+def test_words_in_bulk_as_the_library(words):
+    from latentforge.llm.word_tokens import library_ids
+    ids, lens = library_ids(TOK).flat(words)
+    want = [ids_of(w) for w in words]
+    assert lens.tolist() == [len(x) for x in want]
+    assert ids.tolist() == [i for x in want for i in x]
+
+
+def test_runs_are_forgotten_beyond_a_bound(monkeypatch):
+    from latentforge.llm import word_tokens
+    monkeypatch.setattr(word_tokens, "MAX_RUNS", 6)
+    enc = word_tokens.library_ids(TOK)
+    for words in (["one", "two", "Σ", "three!"], ["four", "one-two", ""], [f"w{i}" for i in range(9)]):
+        assert enc(words) == [ids_of(w) for w in words]
+
+
 def test_transducer_is_minimal_and_numbers_words():
     words = sorted({a + b for a in ("walk", "talk", "jump", "") for b in ("", "ed", "ing", "s", "er")} - {""})
     t = lexicon.Transducer.compile(words, [[i, i + 1] for i in range(len(words))])
