@@ -311,11 +311,14 @@ def als_blocked_half_step(blocks: InBlocks, factors: DataFrame, k: int, lam: flo
 
 def als_blocked_loop(ratings: DataFrame, k: int = 10, iters: int = 5, lam: float = 0.01,
                      seed: int = 0, rows_per_block: int = ROWS_PER_BLOCK, eval_fn=None):
-    """``als_loop`` over in-blocks; the factors of each half step are stored,
-    superseded ones and the laid-out ratings deleted."""
+    """``als_loop`` over in-blocks; the ratings are computed once and stored, the
+    factors of each half step too; superseded ones and all ratings are deleted."""
     spark = ratings.sparkSession
+    path = new_scratch_path(spark, "als-train")
+    ratings = write_table(ratings.select("user_id", "item_id", "rating"), path)
     for_users = in_blocks(ratings, "user_id", rows_per_block)
     for_items = in_blocks(ratings, "item_id", rows_per_block)
+    drop_path(spark, path)
     held: dict[str, str] = {}
 
     def store(side: str, df: DataFrame) -> DataFrame:

@@ -68,3 +68,37 @@ def test_no_rounds_and_no_ratings(spark):
     none = ratings(spark).where("user_id < 0")
     users, items, trace = als.als_blocked_loop(none, k=2, iters=1)
     assert users.count() == items.count() == 0 and trace == []
+
+
+def test_loop_computes_the_ratings_once(spark):
+    """The ratings' own plan (joins, hashes) runs once, not once per layout."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(u, i, float((u * i) % 5 + 1)) for u in range(12) for i in range(9)]
+    schema = "user_id long, item_id long, rating double"
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    train = spark.createDataFrame(rows, schema).mapInPandas(counted, schema)
+    users, items, _ = als.als_blocked_loop(train, k=2, iters=1, lam=0.1)
+    assert users.count() == 12 and items.count() == 9
+    assert seen.value == len(rows)
+
+
+def test_sweep_blocks_follow_the_ratings(spark, monkeypatch):
+    from pyspark.ml.tuning import TrainValidationSplit
+
+    from latentforge.plans import tuning
+    assert tuning.als_blocks(1000, 4) == 4
+    assert tuning.als_blocks(100 * tuning.ALS_ROWS_PER_BLOCK, 4) == 100
+    given, real = [], TrainValidationSplit.fit
+    monkeypatch.setattr(TrainValidationSplit, "fit", lambda self, data: given.append(
+        self.getEstimator()) or real(self, data))
+    monkeypatch.setattr(tuning, "ALS_ROWS_PER_BLOCK", 20)
+    train = spark.createDataFrame([(u, i, float((u + i) % 5 + 1)) for u in range(12) for i in range(9)],
+                                  "user_id long, item_id long, rating double")
+    out = tuning.als_sweep(train, ranks=(2,), regs=(0.1, 0.2), max_iter=1, blocks=2).collect()
+    assert given[0].getNumUserBlocks() == given[0].getNumItemBlocks() == 6
+    assert len(out) == 2 and sum(r.is_best for r in out) == 1
