@@ -3,8 +3,9 @@
 Each stage takes and returns the columns of ``documents``, the last returns
 packed pieces. Documents that the quality rules reject go; of equal texts one
 row stays, of each near-duplicate group one document; byte strings of 400 and
-more that start elsewhere too are cut out of the texts (the document stays);
-what is left is tokenised and packed.
+more that start elsewhere too, and runs of 50 words and more that another text
+has too, are cut out of the texts (the document stays); what is left is tokenised
+and packed.
 
 A stage's result reads helper tables in the shared folder. They are deleted as
 soon as a later stage of the same run is called with input that no longer reads
@@ -64,7 +65,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8."""
-    return _stage(4, spark, docs, sf_dir, cut_repeats)
+    return _stage(4, spark, docs, sf_dir, lambda d: cut_repeats(d, passages=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Exact, near and suffix de-duplication against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -280,3 +281,25 @@ def test_column_of_the_row_key_s_name_stays(spark):
         assert out.columns == docs.columns
         assert {r["_row"] for r in out.collect()} <= {f"v{i}" for i in range(10)}
         assert all(r["_row"] == f"v{r['doc_id']}" for r in out.collect()) and out.count() == 5
+
+
+def test_cut_repeats_takes_short_passages_out(spark):
+    """A passage of 55 words in two texts goes although it is under 400 bytes; 49
+    words, a passage repeated in one text only, and copies of a short text stay."""
+    rng = random.Random(8)
+
+    def words(n):
+        return " ".join(f"{rng.randrange(16 ** 5):x}" for _ in range(n))
+
+    long, short, own, copy = words(55), words(49), words(52), words(51)
+    a, b, c, d = (words(30) for _ in range(4))
+    assert len(long) < 400
+    texts = [f"{a} {long} {b}", f"{c}\n{long.replace(' ', chr(10), 3)}\té", f"{short} {d}",
+             f"{b} {short}", f"{own} {a[:40]} {own}", copy, copy, None, ""]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, n_chars long")
+    left = {r.doc_id: r.text for r in suffix.cut_repeats(docs, passages=True).collect()}
+    want = dict(enumerate(texts)) | {0: f"{a}  {b}", 1: f"{c}\n\té"}
+    assert left == want
+    plain = {r.doc_id: r.text for r in suffix.cut_repeats(docs).collect()}
+    assert plain == dict(enumerate(texts))
