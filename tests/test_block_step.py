@@ -113,3 +113,19 @@ def test_blocks_follow_from_the_rows_alone():
     assert sgd.choose_blocks(10 ** 12, 10 ** 6) == 1000
     assert sgd.choose_blocks(1000) == 2 and sgd.choose_blocks(0) == 2
     assert sgd.choose_blocks(479_677) == 4
+
+
+def test_a_step_over_feature_columns_is_the_step_over_arrays():
+    rng = np.random.default_rng(5)
+    r = _ratings(rng.integers(0, 20, 300), rng.integers(0, 15, 300),
+                 rng.integers(1, 6, 300).astype(float), rng.integers(0, 2 ** 28, 300))
+    f = pd.concat([_side("u", np.arange(20), rng.random((20, 4))),
+                   _side("i", np.arange(15), rng.random((15, 4)))]).sample(frac=1, random_state=1)
+    step = sgd._make_step(3.0, fac.SgdParams(k=4), 0, 300)
+    want, names = step(r, f), [f"v{j}" for j in range(step.width)]
+    flat = f.drop(columns="factors").assign(**dict(zip(names, np.vstack(f["factors"]).T, strict=True)))
+    got = sgd.on_columns(step.update, names)(r, flat)
+    assert (got[names].to_numpy() == np.vstack(want["factors"])).all()
+    for c in ("kind", "id", "bias", "n_updates"):
+        assert (got[c].to_numpy() == want[c].to_numpy()).all()
+    assert sgd.on_columns(step.update, names)(r[:0], flat)[names].equals(flat[names])
