@@ -16,8 +16,8 @@ from ..operators.joins import join_factors
 
 
 def score(pairs: DataFrame, user_f: DataFrame, item_f: DataFrame, mu, k: int, *,
-          biased: bool = True, n_users: int | None = None,
-          n_items: int | None = None) -> DataFrame:
+          biased: bool = True, n_users: int | None = None, n_items: int | None = None,
+          sizes: tuple[int, int, int] | None = None) -> DataFrame:
     """Add ``prediction`` and ``has_factors`` to (user_id, item_id, ...).
 
     Pairs whose user or item has no factor row are kept (left joins): the
@@ -25,7 +25,8 @@ def score(pairs: DataFrame, user_f: DataFrame, item_f: DataFrame, mu, k: int, *,
     ``mu`` plus the known bias. ``mu`` is a number or a scalar Column (for
     example ``train.select(F.avg("rating")).scalar()``).
     """
-    j = join_factors(pairs, user_f, item_f, k, n_users=n_users, n_items=n_items, how="left")
+    j = join_factors(pairs, user_f, item_f, k, n_users=n_users, n_items=n_items, sizes=sizes,
+                     how="left")
     has = F.col("fu").isNotNull() & F.col("fi").isNotNull()
     d = F.when(has, dot(F.col("fu"), F.col("fi"))).otherwise(F.lit(0.0))
     if biased:
