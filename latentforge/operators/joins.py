@@ -104,7 +104,8 @@ def grid_join(ratings: DataFrame, user_f: DataFrame, item_f: DataFrame, blocks:
                  .select(place(block(F.col("id")), F.col("_at")), F.lit(side).alias(_SIDE),
                          F.col("id").alias(_ID), name))
 
-    rows = ratings.select("*", cell(block(F.col("user_id")), block(F.col("item_id"))),
+    rows = ratings.select("item_id", *rest,
+                          cell(block(F.col("user_id")), block(F.col("item_id"))),
                           F.lit(_RATING).alias(_SIDE), F.col("user_id").alias(_ID))
     users = factors(user_f, _USER, _U, cell)
     items = factors(item_f, _ITEM, _I, lambda own, other: cell(other, own))
@@ -123,7 +124,7 @@ def grid_join(ratings: DataFrame, user_f: DataFrame, item_f: DataFrame, blocks:
         return out
 
     # the other table's rows, which may have the same ids, are a group of their own
-    met = carry(placed, _USER, _U).withColumn(
+    met = carry(placed, _USER, _U).withColumn("user_id", F.col(_ID)).withColumn(
         _ID, F.when(F.col(_SIDE) == F.lit(_RATING), F.col("item_id")).otherwise(F.col(_ID)))
     met = carry(met, _ITEM, _I)
     return met.select("item_id", "user_id", *rest,
