@@ -12,7 +12,7 @@ from test_sgd_pieces import hot_ratings
 from latentforge import catalog, session
 from latentforge.plans import evaluate as ev
 from latentforge.plans import factors as fac
-from latentforge.plans import packed, sgd
+from latentforge.plans import packed, sgd, tuning
 
 
 def test_groups_are_bounded_by_the_bytes_of_their_factors(spark):
@@ -109,6 +109,14 @@ def test_shuffle_files_are_released(spark, monkeypatch):
     assert len(calls) == 2      # the first factors, and those of the epoch
 
 
+def test_every_fit_of_the_als_sweep_begins_with_a_release(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(session, "release", lambda s: calls.append(1))
+    out = tuning.als_sweep(hot_ratings(spark), ranks=(2,), regs=(0.1, 0.5), max_iter=1, blocks=2)
+    assert len(calls) == 3      # two settings, and the best one again
+    assert out.where("is_best").count() == 1
+
+
 def test_the_split_is_stored(spark):
     """The flag of a rating is hashed once, not by each read of one side."""
     for df in catalog._stored_split(spark, "/root/testdata/sf0.001"):
