@@ -12,7 +12,7 @@ from test_sgd_pieces import hot_ratings
 from latentforge import catalog, session
 from latentforge.plans import evaluate as ev
 from latentforge.plans import factors as fac
-from latentforge.plans import packed, sgd, tuning
+from latentforge.plans import gradient, packed, sgd, tuning
 
 
 def test_groups_are_bounded_by_the_bytes_of_their_factors(spark):
@@ -117,6 +117,30 @@ def test_every_fit_of_the_als_sweep_begins_with_a_release(spark, monkeypatch):
     assert out.where("is_best").count() == 1
 
 
+def test_settings_beyond_the_bytes_of_a_cell_take_several_passes(spark, monkeypatch):
+    train = hot_ratings(spark).withColumn("trains", F.lit(True)).withColumn("counted", F.lit(True))
+    p = fac.SgdParams(k=2, epochs=1, lr=0.3, lr_bias=0.4)
+    ps = {"a": p, "b": sgd.with_params(p, lam=0.5), "c": sgd.with_params(p, k=1)}
+
+    def fit():
+        rows, trace = gradient.fit_settings(train, ps, side_blocks=2)
+        return ({(x["side"], x["id"]): x["values"] for x in rows.collect()},
+                {x[:2]: x[2:] for x in trace})
+
+    want, traced = fit()
+    widths, plain = [], gradient.cell_sums
+    monkeypatch.setattr(gradient, "cell_sums",
+                        lambda s, *a: widths.append(sum(x.k + 1 for x in s)) or plain(s, *a))
+    monkeypatch.setattr(gradient, "CELL_BYTES", 190 * 8 * 4)
+    got, again = fit()
+    assert widths == [3, 3, 3, 3, 2, 2]     # a row of all settings has 8 numbers
+    assert got.keys() == want.keys() and len(want) == 380
+    assert all(np.allclose(got[x], want[x], rtol=0, atol=1e-12) for x in want)
+    assert again.keys() == traced.keys()
+    assert all(a[0] == b[0] == 600 and abs(a[1] - b[1]) < 1e-12
+               for a, b in zip(again.values(), (traced[x] for x in again), strict=True))
+
+
 def test_the_split_is_stored(spark):
     """The flag of a rating is hashed once, not by each read of one side."""
     for df in catalog._stored_split(spark, "/root/testdata/sf0.001"):
